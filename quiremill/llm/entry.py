@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op8_byte_bpe
 from .sharding import op7_rendezvous_sharding
 from .sketch import op5_threshold_scaled_sketch
 
@@ -10,6 +11,7 @@ QUERIES = {
     for f in (
         op5_threshold_scaled_sketch,
         op7_rendezvous_sharding,
+        op8_byte_bpe,
     )
 }
 
