@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .packing import op9_nnls_packing
 from .sharding import op7_rendezvous_sharding
 from .sketch import op5_threshold_scaled_sketch
+from .tokenfile import op10_elias_fano_token_file
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +14,8 @@ QUERIES = {
         op5_threshold_scaled_sketch,
         op7_rendezvous_sharding,
         op8_byte_bpe,
+        op9_nnls_packing,
+        op10_elias_fano_token_file,
     )
 }
 
