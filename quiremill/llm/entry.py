@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .media import op3_netpbm_media
 from .packing import op9_nnls_packing
 from .sharding import op7_rendezvous_sharding
+from .simhash import op4_simhash_deletion_variants
 from .sketch import op5_threshold_scaled_sketch
 from .tokenfile import op10_elias_fano_token_file
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_netpbm_media,
+        op4_simhash_deletion_variants,
         op5_threshold_scaled_sketch,
         op7_rendezvous_sharding,
         op8_byte_bpe,
