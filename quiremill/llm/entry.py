@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .chat import op1_token_level_chat
 from .media import op3_netpbm_media
 from .packing import op9_nnls_packing
 from .sharding import op7_rendezvous_sharding
@@ -13,6 +14,7 @@ from .tokenfile import op10_elias_fano_token_file
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_token_level_chat,
         op3_netpbm_media,
         op4_simhash_deletion_variants,
         op5_threshold_scaled_sketch,
