@@ -148,11 +148,10 @@ FEATURES = {"height": pa.int64(), "width": pa.int64(), "planes": pa.int64(), "pa
 
 def features(media: DataFrame, column: str = "media", tiles: bool = True) -> DataFrame:
     """media without the column and with what its pictures hold: sizes, checksums of the decoded
-    samples (payload), the difference hash (feature), and the resized picture as NPY (tile)."""
-    rest = [c for c in media.columns if c != column]
+    samples (payload), the difference hash (feature), and the resized picture as NPY (tile).
+    Other columns of media that have these names give way."""
+    rest = [c for c in media.columns if c != column and c not in FEATURES]
     have = [c for c in FEATURES if tiles or c != "tile"]
-    if clash := set(rest) & set(FEATURES):
-        raise ValueError(f"columns {sorted(clash)} are in the way")
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
     def one(raw: bytes | None) -> tuple:
