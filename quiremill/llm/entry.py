@@ -6,6 +6,7 @@ from .bpe import op8_byte_bpe
 from .chat import op1_token_level_chat
 from .media import op3_netpbm_media
 from .packing import op9_nnls_packing
+from .quality import op2_attention_mil_quality
 from .sharding import op7_rendezvous_sharding
 from .simhash import op4_simhash_deletion_variants
 from .sketch import op5_threshold_scaled_sketch
@@ -15,6 +16,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_level_chat,
+        op2_attention_mil_quality,
         op3_netpbm_media,
         op4_simhash_deletion_variants,
         op5_threshold_scaled_sketch,
