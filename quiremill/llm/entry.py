@@ -11,6 +11,7 @@ from .sharding import op7_rendezvous_sharding
 from .simhash import op4_simhash_deletion_variants
 from .sketch import op5_threshold_scaled_sketch
 from .tokenfile import op10_elias_fano_token_file
+from .toxicity import op6_noisy_channel_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -20,6 +21,7 @@ QUERIES = {
         op3_netpbm_media,
         op4_simhash_deletion_variants,
         op5_threshold_scaled_sketch,
+        op6_noisy_channel_toxicity,
         op7_rendezvous_sharding,
         op8_byte_bpe,
         op9_nnls_packing,

@@ -117,6 +117,17 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     return prints.join(named, F.col("fp") == F.col("f")).select(key, "fp", "component")
 
 
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row of each group, whole: that of the least key. Of rows that repeat this key the least
+    stays. Rows without a key are never copies of a row with one; of equal ones one stays."""
+    rest = [c for c in docs.columns if c != key]
+    keyed = docs.where(F.col(key).isNotNull())
+    kept = groups(keyed, key, text, distance).where(F.col(key) == F.col("component")).select(F.col(key).alias("__k")).distinct()
+    one = keyed.join(kept, F.col(key) == F.col("__k"), "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("__r"))
+    one = one.select(*(F.col(key) if c == key else F.col("__r")[c].alias(c) for c in docs.columns))
+    return one.unionByName(docs.where(F.col(key).isNull()).distinct())
+
+
 def op4_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = groups(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
