@@ -91,29 +91,36 @@ def as_text(s: Column) -> Column:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, own) with next_id, next_own and edited: the second half of the text
-    replaced by the beginning of the next document, of the same length if that is long enough.
-
-    The text crosses the network once, keyed by doc_id; of each next document only the longest
-    beginning that a row before it needs goes on to that row."""
-    ids = docs.select("doc_id", F.floor(F.char_length("text") / 2).cast("int").alias("need")).where("doc_id is not null")
+    """docs (doc_id, text) with next_id, next_own (the next document's sketch) and edited: the
+    second half of the text replaced by the beginning of the next, of the same length if that is
+    long enough.
+
+    The text crosses the network once, keyed by doc_id (a key that can't be null, so that both
+    joins read one exchange); of each next document only its sketch and the longest beginning that
+    a row before it needs go on to that row."""
+    none = F.lit(-(1 << 63))
+    doc_id = F.nullif(F.col("key"), none).alias("doc_id")
+    docs = docs.select(F.coalesce("doc_id", none).alias("key"), "text")
+    ids = docs.select(doc_id, F.floor(F.char_length("text") / 2).cast("int").alias("need")).where("doc_id is not null")
     need = ids.groupBy("doc_id").agg(F.max("need").alias("need"))
-    links = successor(ids, "doc_id", "next_id").join(need, "doc_id").withColumnRenamed("doc_id", "own_id")
-    begin = docs.select("doc_id", "text", "own").join(links, F.col("doc_id") == F.col("next_id"))
-    begin = begin.groupBy("own_id").agg(
-        F.max("next_id").alias("next_id"),
-        F.min(F.struct(F.substring("text", F.lit(1), F.col("need")).alias("begin"), "own")).alias("next"),
+    links = successor(ids, "doc_id", "next_id").join(need, "doc_id").select(
+        F.coalesce("next_id", F.lit(0)).alias("next_id"), F.col("doc_id").alias("own_id"), "need"
+    )
+    begin = docs.join(links, F.col("key") == F.col("next_id"))
+    begin = begin.select("own_id", "next_id", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("begin"), sketch(F.col("text")).alias("own")).alias("next"))
+    begin = begin.groupBy("own_id").agg(F.max("next_id").alias("next_id"), F.min("next").alias("next"))
+    rows = docs.join(begin, F.col("key") == F.col("own_id"), "left")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    text = F.concat(
+        F.substring("text", F.lit(1), F.char_length("text") - half),
+        F.substring(F.coalesce("next.begin", F.lit("")), F.lit(1), half),
     )
-    rows = docs.select("doc_id", "text", "own").join(begin, F.col("doc_id") == F.col("own_id"), "left")
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    text = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next.begin", F.lit("")), F.lit(1), half))
-    return rows.select("doc_id", "text", "own", "next_id", F.col("next.own").alias("next_own"), text.alias("edited"))
+    return rows.select(doc_id, "text", "next_id", F.col("next.own").alias("next_own"), text.alias("edited"))
 
 
 def op5_threshold_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = edited(docs.withColumn("own", sketch(F.col("text")))).withColumn("changed", sketch(F.col("edited")))
+    rows = edited(docs).withColumn("own", sketch(F.col("text"))).withColumn("changed", sketch(F.col("edited")))
     return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
