@@ -31,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 WIDEST = 64
-#: Chunks and pieces that a worker remembers (about 150 bytes each).
-REMEMBERED = 500_000
+#: Chunks, and pieces of chunks, that a worker remembers (about 240 bytes each).
+REMEMBERED, PIECES = 350_000, 150_000
 #: Characters of text that are cut up at a time.
 AT_ONCE = 1 << 21
 NONE = (1 << 62) - 1
+#: No key, no rank, no id, and the leaf of no pair.
+EMPTY, UNRANKED, NOBODY = np.uint32(0xFFFFFFFF), np.int32((1 << 24) - 1), np.uint32(0xFFFF)
+TOP = np.int32((1 << 30) - 1)
 
 # The letters, numbers and white space among the first 256 code points, as Unicode has them.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -45,41 +48,57 @@ SPACES = "\\t-\\r \\x85\\xa0"
 ALL_SPACES = SPACES + "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: Of chunks behind zero characters: one that is empty, or starts or ends with white space.
+EDGE = re.compile(r"\0(?=[\s\0])|\s\0")
+
+
 class Merges:
-    """A vocabulary and which pairs of its ids merge, in which order."""
+    """A vocabulary of fewer than 65,535 ids and which pairs of them merge, in which order."""
 
-    def __init__(self, first: np.ndarray, last: np.ndarray, pairs: np.ndarray, made: np.ndarray):
+    def __init__(self, first: np.ndarray, last: np.ndarray, pairs: np.ndarray, made: np.ndarray, ranks: np.ndarray | None = None):
         """first, last: id of each byte, and of each byte at the end of a piece. pairs: (n, 2) ids by
-        rank, made: the ids that they make."""
-        self.first, self.last, self.made = first, last, made.astype(np.int64)
+        rank, made: the ids that they make. ranks: if not their places; must be ascending."""
+        self.first, self.last, self.made = first.astype(np.uint32), last.astype(np.uint32), made.astype(np.uint32)
         bits = max(10, int(np.ceil(np.log2(max(1, len(pairs)) * 3))))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE >> 32, np.int64)
-        keys = pairs[:, 0].astype(np.int64) << 32 | pairs[:, 1].astype(np.int64)
+        self.shift, self.mask = np.uint32(32 - bits), np.uint32((1 << bits) - 1)
+        self.keys, self.ranks = np.full(1 << bits, EMPTY, np.uint32), np.full(1 << bits, UNRANKED, np.int32)
+        keys = self._key(pairs[:, 0], pairs[:, 1])
+        ranks = np.arange(len(keys)) if ranks is None else ranks
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):  # linear probing, all keys that are still homeless at once
-            free = self.keys[at] == -1
-            _, one = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            free = self.keys[at] == EMPTY
+            _, one = np.unique(np.where(free, at.astype(np.int64), -1 - np.arange(len(at))), return_index=True)
             take = one[free[one]]
-            self.keys[at[take]], self.ranks[at[take]] = keys[left[take]], left[take]
+            self.keys[at[take]], self.ranks[at[take]] = keys[left[take]], ranks[left[take]]
             stay = np.ones(len(left), bool)
             stay[take] = False
-            left, at = left[stay], (at[stay] + 1) & self.mask
+            left, at = left[stay], (at[stay] + np.uint32(1)) & self.mask
+        both = lambda second: self.rank(np.repeat(self.first, 256), np.tile(second, 256))
+        self.inner, self.final = both(self.first), both(self.last)  # of two bytes, the second one within or at the end
         self.by_pair: dict[int, int] | None = None
 
+    @staticmethod
+    def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+        return keys * np.uint32(0x9E3779B1) >> self.shift
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of each pair, a huge number if it doesn't merge."""
-        keys = a.astype(np.int64) << 32 | b.astype(np.int64)
-        out, left, at = np.full(len(keys), NONE >> 32, np.int64), np.arange(len(keys)), self._slot(keys)
+        """The rank of each pair, UNRANKED if it doesn't merge."""
+        keys = self._key(a, b)
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.ranks[at], UNRANKED)
+        left = np.flatnonzero((found != keys) & (found != EMPTY))
+        at = at[left]
         while len(left):
+            at = (at + np.uint32(1)) & self.mask
             found = self.keys[at]
             hit = found == keys[left]
             out[left[hit]] = self.ranks[at[hit]]
-            go = ~hit & (found != -1)
-            left, at = left[go], (at[go] + 1) & self.mask
+            go = ~hit & (found != EMPTY)
+            left, at = left[go], at[go]
         return out
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
@@ -103,55 +122,68 @@ class Merges:
         return out
 
     def _together(self, pieces: list[bytes], sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all pieces in a row, and how many of each; one segment tree a row."""
+        """ids of all pieces in a row, and how many of each; one segment tree a row. A leaf is the
+        rank above six bits of position."""
         n = len(pieces)
-        row, col = np.repeat(np.arange(n), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        col = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         raw = np.frombuffer(b"".join(pieces), np.uint8)
-        ids = np.full((n, width + 1), -1, np.int64)  # the last column stands for no neighbour
-        ids[row, col] = self.first[raw]
         ends = np.cumsum(sizes) - 1
-        ids[np.arange(n), sizes - 1] = self.last[raw[ends]]
-        live = ids >= 0
-        after = np.minimum(np.arange(1, width + 2), width)[None, :].repeat(n, 0)
-        after = np.where(after >= sizes[:, None], width, after)
-        before = np.concatenate([[width], np.arange(width)])[None, :].repeat(n, 0)
-        tree = np.full((n, 2 * width), NONE, np.int64)
-        inner = col < np.repeat(sizes - 1, sizes)
-        r, c = row[inner], col[inner]
-        tree[r, width + c] = self.rank(ids[r, c], ids[r, c + 1]) << 32 | c
+        own = self.first[raw]
+        own[ends] = self.last[raw[ends]]
+        ids = np.full((n, width + 1), NOBODY, np.uint32)  # the last column stands for no neighbour
+        ids[row, col] = own
+        live = ids != NOBODY
+        place = np.arange(width + 1, dtype=np.int32)
+        after = np.where(place + 1 < sizes[:, None], place + 1, width).astype(np.int32)
+        before = np.concatenate([[width], place[:-1]]).astype(np.int32)[None, :].repeat(n, 0)
+        tree = np.full((n, 2 * width), TOP, np.int32)
+        inner = np.ones(len(raw), bool)
+        inner[ends] = False
+        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
+        ranks = self.inner[pair]
+        closing = ends[sizes > 1] - 1
+        ranks[closing] = self.final[pair[closing]]
+        inner = inner[:-1]
+        r, c = row[:-1][inner], col[:-1][inner]
+        tree[r, width + c] = ranks[inner] << 6 | c
         level = width
         while level > 1:
             tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
             level //= 2
-        none = NONE >> 32
-        act = np.flatnonzero(tree[:, 1] >> 32 < none)
+        act = np.flatnonzero(tree[:, 1] < UNRANKED << 6)
         while len(act):
             top = tree[act, 1]
-            at, made = top & 0xFFFFFFFF, self.made[top >> 32]
+            at, made = top & 63, self.made[top >> 6]
             gone = after[act, at]
             right, left = after[act, gone], before[act, at]
             ids[act, at] = made
             live[act, gone] = False
             after[act, at] = right
             before[act, right] = at  # in the last column where there is none
-            with_right, with_left = right < width, left < width
-            new_right = np.where(with_right, self.rank(made, ids[act, right]), none) << 32 | at
-            new_left = np.where(with_left, self.rank(ids[act, left], made), none) << 32 | left
-            tree[act, width + at], tree[act, width + gone] = new_right, NONE
-            tree[act[with_left], (width + left)[with_left]] = new_left[with_left]
-            r = np.concatenate([act, act, act[with_left]])
-            node = np.concatenate([width + at, width + gone, (width + left)[with_left]])
-            while node[0] > 1:
+            ranks = self.rank(made, ids[act, right])
+            tree[act, width + at] = np.where(right < width, ranks << 6 | at, TOP)
+            tree[act, width + gone] = TOP
+            some = np.flatnonzero(left < width)
+            act_left, left = act[some], left[some]
+            tree[act_left, width + left] = self.rank(ids[act_left, left], made[some]) << 6 | left
+            r = np.concatenate([act, act, act_left])
+            node = np.concatenate([width + at, width + gone, width + left])
+            flat, base = tree.reshape(-1), r * (2 * width)
+            level = width
+            while level > 1:
                 node = node >> 1
-                tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
-            act = act[tree[act, 1] >> 32 < none]
+                child = base + 2 * node
+                flat[base + node] = np.minimum(flat[child], flat[child + 1])
+                level //= 2
+            act = act[tree[act, 1] < UNRANKED << 6]
         live[:, width] = False
         return ids[live], live.sum(1)
 
     def _alone(self, piece: bytes) -> bytes:
         """The same with one tree, for a piece of any length."""
         if self.by_pair is None:
-            held = np.flatnonzero(self.keys >= 0)
+            held = np.flatnonzero(self.keys != EMPTY)
             self.by_pair = dict(zip(self.keys[held].tolist(), self.ranks[held].tolist(), strict=True))
         n, get, made = len(piece), self.by_pair.get, self.made
         width = 1 << (n - 1).bit_length()
@@ -161,7 +193,7 @@ class Merges:
         tree = [NONE] * (2 * width)
 
         def leaf(i: int) -> int:
-            rank = get(ids[i] << 32 | ids[after[i]]) if after[i] >= 0 else None
+            rank = get(ids[i] << 16 | ids[after[i]]) if after[i] >= 0 else None
             return NONE if rank is None else rank << 32 | i
 
         for i in range(n):
@@ -219,12 +251,15 @@ class Encoder:
 
     def _free(self, texts: list[str]) -> list[bytes]:
         """Texts of any spacing, by the pattern."""
-        cut = [self.cut(t) for t in texts]
+        if max("".join(texts), default="") <= "\xff":
+            cut = list(map(self.simple, texts))
+        else:
+            cut = [self.cut(t) for t in texts]
         get = self.pieces.get
         fresh = list({p for c in cut for p in c if p not in self.pieces})
         self.pieces.update(zip(fresh, self.merges.encode([p.encode() for p in fresh]), strict=True))
         out = [b"".join(map(get, c)) for c in cut]
-        if len(self.pieces) > REMEMBERED:
+        if len(self.pieces) > PIECES:
             for p in fresh:
                 del self.pieces[p]
         return out
@@ -240,9 +275,15 @@ class Encoder:
             got = list(map(get, parts))
             if heads:
                 got[0] = heads[i]
-            hole = [j for j, x in enumerate(got) if x is None] if None in got else []
+            hole, j = [], -1
+            try:
+                while True:
+                    j = got.index(None, j + 1)
+                    hole.append(j)
+            except ValueError:
+                pass
             new = [parts[j] for j in hole]
-            if heads and (len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()) or any(not p or p[0].isspace() or p[-1].isspace() for p in new)):
+            if heads and (len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()) or new and EDGE.search("\0" + "\0".join(new) + "\0")):
                 odd.append(i)
                 hole = []
             else:
@@ -299,9 +340,8 @@ def ranked_encoder(path: str) -> Encoder:
     # the tree orders by index in this list: pairs that make the same token share a rank
     triples = np.array(found, np.int64)
     one = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    merges = Merges(one, one, triples[:, 1:], triples[:, 0])
-    first = np.searchsorted(triples[:, 0], triples[:, 0])  # the first index of each token
-    merges.ranks = np.where(merges.keys >= 0, first[np.minimum(merges.ranks, len(first) - 1)], merges.ranks)
+    first = np.searchsorted(triples[:, 0], triples[:, 0])  # the first place of each token
+    merges = Merges(one, one, triples[:, 1:], triples[:, 0], first)
     return Encoder(path, BYTE_PATTERN, merges, words=False)
 
 
