@@ -11,11 +11,21 @@ groups of copies, however large, are never expanded.
 
 Null text counts as empty. Texts without words have fingerprint zero and link like any other.
 Repeated rows keep their doc_id once each; the component is named by the least doc_id.
+
+similar() serves deduplication at a similarity of 0.8 on five-word shingles, which moves up to
+thirteen bits of a fingerprint of shingles, but hardly more than seven of one of distinct words.
+It indexes word fingerprints for seven bits (four segments of sixteen bits, each with a wildcard)
+and holds every pair that passes against the exact Jaccard similarity of the two texts. In a large
+group of near copies nearly all pairs would pass; so pairs are made in rounds, first stars of texts
+that differ within a window of seven bits, then links of up to three bits, then all; a round leaves
+out pairs that the rounds before have already put into one component. Nothing that a pair could
+still connect is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +38,8 @@ from .common import components, materialise, table
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
-#: First bit and width of each segment; the last one is matched exactly.
-SEGMENTS = ((0, 22), (22, 22), (44, 20))
+#: First bit, width and wildcards (0 or 1) of each segment.
+SEGMENTS = ((0, 22, 1), (22, 22, 1), (44, 20, 0))
 #: Shingles whose bits are summed at a time.
 AT_ONCE = 1 << 16
 
@@ -37,6 +47,33 @@ AT_ONCE = 1 << 16
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
+def majority(raw: bytes) -> int:
+    """Bit set: set in more than half of the eight-byte hashes."""
+    spread, total = SPREAD[np.frombuffer(raw, np.uint8).reshape(-1, 8)], np.zeros(64, np.int64)
+    for k in range(0, len(spread), 255):
+        total += spread[k : k + 255].sum(0, dtype=np.uint64).view(np.uint8)
+    return int.from_bytes(np.packbits(total * 2 > len(spread)).tobytes(), "big")
+
+
+def word_fingerprint(text: str, seed: int = SEED) -> int:
+    """Of the distinct words, however often they occur."""
+    words = set(text.encode().lower().split())
+    return majority(b"".join([xxhash.xxh64_digest(w, seed) for w in words])) if words else 0
+
+
+def jaccard(a: str, b: str, size: int = 5) -> float:
+    """Exact similarity of the sets of runs of so many words; a shorter text is one run."""
+    one, two = _runs(a, size), _runs(b, size)
+    both = len(one & two)
+    return both / (len(one) + len(two) - both) if one or two else 1.0
+
+
+@lru_cache(64)
+def _runs(text: str, size: int) -> frozenset[int]:
+    words = text.encode().lower().split()
+    return frozenset(hash(tuple(words[i : i + size])) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
 def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     """Bit set: set in more than half of the shingles' hashes."""
     words = text.encode().lower().split()
@@ -60,54 +97,125 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(total * 2 > shingles).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", of: Callable[[str], int] = fingerprint) -> DataFrame:
     """(key, fp): fp as a signed long, written once to the shared folder."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py() or "") for t in b.column(1)]
+            fp = [of(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], [key, "fp"])
 
     return materialise(docs.select(key, text).mapInArrow(run, f"{key} {kind}, fp long"), "fingerprints")
 
 
-def variants(fp: Column) -> Column:
+def _part(fp: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, at).bitwiseAND((1 << width) - 1)
+
+
+def variants(fp: Column, segments: Sequence[tuple[int, int, int]] = SEGMENTS) -> Column:
     """The keys of a fingerprint: number of the variant above 32 bits, the segment without the wildcard bit below."""
     out = []
-    for k, (at, width) in enumerate(SEGMENTS):
-        whole = F.shiftrightunsigned(fp, at).bitwiseAND((1 << width) - 1)
-        for bit in range(width) if k < 2 else [None]:
+    for at, width, wild in segments:
+        whole = _part(fp, at, width)
+        for bit in range(width) if wild else [None]:
             kept = whole if bit is None else whole.bitwiseAND(~(1 << bit) & (1 << width) - 1)
             out.append(kept.bitwiseOR(F.lit(len(out) << 32)))
     return F.array(*out)
 
 
-def first_common(differ: Column) -> Column:
-    """The number of the variant at which a pair with these differing bits passes."""
+def first_common(differ: Column, segments: Sequence[tuple[int, int, int]] = SEGMENTS) -> Column:
+    """The number of the variant at which a pair with these differing bits passes; null at none."""
     number, out = 0, None
-    for at, width in SEGMENTS[:2]:
-        x = F.shiftrightunsigned(differ, at).bitwiseAND((1 << width) - 1)
+    for at, width, wild in segments:
+        x = _part(differ, at, width)
         # without a difference the first wildcard, with one the wildcard of that bit
-        own = F.when(x == 0, F.lit(number)).otherwise(F.lit(number) + F.bit_count(x - 1))
-        alone = x.bitwiseAND(x - 1) == 0
-        out = F.when(alone, own) if out is None else out.when(alone, own)
-        number += width
-    return out.otherwise(F.lit(number))
-
-
-def links(nodes: DataFrame, node: str = "rep", fp: str = "fp", distance: int = DISTANCE) -> DataFrame:
-    """(a, b) of nodes with distinct fingerprints that differ in at most distance bits, each pair once."""
-    if distance > DISTANCE:
-        raise ValueError(f"three segments find links of up to {DISTANCE} bits")
-    keyed = nodes.select(F.col(node).alias("n"), F.col(fp).alias("f"), F.explode(variants(F.col(fp))).alias("v"))
+        test = (x.bitwiseAND(x - 1) == 0) if wild else x == 0
+        own = F.when(x == 0, F.lit(number)).otherwise(F.lit(number) + F.bit_count(x - 1)) if wild else F.lit(number)
+        out = F.when(test, own) if out is None else out.when(test, own)
+        number += width if wild else 1
+    return out
+
+
+def links(nodes: DataFrame, node: str = "rep", fp: str = "fp", distance: int = DISTANCE, segments: Sequence[tuple[int, int, int]] = SEGMENTS, apart: str | None = None) -> DataFrame:
+    """(a, b) of nodes whose fingerprints differ in at most distance bits, each pair once. apart: only
+    pairs in which this column differs."""
+    found = sum(1 + wild for _, _, wild in segments) - 1
+    if distance > found:
+        raise ValueError(f"these segments find links of up to {found} bits")
+    own = F.col(apart) if apart else F.lit(0)
+    keyed = nodes.select(F.col(node).alias("n"), F.col(fp).alias("f"), own.alias("c"), F.explode(variants(F.col(fp), segments)).alias("v"))
     a, b = keyed.alias("a"), keyed.alias("b")
     differ = F.col("a.f").bitwiseXOR(F.col("b.f"))
-    hit = (F.col("a.v") == F.col("b.v")) & (F.col("a.f") < F.col("b.f")) & (F.bit_count(differ) <= distance)
-    hit = hit & (F.shiftright("a.v", 32) == first_common(differ))
+    order = (F.col("a.f") < F.col("b.f")) | (F.col("a.f") == F.col("b.f")) & (F.col("a.n") < F.col("b.n"))
+    hit = (F.col("a.v") == F.col("b.v")) & order & (F.bit_count(differ) <= distance)
+    hit = hit & (F.shiftright("a.v", 32) == first_common(differ, segments))
+    hit = hit & (F.col("a.c") != F.col("b.c")) if apart else hit
     return a.join(b, hit).select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))
 
 
+def stars(nodes: DataFrame, node: str = "rep", fp: str = "fp", window: int = 7) -> DataFrame:
+    """(a, b): of all fingerprints that are equal outside a window of bits, each with the least node."""
+    masks = [~int(np.uint64(((1 << min(window, 64 - at)) - 1) << at).view(np.int64)) for at in range(0, 64, window)]
+    keyed = nodes.select(F.col(node).alias("b"), F.posexplode(F.array(*(F.col(fp).bitwiseAND(F.lit(m)) for m in masks))).alias("m", "v"))
+    least = keyed.groupBy("m", "v").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(least, ["m", "v"]).where("a <> b").select("a", "b").distinct()
+
+
+#: Up to so many ids a set is sent to all tasks; beyond, texts are shuffled to it.
+MOST_SENT = 1_000_000
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
+    """pairs (a, b), of which the texts (node, u, text) have at least that Jaccard similarity."""
+    pairs = materialise(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
+    ids = F.broadcast(ids) if pairs.count() * 2 <= MOST_SENT else ids
+    some = texts.join(ids, F.col("node") == F.col("n"), "left_semi")
+    both = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            good = [jaccard(s.as_py(), t.as_py(), size) >= least for s, t in zip(x.column("ta"), x.column("tb"), strict=True)]
+            yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, pairs.schema)
+
+
+#: For word fingerprints: four segments, each with a wildcard, find links of up to seven bits.
+WORD_SEGMENTS = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
+WORD_DISTANCE, CLOSE = 7, 3
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
+    """(key, component) of docs with a key: documents connected by pairs that similar. Rows of a key
+    count as one document, with the text of the least hash."""
+    one = docs.select(F.col(key).alias("node"), F.coalesce(text, F.lit("")).alias("text")).where("node is not null").withColumn("u", F.xxhash64("text"))
+    prints = fingerprints(one.select(F.struct("node", "u").alias("at"), "text"), "at", "text", word_fingerprint)
+    prints = prints.groupBy("at.node").agg(F.min(F.struct("at.u", "fp")).alias("x")).select("node", "x.u", "x.fp")
+    # copies of a text are one node from the start
+    texts = materialise(prints.groupBy("u", "fp").agg(F.min("node").alias("rep")), "texts")
+    nodes = texts.select("rep", "fp", F.col("rep").alias("c"))
+    own = one.join(texts.select("u", F.col("rep").alias("node")), ["node", "u"], "left_semi") if prints.count() < one.count() else one
+    found, edges = stars(nodes).unionByName(same_prints(nodes)).distinct(), None
+    for distance in (CLOSE, WORD_DISTANCE, None):
+        good = materialise(verified(found, own, least, size), "links")
+        edges = good if edges is None else edges.unionByName(good)
+        roots = components(edges)
+        nodes = nodes.drop("c").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "fp", F.coalesce("root", "rep").alias("c"))
+        if distance:
+            nodes = materialise(nodes, "nodes")
+            found = links(nodes, distance=distance, segments=WORD_SEGMENTS, apart="c")
+    named = texts.join(nodes.select("rep", "c"), "rep").select("u", F.col("fp").alias("f"), "c")
+    return prints.join(named, (prints["u"] == named["u"]) & (prints["fp"] == named["f"])).select(F.col("node").alias(key), F.col("c").alias("component"))
+
+
+def same_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b): different texts of one fingerprint, each with the least."""
+    least = nodes.groupBy("fp").agg(F.min("rep").alias("a"))
+    return nodes.select(F.col("rep").alias("b"), "fp").join(least, "fp").where("a <> b").select("a", "b")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component): rows without a key have a component only through their fingerprint."""
     prints = fingerprints(docs, key, text)
@@ -117,12 +225,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     return prints.join(named, F.col("fp") == F.col("f")).select(key, "fp", "component")
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row of each group, whole: that of the least key. Of rows that repeat this key the least
-    stays. Rows without a key are never copies of a row with one; of equal ones one stays."""
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
+    """One row of each group of similar(), whole: that of the least key. Of rows that repeat this key
+    the least stays. Rows without a key are never copies of a row with one; of equal ones one stays."""
     rest = [c for c in docs.columns if c != key]
     keyed = docs.where(F.col(key).isNotNull())
-    kept = groups(keyed, key, text, distance).where(F.col(key) == F.col("component")).select(F.col(key).alias("__k")).distinct()
+    kept = similar(keyed, key, text, least, size).where(F.col(key) == F.col("component")).select(F.col(key).alias("__k")).distinct()
     one = keyed.join(kept, F.col(key) == F.col("__k"), "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("__r"))
     one = one.select(*(F.col(key) if c == key else F.col("__r")[c].alias(c) for c in docs.columns))
     return one.unionByName(docs.where(F.col(key).isNull()).distinct())

@@ -159,12 +159,50 @@ def test_groups(spark):
                     parent[i] = parent[j] = min(parent[i], parent[j])
     assert got == dict(enumerate(parent))
     kept = simhash.dedupe(docs).collect()
-    assert sorted(x["doc_id"] for x in kept) == sorted(set(parent)) and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
+    assert sorted(x["doc_id"] for x in kept) == [*range(5), 15, 18] and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
     assert simhash.groups(docs.limit(0)).count() == 0
     alone = table(spark, [(None, "a"), (None, "a"), (None, "b")])
     assert simhash.dedupe(alone).count() == 2
 
 
+def test_similar(spark):
+    """Against all pairs: linked if at most seven bits of the word fingerprints differ and the
+    similarity is at least 0.8."""
+    r = random.Random(17)
+    texts = [prose(r, n) for n in (400, 120, 60, 30, 9, 8, 3, 1)]
+    for t in list(texts):
+        for k in (1, 1, 2, 3, 6):
+            w = t.split()
+            for _ in range(k):
+                w[r.randrange(len(w))] = prose(r, 1)
+            texts.append(" ".join(w))
+    base = prose(r, 300).split()
+    for _ in range(40):  # a large group of near copies
+        w = list(base)
+        for _ in range(r.randrange(1, 5)):
+            w[r.randrange(len(w))] = f"new{r.randrange(99)}"
+        texts.append(" ".join(w))
+    texts += texts[:5] + ["", " ", " ".join(reversed(base))]
+    prints = [simhash.word_fingerprint(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 7 and simhash.jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    docs = table(spark, list(enumerate(texts)))
+    got = {x["doc_id"]: x["component"] for x in simhash.similar(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and find(len(texts) - 1) == len(texts) - 1
+    again = simhash.similar(docs.unionByName(table(spark, [(0, "another text"), (None, "x")]))).collect()
+    assert {x["doc_id"] for x in again} == set(range(len(texts)))
+
+
 # --- 5 sketches
 
 
