@@ -47,9 +47,22 @@ def content_of(papers: DataFrame, matches: DataFrame, sections: DataFrame, query
     return kwic(own, query, window).join(papers.select("paper_id", F.col("title").alias("paper_title")), "paper_id")
 
 
-def overlap(a_words: str, b_words: str):
-    """Share of b's different words that a has."""
-    return F.size(F.array_intersect(a_words, b_words)) / F.size(F.array_distinct(b_words))
+def word_overlap(docs: DataFrame, items: DataFrame, doc: str, item: str, share: float = 0.7, over: int = 5) -> DataFrame:
+    """(doc, item, shared): pairs that share more than over different words and more than that share
+    of the item's. Any such pair has one of the item's rarest words in common, of which so many are
+    taken that the others alone would not be enough; only these words are joined on, so common
+    words pair nothing. docs and items: (key, text)."""
+    bag = lambda df, key: df.select(key, F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
+    a, b = bag(docs, doc), bag(items, item)
+    each, asked = a.select(doc, F.explode("words").alias("w")), b.select(item, F.size("words").alias("m"), F.explode("words").alias("w"))
+    known = each.join(asked.select("w").distinct(), "w", "left_semi")
+    often = known.groupBy("w").agg(F.count("*").alias("df"))
+    rare = asked.join(often, "w").withColumn("n", F.row_number().over(Window.partitionBy(item).orderBy("df", "w")))
+    rare = rare.where(F.col("n") <= F.floor(F.col("m") * (1 - share)) + 1).select(item, "w")
+    pairs = known.join(rare, "w").select(doc, item).distinct()
+    both = pairs.join(a.withColumnRenamed("words", "x"), doc).join(b.withColumnRenamed("words", "y"), item)
+    got = both.select(doc, item, F.size(F.array_intersect("x", "y")).alias("shared"), F.size("y").alias("m"))
+    return got.where((F.col("shared") > over) & (F.col("shared") / F.col("m") > share)).drop("m")
 
 
 def normal(text):

@@ -66,7 +66,7 @@ def search_many(points: DataFrame, queries: dict, k: int = 5, key: str = "id", c
     """(query, key, score): the k best for each query of a block of at most MOST_QUERIES."""
     if len(queries) > MOST_QUERIES:
         raise ValueError(f"pass at most {MOST_QUERIES} queries at a time")
-    scores = F.array(*(F.struct(F.lit(q).alias("query"), dot(F.col(column), literal(v)).alias("score")) for q, v in queries.items()))
+    scores = F.array(*(F.struct((F.lit(q).cast("long") if isinstance(q, int) else F.lit(q)).alias("query"), dot(F.col(column), literal(v)).alias("score")) for q, v in queries.items()))
     got = points.select(key, F.explode(scores).alias("s")).select("s.query", key, "s.score")
     return _by_window(got, "query", key, k)
 

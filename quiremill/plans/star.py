@@ -26,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TARGET, SOURCE = -5, 7
 #: For the SQL side: sentences with their edges, and paragraphs with theirs.
-GRAPH = """WITH s AS (SELECT DISTINCT l_orderkey*10+l_linenumber AS sentence_id, l_orderkey AS paragraph_id, o_custkey AS paper_id, l_linenumber AS sentence_index, year(o_orderdate) AS year, o_orderpriority AS section, -l_suppkey AS cited_id FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
+GRAPH = """WITH s AS (SELECT DISTINCT l_orderkey*10+l_linenumber AS sentence_id, l_orderkey AS paragraph_id, o_custkey AS paper_id, l_linenumber AS sentence_index, year(o_orderdate)::INTEGER AS year, o_orderpriority AS section, -l_suppkey AS cited_id FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
 pc AS (SELECT paragraph_id, paper_id, year, section, cited_id, count(*) AS citation_count FROM s GROUP BY ALL) """
 
 
@@ -374,11 +374,7 @@ def language_votes(spark, d):
 
 @query("WITH d AS (SELECT doc_id, list_distinct(string_split(lower(text),' ')) AS w FROM documents), b AS (SELECT item_id, list_distinct(string_split(lower(text),' ')) AS w FROM benchmark) SELECT doc_id, item_id, len(list_intersect(d.w,b.w))::INTEGER AS shared FROM d, b WHERE len(list_intersect(d.w,b.w))>5 AND len(list_intersect(d.w,b.w))/len(b.w)>0.7")
 def paragraph_sentence_overlap(spark, d):
-    """Joined on words, so only pairs that share one are looked at; the counts then decide."""
-    each = lambda df, key: df.select(key, F.array_distinct(F.split(F.lower("text"), " ")).alias("w")).select(key, F.size("w").alias("n"), F.explode("w").alias("w"))
-    a, b = each(documents(spark, d), "doc_id"), each(t(spark, d, "benchmark"), "item_id").withColumnRenamed("n", "m")
-    got = a.join(b, "w").groupBy("doc_id", "item_id", "m").agg(F.count("*").alias("shared"))
-    return got.where((F.col("shared") > 5) & (F.col("shared") / F.col("m") > 0.7)).select("doc_id", "item_id", F.col("shared").cast("int"))
+    return C.word_overlap(documents(spark, d), t(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 _W = "len(list_filter(string_split_regex(text,'\\s+'), lambda w: w<>''))"
