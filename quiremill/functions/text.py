@@ -253,14 +253,20 @@ def quality_score(text: Column, bonus: Column | float = 0.0, pages_read: Column
 
 def language_votes(text: Column) -> dict[str, Column]:
     low = F.lower(text)
-    return {k: F.aggregate(F.array(*(low.contains(p).cast("int") for p in pieces)), F.lit(0), lambda a, x: a + x) for k, pieces in LANGUAGES.items()}
+    return {k: reduce(lambda a, b: a + b, (low.contains(p).cast("int") for p in pieces)) for k, pieces in LANGUAGES.items()}
 
 
-def detect_language(text: Column) -> Column:
+def pick_language(votes: dict[str, Column]) -> Column:
     """Most votes; the first language of the list among equals; en without votes."""
-    votes = [F.struct(v.alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, v) in enumerate(language_votes(text).items())]
-    best = F.array_max(F.array(*votes))
-    return F.when(best["n"] > 0, best["k"]).otherwise("en")
+    most = F.greatest(*votes.values())
+    out = F.when(most == 0, "en")
+    for k, v in votes.items():
+        out = out.when(v == most, k)
+    return out
+
+
+def detect_language(text: Column) -> Column:
+    return F.coalesce(pick_language(language_votes(text)), F.lit("en"))
 
 
 def citation_direction(query: Column) -> Column:

@@ -368,8 +368,8 @@ _BEST = "CASE WHEN greatest({all})=0 THEN 'en' {when} END".format(all=",".join(_
 
 @query(f"SELECT doc_id, fr, de, {_BEST} AS language FROM (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _VOTES.items())} FROM (SELECT doc_id, lower(text) AS l FROM documents))")
 def language_votes(spark, d):
-    v = X.language_votes(F.col("text"))
-    return documents(spark, d).select("doc_id", v["fr"].alias("fr"), v["de"].alias("de"), X.detect_language(F.col("text")).alias("language"))
+    votes = documents(spark, d).select("doc_id", *(v.alias(k) for k, v in X.language_votes(F.col("text")).items()))
+    return votes.select("doc_id", "fr", "de", X.pick_language({k: F.col(k) for k in X.LANGUAGES}).alias("language"))
 
 
 @query("WITH d AS (SELECT doc_id, list_distinct(string_split(lower(text),' ')) AS w FROM documents), b AS (SELECT item_id, list_distinct(string_split(lower(text),' ')) AS w FROM benchmark) SELECT doc_id, item_id, len(list_intersect(d.w,b.w))::INTEGER AS shared FROM d, b WHERE len(list_intersect(d.w,b.w))>5 AND len(list_intersect(d.w,b.w))/len(b.w)>0.7")
