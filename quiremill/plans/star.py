@@ -1,6 +1,6 @@
 """The operators over the star-schema tables, each with the SQL that must give the same rows.
 
-citing papers: customer; cited papers: supplier (negative ids, stubs); paragraphs: orders;
+citing papers: customer; cited papers: supplier (ids below zero, stubs); paragraphs: orders;
 sentences: lineitem, which cite l_suppkey; authors: supplier, who "write" the parts they supply.
 """
 
@@ -26,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TARGET, SOURCE = -5, 7
 #: For the SQL side: sentences with their edges, and paragraphs with theirs.
-GRAPH = """WITH s AS (SELECT DISTINCT l_orderkey*10+l_linenumber AS sentence_id, l_orderkey AS paragraph_id, o_custkey AS paper_id, l_linenumber AS sentence_index, year(o_orderdate)::INTEGER AS year, o_orderpriority AS section, -l_suppkey AS cited_id FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
+GRAPH = """WITH s AS (SELECT DISTINCT l_orderkey*10+l_linenumber AS sentence_id, l_orderkey AS paragraph_id, o_custkey AS paper_id, l_linenumber AS sentence_index, year(o_orderdate)::INTEGER AS year, o_orderpriority AS section, -l_suppkey-1 AS cited_id FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
 pc AS (SELECT paragraph_id, paper_id, year, section, cited_id, count(*) AS citation_count FROM s GROUP BY ALL) """
 
 
@@ -45,10 +45,10 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str) -> G.Graph:
-    line = t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sentence_id"), F.col("l_orderkey").alias("paragraph_id"), F.col("l_linenumber").alias("sentence_index"), (-F.col("l_suppkey")).alias("cited_id"))
+    line = t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sentence_id"), F.col("l_orderkey").alias("paragraph_id"), F.col("l_linenumber").alias("sentence_index"), (-1 - F.col("l_suppkey")).alias("cited_id"))
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("paragraph_id"), F.col("o_custkey").alias("paper_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("section"))
     papers = t(spark, d, "customer").select(F.col("c_custkey").alias("paper_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("journal"), F.lit(False).alias("stub"))
-    stubs = t(spark, d, "supplier").select((-F.col("s_suppkey")).alias("paper_id"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("journal"), F.lit(True).alias("stub"))
+    stubs = t(spark, d, "supplier").select((-1 - F.col("s_suppkey")).alias("paper_id"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("journal"), F.lit(True).alias("stub"))
     line = line.distinct()  # line numbers repeat within some orders
     return G.Graph(
         papers=papers.unionByName(stubs),
@@ -103,7 +103,7 @@ def network_overview(spark, d):
     return G.network_overview(graph(spark, d))
 
 
-@query(GRAPH + "SELECT -s_suppkey AS paper_id, count(DISTINCT s.paper_id) AS cited_by_count FROM supplier LEFT JOIN s ON s.cited_id=-s_suppkey GROUP BY s_suppkey ORDER BY cited_by_count DESC, -s_suppkey LIMIT 10")
+@query(GRAPH + "SELECT -s_suppkey-1 AS paper_id, count(DISTINCT s.paper_id) AS cited_by_count FROM supplier LEFT JOIN s ON s.cited_id=-s_suppkey-1 GROUP BY s_suppkey ORDER BY cited_by_count DESC, -s_suppkey LIMIT 10")
 def stub_ranking(spark, d):
     return G.stub_ranking(graph(spark, d))
 
