@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAPER = "id string, title string, authors array<string>, year int, stub boolean, doi string, journal string, publisher string"
@@ -25,6 +25,13 @@ TURN = "conv_id long, turn long, role string, text string"
 # Claim types and relation types.
 CLAIM_TYPES = ("CLAIM_MAIN", "CLAIM_SUPPORTING", "EVIDENCE_EMPIRICAL", "EVIDENCE_THEORETICAL", "EVIDENCE_LITERATURE", "COUNTERARGUMENT", "REBUTTAL", "CONTEXT_LIMITATION", "METHODOLOGY", "ASSUMPTION", "QUESTION_MOTIVATION", "FUTURE_WORK", "NEUTRAL", "NON_ARGUMENT")
 
+RELATION_TYPES = ("CITES", "SUPPORTS", "REFUTES", "ELABORATES", "QUALIFIES", "EXTENDS", "CONTRASTS", "REPEATS", "INSPIRED_BY", "USES_METHOD_OF")
+
+
+def types_of(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
+    """A dimension of claim or relation types: (id, is_default)."""
+    return spark.createDataFrame([(n, True) for n in names], "id string, is_default boolean")
+
 
 def year(raw: Column) -> Column:
     """A year as stored anywhere (text, number, 0, "Unknown") as a nullable int."""

@@ -123,6 +123,11 @@ def write_sentences(sentences: DataFrame, path: str, mode: str = "append") -> No
     sentences.withColumn("char_count", X.char_count(s)).withColumn("word_count", X.word_count(s)).sortWithinPartitions("paper_id", "sentence_index").write.mode(mode).parquet(path)
 
 
+def write_trace(trace: DataFrame, path: str, order: str = "at", most: int = 1000) -> None:
+    """The last rows of a trace as JSON lines."""
+    trace.orderBy(F.desc(order)).limit(most).write.mode("overwrite").json(path)
+
+
 def import_new(documents: DataFrame, done: DataFrame, key: str = "paper_id") -> DataFrame:
     return documents.join(done.select(key), key, "left_anti")
 
