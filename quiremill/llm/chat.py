@@ -183,4 +183,24 @@ def op1_token_level_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD).alias("text"),
     )
-    return digests(format_turns(turns.unionByName(odd), path), path)
+    got = digests(format_turns(turns.unionByName(odd), path), path)
+    return got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+#: The same from the texts: marks have fixed lengths, and each control string grows by one character.
+ORACLE_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{ODD}' UNION ALL SELECT -1, 1, 'assistant', '{ODD}'
+), l AS (
+  SELECT *, len(text) + len(regexp_extract_all(text, '{CONTROL.pattern}')) + CASE role
+    {" ".join(f"WHEN '{r}' THEN {len(a) + len(z)}" for r, (a, z) in ROLES.items())}
+    ELSE {len("[ROLE][TEXT][/ROLE]")} + len(role) + len(regexp_extract_all(role, '{CONTROL.pattern}')) END AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = '{LOSS_ROLE}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+  ({len("<s>")} + sum(n))::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""

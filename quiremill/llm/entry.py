@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import op1_token_level_chat
 from .media import op3_netpbm_media
 from .packing import op9_nnls_packing
@@ -29,4 +30,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_token_level_chat": CHAT_SQL}

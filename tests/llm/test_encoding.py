@@ -206,3 +206,15 @@ def test_chat(spark):
     ends = {r["position"]: r["start"] + len(r["ids"]) for r in formatted.where("conv_id = 1").collect()}
     assert [r["start"] for r in formatted.where("conv_id = 1 and position > 0").orderBy("position").collect()] == [ends[i] for i in range(3)]
     assert chat.digests(chat.format_turns(df.limit(0), BYTES), BYTES).count() == 0
+
+
+def test_chat_query_equals_sql(spark):
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{data}/conversations.parquet')")
+    want = con.execute(chat.ORACLE_SQL)
+    names = [c[0] for c in want.description]
+    got = chat.op1_token_level_chat(spark, data).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
