@@ -12,14 +12,16 @@ groups of copies, however large, are never expanded.
 Null text counts as empty. Texts without words have fingerprint zero and link like any other.
 Repeated rows keep their doc_id once each; the component is named by the least doc_id.
 
-similar() serves deduplication at a similarity of 0.8 on five-word shingles, which moves up to
-thirteen bits of a fingerprint of shingles, but hardly more than seven of one of distinct words.
-It indexes word fingerprints for seven bits (four segments of sixteen bits, each with a wildcard)
-and holds every pair that passes against the exact Jaccard similarity of the two texts. In a large
-group of near copies nearly all pairs would pass; so pairs are made in rounds, first stars of texts
-that differ within a window of seven bits, then links of up to three bits, then all; a round leaves
-out pairs that the rounds before have already put into one component. Nothing that a pair could
-still connect is left out.
+similar() serves deduplication: texts that have 0.8 of their five-word shingles in common differ in up
+to thirteen bits of a fingerprint of shingles, but hardly in more than seven of one of distinct
+words. It indexes word fingerprints for seven bits (four segments of sixteen bits, each with a
+wildcard) and lets pairs pass whose shingle fingerprints differ in at most sixteen, so that texts of the
+same words in another order stay apart. In a large group of near copies nearly all pairs would link; so links are made in rounds,
+first stars of fingerprints that differ within a window of seven bits, then links of up to three
+bits, then all; a round leaves out pairs that the rounds before have already put into one
+component. Nothing that a pair could still connect is left out. With least every link is also held
+against the exact similarity of the two texts; links that fail connect nothing, so that in a
+group of texts that are just below it the last round has as many rows as the group has pairs.
 """
 
 from __future__ import annotations
@@ -137,29 +139,32 @@ def first_common(differ: Column, segments: Sequence[tuple[int, int, int]] = SEGM
     return out
 
 
-def links(nodes: DataFrame, node: str = "rep", fp: str = "fp", distance: int = DISTANCE, segments: Sequence[tuple[int, int, int]] = SEGMENTS, apart: str | None = None) -> DataFrame:
+def links(nodes: DataFrame, node: str = "rep", fp: str = "fp", distance: int = DISTANCE, segments: Sequence[tuple[int, int, int]] = SEGMENTS, apart: str | None = None, guard: str | None = None) -> DataFrame:
     """(a, b) of nodes whose fingerprints differ in at most distance bits, each pair once. apart: only
-    pairs in which this column differs."""
+    pairs in which this column differs. guard: only pairs in which at most GUARD bits of it differ."""
     found = sum(1 + wild for _, _, wild in segments) - 1
     if distance > found:
         raise ValueError(f"these segments find links of up to {found} bits")
     own = F.col(apart) if apart else F.lit(0)
-    keyed = nodes.select(F.col(node).alias("n"), F.col(fp).alias("f"), own.alias("c"), F.explode(variants(F.col(fp), segments)).alias("v"))
+    keyed = nodes.select(F.col(node).alias("n"), F.col(fp).alias("f"), own.alias("c"), (F.col(guard) if guard else F.lit(0)).alias("g"), F.explode(variants(F.col(fp), segments)).alias("v"))
     a, b = keyed.alias("a"), keyed.alias("b")
     differ = F.col("a.f").bitwiseXOR(F.col("b.f"))
     order = (F.col("a.f") < F.col("b.f")) | (F.col("a.f") == F.col("b.f")) & (F.col("a.n") < F.col("b.n"))
     hit = (F.col("a.v") == F.col("b.v")) & order & (F.bit_count(differ) <= distance)
     hit = hit & (F.shiftright("a.v", 32) == first_common(differ, segments))
     hit = hit & (F.col("a.c") != F.col("b.c")) if apart else hit
+    hit = hit & (F.bit_count(F.col("a.g").bitwiseXOR(F.col("b.g"))) <= GUARD) if guard else hit
     return a.join(b, hit).select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))
 
 
-def stars(nodes: DataFrame, node: str = "rep", fp: str = "fp", window: int = 7) -> DataFrame:
-    """(a, b): of all fingerprints that are equal outside a window of bits, each with the least node."""
+def stars(nodes: DataFrame, window: int = 7) -> DataFrame:
+    """(a, b) of nodes (rep, fp, guard): of all fingerprints that are equal outside a window of bits,
+    each with the least node, as far as their guards allow."""
     masks = [~int(np.uint64(((1 << min(window, 64 - at)) - 1) << at).view(np.int64)) for at in range(0, 64, window)]
-    keyed = nodes.select(F.col(node).alias("b"), F.posexplode(F.array(*(F.col(fp).bitwiseAND(F.lit(m)) for m in masks))).alias("m", "v"))
-    least = keyed.groupBy("m", "v").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(least, ["m", "v"]).where("a <> b").select("a", "b").distinct()
+    keyed = nodes.select(F.col("rep").alias("b"), "guard", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("m", "v"))
+    least = keyed.groupBy("m", "v").agg(F.min(F.struct("b", "guard")).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = F.bit_count(F.col("a.guard").bitwiseXOR(F.col("guard"))) <= GUARD
+    return keyed.join(least, ["m", "v"]).where((F.col("a.b") != F.col("b")) & near).select(F.col("a.b").alias("a"), "b").distinct()
 
 
 #: Up to so many ids a set is sent to all tasks; beyond, texts are shuffled to it.
@@ -185,37 +190,42 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> Dat
 #: For word fingerprints: four segments, each with a wildcard, find links of up to seven bits.
 WORD_SEGMENTS = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
 WORD_DISTANCE, CLOSE = 7, 3
+#: Fingerprints of the four-word shingles may differ in so many bits: texts with 0.8 of their
+#: five-word shingles in common differ in fifteen at most, texts of the same words in another order in half of all.
+GUARD = 16
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = None, size: int = 5) -> DataFrame:
     """(key, component) of docs with a key: documents connected by pairs that similar. Rows of a key
     count as one document, with the text of the least hash."""
     one = docs.select(F.col(key).alias("node"), F.coalesce(text, F.lit("")).alias("text")).where("node is not null").withColumn("u", F.xxhash64("text"))
-    prints = fingerprints(one.select(F.struct("node", "u").alias("at"), "text"), "at", "text", word_fingerprint)
-    prints = prints.groupBy("at.node").agg(F.min(F.struct("at.u", "fp")).alias("x")).select("node", "x.u", "x.fp")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column("text")]
+            both = [pa.array(np.array([of(t) for t in texts], np.uint64).view(np.int64)) for of in (word_fingerprint, fingerprint)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("u"), *both], ["node", "u", "fp", "guard"])
+
+    prints = materialise(one.select("node", "u", "text").mapInArrow(run, f"node {kind}, u long, fp long, guard long"), "fingerprints")
+    prints = prints.groupBy("node").agg(F.min(F.struct("u", "fp", "guard")).alias("x")).select("node", "x.u", "x.fp", "x.guard")
     # copies of a text are one node from the start
-    texts = materialise(prints.groupBy("u", "fp").agg(F.min("node").alias("rep")), "texts")
-    nodes = texts.select("rep", "fp", F.col("rep").alias("c"))
-    own = one.join(texts.select("u", F.col("rep").alias("node")), ["node", "u"], "left_semi") if prints.count() < one.count() else one
-    found, edges = stars(nodes).unionByName(same_prints(nodes)).distinct(), None
+    texts = materialise(prints.groupBy("u", "fp", "guard").agg(F.min("node").alias("rep")), "texts")
+    nodes = texts.select("rep", "fp", "guard", F.col("rep").alias("c"))
+    own = one if least is None else one.join(texts.select("u", F.col("rep").alias("node")), ["node", "u"], "left_semi")
+    found, edges = stars(nodes), None
     for distance in (CLOSE, WORD_DISTANCE, None):
-        good = materialise(verified(found, own, least, size), "links")
+        good = materialise(found if least is None else verified(found, own, least, size), "links")
         edges = good if edges is None else edges.unionByName(good)
         roots = components(edges)
-        nodes = nodes.drop("c").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "fp", F.coalesce("root", "rep").alias("c"))
+        nodes = nodes.drop("c").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "fp", "guard", F.coalesce("root", "rep").alias("c"))
         if distance:
             nodes = materialise(nodes, "nodes")
-            found = links(nodes, distance=distance, segments=WORD_SEGMENTS, apart="c")
+            found = links(nodes, distance=distance, segments=WORD_SEGMENTS, apart="c", guard="guard")
     named = texts.join(nodes.select("rep", "c"), "rep").select("u", F.col("fp").alias("f"), "c")
     return prints.join(named, (prints["u"] == named["u"]) & (prints["fp"] == named["f"])).select(F.col("node").alias(key), F.col("c").alias("component"))
 
 
-def same_prints(nodes: DataFrame) -> DataFrame:
-    """(a, b): different texts of one fingerprint, each with the least."""
-    least = nodes.groupBy("fp").agg(F.min("rep").alias("a"))
-    return nodes.select(F.col("rep").alias("b"), "fp").join(least, "fp").where("a <> b").select("a", "b")
-
-
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component): rows without a key have a component only through their fingerprint."""
     prints = fingerprints(docs, key, text)
@@ -225,7 +235,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     return prints.join(named, F.col("fp") == F.col("f")).select(key, "fp", "component")
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = None, size: int = 5) -> DataFrame:
     """One row of each group of similar(), whole: that of the least key. Of rows that repeat this key
     the least stays. Rows without a key are never copies of a row with one; of equal ones one stays."""
     rest = [c for c in docs.columns if c != key]

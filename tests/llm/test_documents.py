@@ -166,8 +166,8 @@ def test_groups(spark):
 
 
 def test_similar(spark):
-    """Against all pairs: linked if at most seven bits of the word fingerprints differ and the
-    similarity is at least 0.8."""
+    """Against all pairs: linked if at most seven bits of the word fingerprints differ and, if asked
+    for, the similarity is at least 0.8."""
     r = random.Random(17)
     texts = [prose(r, n) for n in (400, 120, 60, 30, 9, 8, 3, 1)]
     for t in list(texts):
@@ -183,22 +183,24 @@ def test_similar(spark):
             w[r.randrange(len(w))] = f"new{r.randrange(99)}"
         texts.append(" ".join(w))
     texts += texts[:5] + ["", " ", " ".join(reversed(base))]
-    prints = [simhash.word_fingerprint(t) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 7 and simhash.jaccard(texts[i], texts[j]) >= 0.8:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
+    prints, runs = [simhash.word_fingerprint(t) for t in texts], [simhash.fingerprint(t) for t in texts]
     docs = table(spark, list(enumerate(texts)))
-    got = {x["doc_id"]: x["component"] for x in simhash.similar(docs).collect()}
-    assert got == {i: find(i) for i in range(len(texts))} and find(len(texts) - 1) == len(texts) - 1
+    for least in (None, 0.8):
+        parent = list(range(len(texts)))
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(len(texts)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= 7 and (runs[i] ^ runs[j]).bit_count() <= 16 and (least is None or simhash.jaccard(texts[i], texts[j]) >= least):
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+        got = {x["doc_id"]: x["component"] for x in simhash.similar(docs, least=least).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
+        assert least is None or find(len(texts) - 1) == len(texts) - 1
     again = simhash.similar(docs.unionByName(table(spark, [(0, "another text"), (None, "x")]))).collect()
     assert {x["doc_id"] for x in again} == set(range(len(texts)))
 
