@@ -195,7 +195,7 @@ WORD_DISTANCE, CLOSE = 7, 3
 GUARD = 16
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = None, size: int = 5) -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = 0.8, size: int = 5) -> DataFrame:
     """(key, component) of docs with a key: documents connected by pairs that similar. Rows of a key
     count as one document, with the text of the least hash."""
     one = docs.select(F.col(key).alias("node"), F.coalesce(text, F.lit("")).alias("text")).where("node is not null").withColumn("u", F.xxhash64("text"))
@@ -235,7 +235,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     return prints.join(named, F.col("fp") == F.col("f")).select(key, "fp", "component")
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = None, size: int = 5) -> DataFrame:
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = 0.8, size: int = 5) -> DataFrame:
     """One row of each group of similar(), whole: that of the least key. Of rows that repeat this key
     the least stays. Rows without a key are never copies of a row with one; of equal ones one stays."""
     rest = [c for c in docs.columns if c != key]

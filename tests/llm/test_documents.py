@@ -205,6 +205,25 @@ def test_similar(spark):
     assert {x["doc_id"] for x in again} == set(range(len(texts)))
 
 
+def test_near_dedup_keeps_texts_below_0_8(spark):
+    """Texts that both fingerprints would link, but whose similarity is below 0.8."""
+    import corpus_pipeline
+
+    r, texts = random.Random(29), []
+    while len(texts) < 8:
+        base = prose(r, 300).split()
+        w = list(base)
+        for i in r.sample(range(300), 9):
+            w[i] = base[r.randrange(300)]
+        a, b = " ".join(base), " ".join(w)
+        near = (simhash.word_fingerprint(a) ^ simhash.word_fingerprint(b)).bit_count() <= 7 and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 16
+        if near and simhash.jaccard(a, b) < 0.8:
+            texts += [a, b]
+    docs = table(spark, list(enumerate(texts)))
+    assert simhash.dedupe(docs, least=None).count() == 4
+    assert simhash.dedupe(docs).count() == corpus_pipeline.near_dedup(spark, docs, "").count() == 8
+
+
 # --- 5 sketches
 
 
