@@ -12,20 +12,20 @@ groups of copies, however large, are never expanded.
 Null text counts as empty. Texts without words have fingerprint zero and link like any other.
 Repeated rows keep their doc_id once each; the component is named by the least doc_id.
 
-similar() serves deduplication: texts that have 0.8 of their five-word shingles in common differ in up
-to thirteen bits of a fingerprint of shingles, but hardly in more than seven of one of distinct
-words. It indexes word fingerprints for seven bits (four segments of sixteen bits, each with a
-wildcard) and lets pairs pass whose shingle fingerprints differ in at most sixteen, so that texts of the
-same words in another order stay apart. In a large group of near copies nearly all pairs would link; so links are made in rounds,
-first stars of fingerprints that differ within a window of seven bits, then links of up to three
-bits, then all; a round leaves out pairs that the rounds before have already put into one
-component. Nothing that a pair could still connect is left out. With least every link is also held
-against the exact similarity of the two texts; links that fail connect nothing, so that in a
-group of texts that are just below it the last round has as many rows as the group has pairs.
+similar() serves deduplication: it links every two texts that have 0.8 of their five-word shingles in
+common, however one was made from the other. Candidates come from prefixes, not from fingerprints: in
+one order of all shingles, two such texts have a shingle in common among the first n - 0.8 n + 1 of
+each. Shingles that are common in a sample come last in that order, so that a line of many texts
+makes few candidates; sizes, parity sketches and the number of shingles that two prefixes share
+rule out others without losing one, and the exact similarity decides. Links are made in two rounds: each shared shingle's texts with the one in
+which it comes first, then all pairs that are not yet in one component. least=None instead links by
+two fingerprints alone (distinct words up to seven bits, four-word shingles up to sixteen), which
+neither finds all such texts nor only such.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -195,11 +195,111 @@ WORD_DISTANCE, CLOSE = 7, 3
 GUARD = 16
 
 
+#: Longs of a text's sketch; about so many texts, chosen by hash, show which shingles are common.
+SKETCH, SAMPLE = 8, 4096
+#: A shingle in so many texts of the sample is common; at most so many are remembered.
+COMMON, MOST_COMMON = 5, 200_000
+
+
+def _shingles(text: str, size: int) -> np.ndarray:
+    """The distinct hashes, as signed longs, in ascending order; those of jaccard()'s runs."""
+    words = text.encode().lower().split()
+    raw = b"".join([xxhash.xxh64_digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))]) if words else b""
+    return np.unique(np.frombuffer(raw, ">i8").astype(np.int64))
+
+
+def prefix(shingles: np.ndarray, least: float, common: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(first, late). first: the first shingles in an order that all texts share: rare ones before common ones, then by hash. Two
+    texts of that similarity have one of these in common: of n shingles they share least * n or more. late: whether the last of these is common."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.int64), False  # texts without words are equal
+    late = np.isin(shingles, common)
+    size = n - max(1, math.ceil(least * n - 1e-9)) + 1
+    return np.concatenate([shingles[~late], shingles[late]])[:size], size > n - int(late.sum())
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles dealt over the bits: two sketches differ in no more bits than the sets in shingles."""
+    bits = np.bincount(shingles.view(np.uint64) % np.uint64(64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Of texts (u, text): shingles in many texts of a bounded sample. Any answer keeps the links whole; a good one keeps candidates few."""
+    few = texts.where(F.pmod("u", F.lit(max(1, texts.count() // SAMPLE))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_shingles(t.as_py(), size) for t in b.column("text")]))], ["v"])
+
+    count = few.select("text").mapInArrow(run, "v long").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = count.orderBy(F.desc("n"), "v").limit(MOST_COMMON).select("v").toArrow()
+    return np.sort(found.column("v").to_numpy())
+
+
+def _can(a: str, b: str, least: float) -> Column:
+    """Whether sizes and sketches of two texts allow that similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.s")[i].bitwiseXOR(F.col(f"{b}.s")[i])) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s")[0].bitwiseXOR(F.col(f"{b}.s")[0])))
+    return (F.least(n, m) >= F.greatest(n, m) * least - 1e-9) & (differ <= (n + m) * ((1 - least) / (1 + least)) + 1e-9)
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = 0.8, size: int = 5) -> DataFrame:
     """(key, component) of docs with a key: documents connected by pairs that similar. Rows of a key
     count as one document, with the text of the least hash."""
     one = docs.select(F.col(key).alias("node"), F.coalesce(text, F.lit("")).alias("text")).where("node is not null").withColumn("u", F.xxhash64("text"))
-    kind = docs.schema[key].dataType.simpleString()
+    if least is None:
+        return _by_prints(one, key)
+    if not 0 < least <= 1:
+        raise ValueError("least is a similarity above 0, 1 at most")
+    ids = materialise(one.groupBy("node").agg(F.min("u").alias("u")), "ids")
+    # copies of a text are one node from the start
+    texts = materialise(one.join(ids.groupBy("u").agg(F.min("node").alias("node")), ["node", "u"], "left_semi").dropDuplicates(["node", "u"]), "texts")
+    common, kind = common_shingles(texts, size), docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingles(t.as_py(), size) for t in b.column("text")]
+            firsts = [prefix(x, least, common) for x in sets]
+            columns = [pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
+            columns += [pa.array([late for _, late in firsts], pa.bool_()), pa.array([x for x, _ in firsts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *columns], ["rep", "n", "s", "late", "keys"])
+
+    prints = materialise(texts.select("node", "text").mapInArrow(run, f"rep {kind}, n int, s array<long>, late boolean, keys array<long>"), "prints")
+    keyed = prints.select("rep", F.posexplode("keys").alias("at", "v"))
+    # of each key the text in which it comes first, in a group the one with the least of its own
+    least_of = keyed.groupBy("v").agg(F.min(F.struct("at", "rep")).alias("x"), F.count("*").alias("k")).where("k > 1").select("v", F.col("x.rep").alias("star"))
+    shared = materialise(keyed.join(least_of, "v").select("v", "rep", "star"), "shared")
+    sets = prints.select("rep", "n", "s", (F.col("n") - F.size("keys")).alias("room"), F.struct("late", F.element_at("keys", -1).alias("v")).alias("end"))
+    pairs = shared.where("rep <> star").select(F.least("rep", "star").alias("a"), F.greatest("rep", "star").alias("b")).distinct()
+    x, y = sets.alias("x"), sets.alias("y")
+    first = materialise(pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_can("x", "y", least)).select("a", "b"), "pairs")
+    edges = materialise(verified(first, texts, least, size), "links")
+    roots = components(edges)
+    # what is in one component needs no other link
+    named = sets.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "s", "room", "end", F.coalesce("root", "rep").alias("c"))
+    rows = materialise(shared.select("v", "rep").join(named, "rep"), "keyed")
+    x, y = rows.alias("x"), rows.alias("y")
+    hit = (F.col("x.v") == F.col("y.v")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _can("x", "y", least)
+    # of the two prefixes one ends first; what is common up to there is common to both prefixes, what is beyond is in its room
+    room = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.room")).otherwise(F.col("y.room"))
+    need = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - room - 1e-9
+    found = x.join(y, hit).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), need.alias("need")).count()
+    rest = found.where("count >= need").select("a", "b").join(first, ["a", "b"], "left_anti")
+    # components of components: edges between the names that the first links gave
+    name = named.select(F.col("rep").alias("a"), F.col("c").alias("ca")), named.select(F.col("rep").alias("b"), F.col("c").alias("cb"))
+    more = materialise(verified(rest, texts, least, size), "links").join(name[0], "a").join(name[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    last = components(more).select(F.col("node").alias("c"), "root")
+    named = named.join(last, "c", "left").select("rep", F.coalesce("root", "c").alias("component"))
+    owner = ids.groupBy("u").agg(F.min("node").alias("rep")).join(named, "rep").select("u", "component")
+    return ids.join(owner, "u").select(F.col("node").alias(key), "component")
+
+
+def _by_prints(one: DataFrame, key: str) -> DataFrame:
+    """similar() by the two fingerprints alone, without a look at the texts (node, u, text)."""
+    kind = one.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,10 +312,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     # copies of a text are one node from the start
     texts = materialise(prints.groupBy("u", "fp", "guard").agg(F.min("node").alias("rep")), "texts")
     nodes = texts.select("rep", "fp", "guard", F.col("rep").alias("c"))
-    own = one if least is None else one.join(texts.select("u", F.col("rep").alias("node")), ["node", "u"], "left_semi")
     found, edges = stars(nodes), None
     for distance in (CLOSE, WORD_DISTANCE, None):
-        good = materialise(found if least is None else verified(found, own, least, size), "links")
+        good = materialise(found, "links")
         edges = good if edges is None else edges.unionByName(good)
         roots = components(edges)
         nodes = nodes.drop("c").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "fp", "guard", F.coalesce("root", "rep").alias("c"))

@@ -224,6 +224,41 @@ def test_near_dedup_keeps_texts_below_0_8(spark):
     assert simhash.dedupe(docs).count() == corpus_pipeline.near_dedup(spark, docs, "").count() == 8
 
 
+def test_similar_finds_every_kind_of_edit(spark):
+    """Against all pairs: texts cut off at an end, texts with another's beginning appended, scattered
+    changes, a line that many share; whatever has 0.8 in common is linked, nothing else is."""
+    r, texts = random.Random(31), []
+    for n in (40, 90, 200, 500):
+        for k in range(8):
+            w, other = [x + str(r.randrange(40)) for x in prose(r, n).split()], prose(r, n).split()
+            texts += [w, w[: round(n * r.uniform(0.78, 0.9))], w[round(n * r.uniform(0.1, 0.22)) :], w + other[: round(n * r.uniform(0.1, 0.25))]]
+            texts.append([x if r.random() > 0.03 else f"new{k}" for x in w])
+    line = "a line that a great many of the texts have in common with each other".split()
+    texts += [line + prose(r, r.choice((1, 3, 30))).split() for _ in range(60)]
+    texts = [" ".join(w) for w in texts]
+    parent, missed = list(range(len(texts))), 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    prints = [simhash.word_fingerprint(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if simhash.jaccard(texts[i], texts[j]) >= 0.8:
+                missed += (prints[i] ^ prints[j]).bit_count() > 7
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {x["doc_id"]: x["component"] for x in simhash.similar(table(spark, list(enumerate(texts)))).collect()}
+    assert missed > 20 and got == {i: find(i) for i in range(len(texts))}
+    for t in texts[:40]:
+        for u in texts[:40]:
+            a, b = simhash._shingles(t, 5), simhash._shingles(u, 5)
+            differ = simhash.sketch(a) ^ simhash.sketch(b)
+            assert sum(int(x).bit_count() for x in differ.view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 # --- 5 sketches
 
 
