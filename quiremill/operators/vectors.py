@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,15 @@ def search_many(points: DataFrame, queries: dict, k: int = 5, key: str = "id", c
     return _by_window(got, "query", key, k)
 
 
+def search_blocks(points: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", column: str = "vector") -> DataFrame:
+    """search_many for the rows of queries (key, column), however many: block by block, each against all points."""
+    rows, out = queries.select(key, column).toLocalIterator(), None
+    while block := {r[key]: r[column] for r in islice(rows, MOST_QUERIES)}:
+        got = search_many(points, block, k, key, column)
+        out = got if out is None else out.unionByName(got)
+    return search_many(points.limit(0), {0: [0.0]}, k, key, column) if out is None else out
+
+
 def embed_text(text: str | None, size: int = 384) -> list[float]:
     """A bag of hashed tokens, of unit length: the default where no model is at hand."""
     out = np.zeros(size)

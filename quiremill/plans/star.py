@@ -283,6 +283,12 @@ def vector_query_block(spark, d):
     return V.search_many(points(spark, d), block, 5).select("query", "id", F.round("score", 6).alias("score"))
 
 
+@query("SELECT query, vec_id AS id, score FROM (SELECT q.vec_id AS query, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]),6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS n FROM embeddings e, embeddings q WHERE q.vec_id%100=0) WHERE n<=5")
+def vector_query_blocks(spark, d):
+    p = points(spark, d)
+    return V.search_blocks(p, p.where("id % 100 = 0"), 5).select("query", "id", F.round("score", 6).alias("score"))
+
+
 def documents(spark, d):
     return t(spark, d, "documents").select("doc_id", "text")
 

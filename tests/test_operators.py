@@ -192,3 +192,13 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "in"))
     want = G.upsert(batch.limit(0), batch, ["user_id"], "seq")
     assert sorted(map(tuple, t.read().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_search_blocks(spark):
+    """More queries than a block holds, each against all points."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2 * V.MOST_QUERIES + 9, 3))
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = {(q["query"], q["id"]) for q in V.search_blocks(pts, pts, 4).collect()}
+    assert got == {(i, int(j)) for i, s in enumerate(x @ x.T) for j in np.argsort(-s)[:4]}
+    assert V.search_blocks(pts, pts.limit(0), 4).count() == 0
