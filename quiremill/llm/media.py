@@ -1,9 +1,13 @@
 """Operator 3: media columns. Netpbm and BMP to arrays, area resizing, NPY tiles, difference hashes.
 
 encode_text stores a text as an 8-bit colour picture 64 pixels wide, 192 bytes a row, without loss.
-A resized pixel is the mean of the area it covers, fractions of pixels included, from an integral
-image with linear interpolation between its points. Pictures that can't be read have null features
-and say why in the column error. Null text counts as empty: one row of spaces.
+A resized pixel is the mean of the area it covers, fractions of pixels included, from one integral
+image with linear interpolation between its points. Pictures that can't be read (cut off, with sizes
+that the bytes can't hold, samples beyond their maximum, of a kind that is not read) have null
+features and say why in the column error; a null picture has nulls only. Null text counts as empty:
+one row of spaces. Texts of any length are one picture. Repeated rows are pictures of their own,
+equal texts have equal ones. An empty table gives an empty one. Other columns stay, except those
+named like a result.
 """
 
 from __future__ import annotations
@@ -25,33 +29,46 @@ ROW = 192
 TILE = 16
 
 
+#: A number of a Netpbm header, behind space and comments; more digits than these hold no picture.
+NUMBER = re.compile(rb"(?:\s|#[^\n]*\n)*(\d{1,9})(?!\d)")
+
+
 def decode_netpbm(raw: bytes) -> np.ndarray:
     """P1 to P6: (height, width) for bitmaps and grey, (height, width, 3) for colour; bitmaps 0 (black) or 255."""
     if raw[:1] != b"P" or raw[1:2] not in b"123456" or len(raw) < 3:
         raise ValueError("not a Netpbm picture")
     kind, at, head = int(raw[1:2]), 2, []
     for _ in range(2 if kind in (1, 4) else 3):
-        m = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)").match(raw, at)
+        m = NUMBER.match(raw, at)
         if not m:
-            raise ValueError("the header is cut off")
+            raise ValueError("the header is cut off or has no number where one belongs")
         head.append(int(m[1]))
         at = m.end()
     width, height, most = *head[:2], head[2] if len(head) > 2 else 1
     if not 0 < most < 65536 or width < 1 or height < 1:
         raise ValueError("the header has impossible sizes")
     planes = 3 if kind in (3, 6) else 1
-    n = width * height * planes
-    if kind in (1, 2, 3):
-        body = re.sub(rb"#[^\n]*", b" ", raw[at:])
-        values = np.array([c - 48 for c in body if c in b"01"] if kind == 1 else body.split(), np.int64)
+    n, row = width * height * planes, -(-width // 8)
+    # before anything is reserved: the bytes that are left must be able to hold so many samples
+    needed = {1: n, 2: n, 3: n, 4: row * height, 5: n, 6: n}[kind] * (2 if kind > 4 and most > 255 else 1)
+    if len(raw) - at < needed:
+        raise ValueError("the samples are cut off")
+    if kind == 1:
+        values = np.frombuffer(re.sub(rb"#[^\n]*|[^01]", b"", raw[at:]), np.uint8) - 48
+    elif kind in (2, 3):
+        body = re.sub(rb"#[^\n]*", b" ", raw[at:]).split()[:n]
+        if any(len(x) > 9 or not x.isdigit() for x in body):
+            raise ValueError("a sample is no number below the maximum")
+        values = np.array(body, np.int64)
     elif kind == 4:
-        row = -(-width // 8)
         values = np.unpackbits(np.frombuffer(raw, np.uint8, row * height, at + 1).reshape(height, row), axis=1)[:, :width].ravel()
     else:
         values = np.frombuffer(raw, ">u2" if most > 255 else np.uint8, n, at + 1)
     if len(values) < n:
         raise ValueError("the samples are cut off")
     values = values[:n]
+    if int(values.max()) > most:
+        raise ValueError("a sample is no number below the maximum")
     if kind in (1, 4):
         values = (1 - values) * 255
     out = values.astype(np.uint16 if most > 255 else np.uint8)
@@ -68,14 +85,16 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     if raw[:2] != b"BM" or len(raw) < 54:
         raise ValueError("not a BMP picture")
     start, head, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", raw, 10)
-    if packed or bits not in (8, 24, 32) or width < 1 or not height:
+    if packed or head < 40 or bits not in (8, 24, 32) or width < 1 or not height:
         raise ValueError("a kind of BMP that is not read")
     rows, row = abs(height), -(-width * bits // 32) * 4
+    if start < 14 + head or len(raw) < start + row * rows:
+        raise ValueError("the samples are cut off")
     got = np.frombuffer(raw, np.uint8, row * rows, start).reshape(rows, row)[:, : width * bits // 8]
     if bits == 8:
-        count = (start - 14 - head) // 4
+        count = min(256, (start - 14 - head) // 4)
         palette = np.zeros((256, 3), np.uint8)
-        palette[:count] = np.frombuffer(raw, np.uint8, count * 4, 14 + head).reshape(-1, 4)[:256, 2::-1]
+        palette[:count] = np.frombuffer(raw, np.uint8, count * 4, 14 + head).reshape(-1, 4)[:, 2::-1]
         out = palette[got]
     else:
         out = got.reshape(rows, width, bits // 8)[:, :, 2::-1]
@@ -94,18 +113,32 @@ def decode(raw: bytes) -> np.ndarray:
     return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
 
 
+def integral(planes: np.ndarray) -> np.ndarray:
+    """At [y, x] the sum of all samples above y and left of x, one row and one column more than the picture."""
+    out = np.zeros((planes.shape[0] + 1, planes.shape[1] + 1, planes.shape[2]))
+    np.cumsum(planes, 0, np.float64, out=out[1:, 1:])
+    np.cumsum(out[1:, 1:], 1, out=out[1:, 1:])
+    return out
+
+
 def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means of equal areas, as float64, with the planes of the input."""
     planes = pixels if pixels.ndim == 3 else pixels[:, :, None]
-    for axis, size in ((0, height), (1, width)):  # the integral image is separable
-        n = planes.shape[axis]
-        total = np.concatenate([np.zeros_like(planes.take([0], axis), np.float64), np.cumsum(planes, axis, np.float64)], axis)
+    total = integral(planes)
+
+    def edges(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The point of the integral image before each edge, and how far the edge is beyond it."""
         edge = np.arange(size + 1) * (n / size)
         low = np.minimum(edge.astype(np.int64), n - 1)
-        part = (edge - low).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
-        at = total.take(low, axis) * (1 - part) + total.take(low + 1, axis) * part
-        planes = np.diff(at, axis=axis) * (size / n)
-    return planes if pixels.ndim == 3 else planes[:, :, 0]
+        return low, edge - low
+
+    (y, dy), (x, dx) = edges(planes.shape[0], height), edges(planes.shape[1], width)
+    dy, dx = dy[:, None, None], dx[None, :, None]
+    corner = lambda a, b: total[np.ix_(a, b)]
+    at = (corner(y, x) * (1 - dx) + corner(y, x + 1) * dx) * (1 - dy) + (corner(y + 1, x) * (1 - dx) + corner(y + 1, x + 1) * dx) * dy
+    sums = at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]
+    out = sums * (height * width / (planes.shape[0] * planes.shape[1]))
+    return out if pixels.ndim == 3 else out[:, :, 0]
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
@@ -163,8 +196,8 @@ def features(media: DataFrame, column: str = "media", tiles: bool = True) -> Dat
             payload = p.tobytes()
             base |= {"height": p.shape[0], "width": p.shape[1], "planes": 1 if p.ndim == 2 else p.shape[2], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": difference_hash(p)}
             base |= {"tile": npy_tile(p)} if tiles else {}
-        except ValueError as e:
-            base["error"] = str(e)
+        except (ValueError, OverflowError, MemoryError, struct.error) as e:  # a picture that can't be read is a row, not a failed job
+            base["error"] = str(e) or type(e).__name__
         return tuple(base.get(c) for c in have)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,6 +92,32 @@ def test_formats():
             media.decode(bad)
 
 
+BMP = media.encode_bmp(np.zeros((3, 3, 3), np.uint8))
+BROKEN = [
+    b"P6 99999999999999999999 9 255\n", b"P4 99999999999999999999 9\n", b"P6 999999999 999999999 255\nxx", b"P4 999999999 999999999\nxx",
+    b"P3 1 1 255 99999999999999999999999 1 1", b"P3 1 1 255 256 1 1", b"P2 1 1 9 x", b"P2 2 1 9 3", b"P1 3 1 0 1", b"P5 2 1 9\n\x01\x0a", b"P5 1 1 70000\n\x01",
+    b"P2 -1 1 9 3", b"P6 2 2", b"P6 2 2 255", b"P7 1 1 255\n\x01", b"P", BMP[:53], BMP[:60], BMP[:-1],
+    BMP[:18] + struct.pack("<ii", 2**31 - 1, -(2**31)) + BMP[26:], BMP[:14] + struct.pack("<I", 12) + BMP[18:], BMP[:10] + struct.pack("<I", 2**32 - 1) + BMP[14:],
+    BMP[:10] + struct.pack("<I", 20) + BMP[14:], BMP[:28] + struct.pack("<H", 1) + BMP[30:], BMP[:30] + struct.pack("<I", 1) + BMP[34:],
+]
+
+
+def test_pictures_that_cannot_be_read(spark):
+    """Huge headers, cut files and every malformed kind are rows with an error; so is any cut of a good file."""
+    whole = [media.encode_ppm(np.full((4, 5, 3), 7, np.uint8)), BMP, b"P2\n2 1\n9\n3 9", b"P1 2 2 0 1 1 0", b"P4\n9 2\n\xa0\x00\xa0\x00"]
+    cut = [w[:i] for w in whole for i in range(len(w) - 1)]
+    rows = [(i, bytearray(b)) for i, b in enumerate(BROKEN + cut)]
+    got = media.features(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert len(got) == len(rows) and all(r["error"] and r["feature"] is None and r["tile"] is None for r in got)
+    assert all(r["error"] is None for r in media.features(spark.createDataFrame([(0, bytearray(w)) for w in whole], "doc_id long, media binary")).collect())
+
+
+def test_integral_image():
+    p = np.random.default_rng(3).integers(0, 256, (6, 7, 3)).astype(np.uint8)
+    total = media.integral(p)
+    assert all((total[y, x] == p[:y, :x].sum((0, 1))).all() for y in range(7) for x in range(8))
+
+
 def test_resize_is_the_mean_of_areas():
     p = np.random.default_rng(1).integers(0, 256, (9, 10, 3)).astype(np.uint8)
     fine = p.astype(float).repeat(4, 0).repeat(7, 1)  # 36 x 70: cut evenly into 4 x 7
