@@ -75,16 +75,40 @@ def test_encode_decode(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 5000), max_size=400))
+@given(st.lists(st.integers(0, 5000) | st.integers(0, 2**64 - 1), max_size=700))
 def test_elias_fano(values):
-    v = np.sort(np.array(values, np.int64))
+    v = np.sort(np.array(values, np.uint64))
     bound = int(v[-1]) if len(v) else 0
     code = tokenfile.EliasFano.encode(v, bound)
-    assert code.all().tolist() == v.tolist()
     assert [code.select(i) for i in range(len(v))] == v.tolist()
+    for i in range(0, len(v), 97):
+        for n in (1, 5, 256, 400):
+            n = min(n, len(v) - i)
+            assert code.run(i, n).tolist() == v[i : i + n].tolist()
     assert tokenfile.EliasFano.sizes(len(v), bound, code.low_bits) == (len(code.samples) * 8, len(code.low), len(code.high))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.none() | st.integers(-(2**63), 2**63 - 1), st.integers(1, 9)), max_size=600))
+def test_shard(docs):
+    docs.sort(key=lambda d: (d[0] is not None, d[0] or 0))
+    ids = [np.arange(n, dtype="<u2").tobytes() for _, n in docs]
+    raw = tokenfile.pack_shard([k for k, _ in docs], ids)
+    s = tokenfile.Shard(raw)
+    assert [s.key(i) for i in range(s.n)] == [k for k, _ in docs]
+    assert [s.document(i).tobytes() for i in range(s.n)] == ids
+    for i in range(0, s.n, 131):
+        n = min(tokenfile.SAMPLE, s.n - i)
+        keys, at = s.run(i, n)
+        assert keys.to_pylist() == [k for k, _ in docs[i : i + n]] and [s.ids[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)] == ids[i : i + n]
+
+
+def test_boundaries_take_little_room():
+    ids = [bytes(2 * (300 + i % 50)) for i in range(2000)]
+    beside = len(tokenfile.pack_shard(list(range(2000)), ids)) - sum(map(len, ids))
+    assert beside * 8 / 2000 < 16  # bits a document, key included; plain tables take 128
+
+
 def test_token_file(spark, tmp_path):
     texts = [(5, "b c"), (None, "a"), (-3, None), (5, "a a a"), (7, "word " * 50), (9, "")]
     df = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, start int")
