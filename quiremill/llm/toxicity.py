@@ -1,10 +1,10 @@
 """Operator 6: toxicity, scored on text that a noisy-channel decoder has restored.
 
-A character trigram model is counted over the whole corpus. Words that look obfuscated (symbols or
-digits within letters, letters three times or more, single letters with gaps) become a lattice:
-each symbol may stand for itself or for the letters it imitates, a repeated letter may be an echo,
-a separator may be nothing. The Viterbi path under the character model and the channel's costs is
-the restored word. Words that offer no choice have one path and are kept as they are.
+A character trigram model is counted over the whole corpus. Every word that offers a choice becomes
+a lattice: each symbol or digit may stand for itself or for the letters it imitates, a repeated
+letter may be an echo, a separator may be nothing or the end of a word. The Viterbi path under the
+character model and the channel's costs is the restored word, and nothing but restored words is
+scored. Words that offer no choice have one path, which needs no search; what has no letter is none.
 
 Terms (restored words and their beginnings) are weighed by the log ratio of how often they occur in
 toxic and in other labelled texts; of toxic ones, texts with the same least word hash count once,
@@ -12,10 +12,11 @@ so that copies of one text do not make its words suspect. A second part of the l
 logistic curve on the largest weights of a text, so scores are probabilities on texts that the
 terms were not taken from. Labels, lang, source and doc_id are no inputs of a score.
 
-At most SAMPLE labelled rows (of the least id hash) are learned from, never held-out ones. Null
-text counts as empty and is scored by the curve at no terms. Without toxic labels all scores are 0.
-Rows without doc_id count as held out; repeated rows are scored alike; a doc_id labelled twice
-counts as its lower label.
+At most SAMPLE labelled rows (of the least id hash) are learned from, never held-out ones, whole
+texts of any length. Null text counts as empty and is scored by the curve at no terms. Without toxic
+labels all scores are 0. Rows without doc_id count as held out; repeated rows are scored alike; a
+doc_id labelled twice counts as its lower label. An empty table gives an empty one; other columns
+stay, except one named like the score.
 """
 
 from __future__ import annotations
@@ -50,12 +51,15 @@ SEPARATORS = ".-_*~'`·"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 OTHER = len(ALPHABET) + 1
 SYMBOLS = OTHER + 1
-#: Costs of the channel, as log probabilities.
-KEPT, IMITATED, ECHO, SEPARATED, LITERAL = -0.05, -1.2, -1.0, -0.7, -9.0
+#: Costs of the channel, as log probabilities: a letter that is meant, a symbol for a letter, an echo, a
+#: separator that is nothing, one that ends a word, a symbol that is itself, one more, a word behind it.
+KEPT, IMITATED, ECHO, SEPARATED, BROKEN, LITERAL, AGAIN, RESTART = -0.05, -1.2, -1.0, -0.7, -3.0, -5.0, -1.0, -4.0
 
 LETTER = r"[^\W\d_]"
 WORD = re.compile(rf"{LETTER}+")
-ODD = re.compile(rf"{LETTER}[^\s\w]*[\d@$!|+(€£¡*#]+[^\s\w]*{LETTER}|[\d@$!|+(€£¡]{LETTER}{{2}}|{LETTER}[\d@$|+(€£¡]|({LETTER})\1\1|^\W*{LETTER}(?:[.\-_*~'`·]{LETTER})+")
+#: Behind or before a letter, what may be something else; a letter twice.
+SYMBOL_CLASS = "[" + re.escape("".join(LEET) + SEPARATORS) + "]"
+CHOICE = re.compile(rf"({LETTER})\1|{LETTER}{SYMBOL_CLASS}|{SYMBOL_CLASS}{LETTER}")
 EDGES = re.compile(r"^[^\w@$|+(€£¡!]+|[^\w@$|€£]+$")
 GAP = re.compile(r" (\S) (\S) (\S) ")
 GAPPED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
@@ -109,7 +113,7 @@ class Restorer:
     """Words of chunks of text, restored."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model, self.logs = model, model.ravel().tolist()
 
     @staticmethod
     @cache
@@ -118,45 +122,47 @@ class Restorer:
 
     def decode(self, token: str) -> str:
         """The best path through the lattice of a token: its letters, with a space where a word ends."""
-        # (last two symbols) -> (log probability, output so far, last letter)
-        paths: dict[tuple[int, int], tuple[float, str, str]] = {(0, 0): (0.0, "", "")}
-        model = self.model
+        # (last two symbols, whether a symbol is between them and what comes) -> (log probability, output so far, last letter)
+        paths: dict[tuple[int, int, int], tuple[float, str, str]] = {(0, 0, 0): (0.0, "", "")}
+        logs, symbol = self.logs, self.symbol
         for c in token.lower() + " ":
-            new: dict[tuple[int, int], tuple[float, str, str]] = {}
-
-            def offer(key: tuple[int, int], value: tuple[float, str, str], new=new) -> None:
-                if key not in new or value[:2] > new[key][:2]:
-                    new[key] = value
-
-            for (a, b), (cost, out, last) in paths.items():
-                if c.isalpha():
-                    s = self.symbol(c)
-                    offer((b, s), (cost + KEPT + float(model[a, b, s]), out + c, c))
-                    if last == c:
-                        offer((a, b), (cost + ECHO, out, last))
-                    continue
-                for letter in LEET.get(c, ""):
-                    s = self.symbol(letter)
-                    offer((b, s), (cost + IMITATED + float(model[a, b, s]), out + letter, letter))
+            new: dict[tuple[int, int, int], tuple[float, str, str]] = {}
+            letters = ((c, KEPT, ECHO),) if c.isalpha() else tuple((x, IMITATED, ECHO + IMITATED) for x in LEET.get(c, ""))
+            for (a, b, gap), (cost, out, last) in paths.items():
+                at = (a * SYMBOLS + b) * SYMBOLS
+                offers = []
+                for letter, meant, echo in letters:
+                    s = symbol(letter)
+                    offers.append(((b, s, 0), cost + meant + logs[at + s] + (RESTART if gap and out else 0.0), out + letter, letter))
                     if last == letter:
-                        offer((a, b), (cost + ECHO + IMITATED, out, last))
-                if c in SEPARATORS and b:
-                    offer((a, b), (cost + SEPARATED, out, last))
-                end = 0.0 if c == " " else LITERAL
-                offer((b, 0) if b else (a, 0), (cost + end + (float(model[a, b, 0]) if b else 0.0), out + " " * bool(b), ""))
+                        offers.append(((a, b, gap), cost + echo, out, last))
+                if c == " ":
+                    offers.append(((b, 0, 0), cost + (logs[at] if b else 0.0), out, ""))
+                elif not c.isalpha():
+                    apart = c in SEPARATORS
+                    if apart and b:
+                        offers.append(((a, b, gap), cost + SEPARATED, out, last))
+                    if b:
+                        offers.append(((b, 0, 0 if apart else 1), cost + (BROKEN if apart else LITERAL) + logs[at], out + " ", ""))
+                    else:
+                        offers.append(((a, 0, gap if apart else 1), cost + (LITERAL if not out and not gap and not apart else AGAIN), out, ""))
+                for key, value, text, end in offers:
+                    if key not in new or (value, text) > new[key][:2]:
+                        new[key] = (value, text, end)
             paths = new
         return max(paths.values())[1].strip()
 
     def words(self, chunk: str) -> list[str]:
+        """The restored words of a chunk."""
         low = chunk.lower()
-        if ODD.search(low):
-            return [*WORD.findall(low), *(w for part in low.split() for w in self.decode(EDGES.sub("", part)).split())]
-        return WORD.findall(low)
+        if not CHOICE.search(low):
+            return WORD.findall(low)
+        return [w for part in low.split() for w in (self.decode(EDGES.sub("", part)).split() if CHOICE.search(part) else WORD.findall(part))]
 
     def text(self, text: str) -> str:
         """The whole text with its odd words restored, for reading."""
         text = GAPPED.sub(lambda m: m[0].replace(" ", "."), text)
-        return re.sub(r"\S+", lambda m: self.decode(EDGES.sub("", m[0])) if ODD.search(m[0].lower()) else m[0], text)
+        return re.sub(r"\S+", lambda m: self.decode(EDGES.sub("", m[0])) if CHOICE.search(m[0].lower()) else m[0], text)
 
 
 def chunks(text: str) -> set[str]:

@@ -418,6 +418,7 @@ def test_toxicity(labelled):
     assert np.mean(right) > 0.95
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
     assert "nitwit" in model.restorer.words("n.i.t.w.i.t") and "dolt" in model.restorer.words("d0o0lt") + model.restorer.words("d0lt")
+    assert toxicity.score(docs.limit(0), model).count() == 0
     assert model.restorer.words("plain,") == ["plain"]
 
 
@@ -427,32 +428,51 @@ def test_decode_is_the_best_path():
     model = np.log(r.dirichlet(np.ones(toxicity.SYMBOLS), (toxicity.SYMBOLS, toxicity.SYMBOLS))).astype(np.float32)
     restorer = toxicity.Restorer(model)
 
-    def readings(rest, state, out, last, cost):
+    def readings(rest, state, gap, out, last, cost):
         if not rest:
             yield cost, out.strip()
             return
         c, (a, b) = rest[0], state
-        if c.isalpha():
-            s = restorer.symbol(c)
-            yield from readings(rest[1:], (b, s), out + c, c, cost + toxicity.KEPT + model[a, b, s])
-            if c == last:
-                yield from readings(rest[1:], state, out, last, cost + toxicity.ECHO)
-            return
-        for x in toxicity.LEET.get(c, ""):
+        again = toxicity.RESTART if gap and out else 0.0
+        means = [(c, toxicity.KEPT, toxicity.ECHO)] if c.isalpha() else [(x, toxicity.IMITATED, toxicity.ECHO + toxicity.IMITATED) for x in toxicity.LEET.get(c, "")]
+        for x, meant, echo in means:
             s = restorer.symbol(x)
-            yield from readings(rest[1:], (b, s), out + x, x, cost + toxicity.IMITATED + model[a, b, s])
+            yield from readings(rest[1:], (b, s), 0, out + x, x, cost + meant + model[a, b, s] + again)
             if x == last:
-                yield from readings(rest[1:], state, out, last, cost + toxicity.ECHO + toxicity.IMITATED)
+                yield from readings(rest[1:], state, gap, out, last, cost + echo)
+        if c.isalpha():
+            return
+        end = model[a, b, 0] if b else 0.0
+        if c == " ":
+            yield from readings(rest[1:], (b, 0), 0, out, "", cost + end)
+            return
         if c in toxicity.SEPARATORS and b:
-            yield from readings(rest[1:], state, out, last, cost + toxicity.SEPARATED)
-        end = (0.0 if c == " " else toxicity.LITERAL) + (model[a, b, 0] if b else 0.0)
-        yield from readings(rest[1:], (b, 0) if b else (a, 0), out + " " * bool(b), "", cost + end)
-
-    for token in ["1d10t", "a@aa", "b.b.c", "n0.0n", "1", "l11i"]:
-        best = max(readings(token + " ", (0, 0), "", "", 0.0))
+            yield from readings(rest[1:], state, gap, out, last, cost + toxicity.SEPARATED)
+        kept = 0 if c in toxicity.SEPARATORS else 1
+        if b:
+            yield from readings(rest[1:], (b, 0), kept, out + " ", "", cost + end + (toxicity.LITERAL if kept else toxicity.BROKEN))
+        else:
+            first = kept and not gap and not out
+            yield from readings(rest[1:], (a, 0), kept or gap, out, "", cost + (toxicity.LITERAL if first else toxicity.AGAIN))
+
+    for token in ["1d10t", "a@aa", "b.b.c", "n0.0n", "1", "l11i", "(aa)", "a$$b", "bb-b", "aab", "-a.", "$.a"]:
+        best = max(readings(token + " ", (0, 0), 0, "", "", 0.0))
         assert restorer.decode(token) == best[1], token
 
 
+def test_only_restored_words_are_scored(spark, labelled):
+    """What offers a choice goes through the lattice, a doubled letter too; the raw word is not scored beside it."""
+    docs, labels = labelled
+    r = toxicity.fit(docs, labels).restorer
+    assert r.words("d0lt") == ["dolt"] and r.words("(dolt)") == ["dolt"] == r.words("dolt!!") == r.words("DOLT,")
+    assert r.words("n.i.t.w.i.t") == ["nitwit"] and r.words("12:30") == [] and r.words("") == []
+    seen = []
+    r.decode = lambda t, d=r.decode: seen.append(t) or d(t)
+    for w in ("plain", "letter", "w0rd", "a-b", "3rd", "12", "x,y"):
+        r.words(w)
+    assert seen == ["letter", "w0rd", "a-b", "3rd"]
+
+
 # --- the pipeline
 
 
