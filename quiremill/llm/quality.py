@@ -5,11 +5,13 @@ how often each pair of character classes occurs, and how much its words repeat a
 side by side and from before. An encoder maps it to a hidden vector; gated attention, learned from
 document labels alone, gives each passage a weight; the score is read off the weighted sum.
 
-The model is fitted on at most SAMPLE labelled rows (those of the least id hash, of at most
-SAMPLE_CHARS characters), never on held-out ones. Labels, lang, source and doc_id are no inputs.
-Null and empty texts have one passage of zeros. Without labelled rows every score is 0.5. Rows
-without doc_id count as held out; repeated rows are scored alike. A doc_id labelled twice counts
-as its lower label.
+The model is fitted on at most SAMPLE labelled rows, never held-out ones, in the order of their id
+hash, as far as they have SAMPLE_PASSAGES passages in all (a row that no longer fits is left out),
+which bounds what reaches the driver: passages of SIZE half-precision numbers. Labels, lang, source
+and doc_id are no inputs. Null and empty texts have one passage of zeros. Without labelled rows
+every score is 0.5. Rows without doc_id count as held out; repeated rows are scored alike. A doc_id
+labelled twice counts as its lower label, one with several texts as the least. Texts of any length are scored whole, in parts of bounded
+size. An empty table gives an empty one; other columns stay, except those named like a result.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 PASSAGE = 64
 SAMPLE = 6000
-SAMPLE_CHARS = 200_000
+SAMPLE_PASSAGES = 64_000
 HIDDEN, GATE, EPOCHS, BAGS = 32, 16, 25, 64
 THRESHOLD = 0.3
 AT_ONCE = 1 << 21
@@ -134,29 +136,48 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, y) of at most so many labelled rows that aren't held out."""
+    """(key, text, y) of the documents of at most so many labelled ids that aren't held out; null text as empty."""
     known = labels.where(F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min(label).alias("y"))
     known = known.orderBy(F.xxhash64(key), key).limit(rows).select(F.col(key).alias("__k"), "y")  # a bound, so it may be broadcast
-    got = docs.select(key, text).where(F.char_length(text) <= SAMPLE_CHARS)
-    return got.join(F.broadcast(known), F.col(key) == F.col("__k")).drop("__k")
+    got = docs.select(key, F.coalesce(text, F.lit("")).alias(text))
+    return got.join(F.broadcast(known), F.col(key) == F.col("__k")).groupBy(key, "y").agg(F.min(text).alias(text)).select(key, text, "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
+def passages(text: Column) -> Column:
+    """How many passages vectors() makes of a text, at most."""
+    return F.greatest(F.lit(1), F.ceil(F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+")) / PASSAGE))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE, key: str = "doc_id", text: str = "text", most: int = SAMPLE_PASSAGES) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 64):
                 part = b.slice(i, 64)
-                x, counts = vectors([t or "" for t in part.column(text).to_pylist()])
+                x, counts = vectors(part.column(text).to_pylist())
                 ends = np.cumsum(counts)
                 raw = [x[a:z].astype(np.float16).tobytes() for a, z in zip(ends - counts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.string()), part.column("y").cast(pa.int64()), pa.array(raw, pa.binary())], ["k", "y", "x"])
-
-    got = sample(docs, labels, label, rows, key, text).mapInArrow(run, "k string, y long, x binary").toArrow()
-    got = got.sort_by([("k", "ascending")])  # so that a fit doesn't depend on the order of tasks
-    bags = [np.frombuffer(r, np.float16).reshape(-1, SIZE) for r in got.column("x").to_pylist()]
-    if not bags:
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y").cast(pa.int64()), pa.array(raw, pa.binary())], ["h", "y", "x"])
+
+    known = sample(docs, labels, label, rows, key, text).select(F.xxhash64(key).alias("h"), text, "y", passages(F.col(text)).alias("n"))
+    known = materialise(known, "labelled")
+    # of a bounded number of rows: which of them fit
+    sizes = known.groupBy("h").agg(F.sum("n").alias("n")).orderBy("h").collect()
+    chosen, used = [], 0
+    for r in sizes:
+        if used + r["n"] <= most:
+            chosen.append((r["h"],))
+            used += r["n"]
+    if not chosen:
         return Model()
-    return Model().fit(np.concatenate(bags).astype(np.float32), np.array([len(b) for b in bags]), np.array(got.column("y").to_pylist(), np.float32))
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long"))
+    got = known.join(few, "h", "left_semi").mapInArrow(run, "h long, y long, x binary").toArrow()
+    got = got.sort_by([("h", "ascending"), ("y", "ascending")])  # so that a fit doesn't depend on the order of tasks
+    counts = np.array([len(x.as_buffer()) // 2 // SIZE for x in got.column("x")])
+    x, at = np.empty((counts.sum(), SIZE), np.float32), 0
+    for raw, n in zip(got.column("x"), counts.tolist(), strict=True):
+        x[at : at + n] = np.frombuffer(raw.as_buffer(), np.float16).reshape(n, SIZE)
+        at += n
+    return Model().fit(x, counts, got.column("y").to_numpy().astype(np.float32))
 
 
 def slices(batch: pa.RecordBatch, text: str, at_once: int = AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

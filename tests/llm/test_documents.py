@@ -385,6 +385,24 @@ def test_quality(labelled):
     assert all(flags[i] == (True if i is None else held(i)) for i in flags)
 
 
+def test_training_is_bounded_by_passages(spark, monkeypatch):
+    """Rows in the order of their id hash as far as they fit; passages are never counted too low."""
+    odd = ["", " a\x1cb\x85c\xa0d\u2003e ", "x " * 64, "x " * 65, prose(random.Random(1), 700)]
+    got = table(spark, list(enumerate(odd))).select(quality.passages(F.col("text")).alias("n")).collect()
+    assert [r["n"] for r in got] == quality.vectors(odd)[1].tolist()
+    r = random.Random(19)
+    docs = table(spark, [(i, prose(r, r.choice([3, 100, 1500]))) for i in range(120)] + [(500, None)])
+    labels = table(spark, [(i, i % 2) for i in [*range(120), 500]], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, x, counts, y: seen.append((len(x), len(counts), x)) or self)
+    quality.fit(docs, labels, most=200)
+    assert 200 - 25 < seen[0][0] <= 200
+    quality.fit(docs, labels)
+    known = {r["doc_id"]: r["text"] or "" for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    assert seen[1][1] == len(known) and seen[1][0] == quality.vectors(list(known.values()))[1].sum()
+    assert not quality.fit(docs, labels, most=0).fitted
+
+
 def test_gradient():
     r = np.random.default_rng(0)
     m = quality.Model()
