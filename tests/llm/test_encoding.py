@@ -232,6 +232,24 @@ def test_chat(spark):
     assert chat.digests(chat.format_turns(df.limit(0), BYTES), BYTES).count() == 0
 
 
+def test_long_conversations_are_spread(spark):
+    """One conversation of most rows, over many tasks, rows that repeat among them: places are those of one task."""
+    turns = [(7, i // 2, "user" if i % 2 else "assistant", f"turn {i % 50}") for i in range(3000)] + [(7, 4, "user", "same")] * 500 + [(None, i, "system", "x") for i in range(50)] + [(c, 0, "user", "y") for c in range(20, 60)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(9)
+    formatted = chat.format_turns(df, BYTES)
+    got = {}
+    for r in formatted.collect():
+        got.setdefault(r["conv_id"], []).append((r["position"], r["start"], r["turn"], len(r["ids"]), r["ids"][0] == chat.RESERVED, r["formatted"]))
+    for conv, rows in got.items():
+        rows.sort()
+        want = sorted((t for t in turns if t[0] == conv), key=lambda t: t[1:])
+        at = 0
+        for i, (row, t) in enumerate(zip(rows, want, strict=True)):
+            assert row[:3] == (i, at, t[1]) and row[4] == (i == 0) and t[3] in row[5]
+            at += row[3]
+    assert {r["conv_id"]: r["n_turns"] for r in chat.digests(formatted, BYTES).collect()} == {c: len(r) for c, r in got.items()}
+
+
 def test_chat_query_equals_sql(spark):
     import duckdb
 
