@@ -3,6 +3,7 @@
 Order over ids is computed in levels. The low 12 bits of an id, the next 20, the next 16 and the
 top 16 each form one window, so that no window ever holds more than 2**20 rows however many rows
 the table has, as long as ids are distinct. Rows with equal ids are summed before they get there.
+Rows without an id have a bucket of their own at each level, before all others; no id stands for none.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 
 #: Bits that each level of an id drops.
 LEVELS = (12, 20, 16)
+#: The bucket of rows without an id: no id has it, as those have 52 bits and a sign after the first level.
+NO_ID = -(1 << 52) - 1
+#: Over so many buckets rows without an id are dealt where they are ranked.
+NO_ID_PARTS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +61,9 @@ def _parents(low: DataFrame, value: Column) -> list[DataFrame]:
 def exclusive_prefix(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """(order, out): for each distinct order, the sum of value over all rows of a lower order.
 
-    order: long, null sorts first (as the least long). value: long, null counts as 0."""
-    key = F.coalesce(F.col(order), F.lit(-(1 << 63))).cast("long")
-    rows = df.groupBy(key.alias("o")).agg(F.sum(F.coalesce(value, F.lit(0))).alias("v"))
-    rows = rows.withColumn("k", F.shiftright("o", LEVELS[0]))
+    order: long, null sorts before the least. value: long, null counts as 0."""
+    rows = df.groupBy(F.col(order).cast("long").alias("o")).agg(F.sum(F.coalesce(value, F.lit(0))).alias("v"))
+    rows = rows.withColumn("k", F.coalesce(F.shiftright("o", LEVELS[0]), F.lit(NO_ID)))
     levels = _parents(rows.groupBy("k").agg(F.sum("v").alias("v")), F.sum("v"))
     above = None
     for bits, level in reversed(list(zip((*LEVELS[1:], None), levels, strict=True))):
@@ -72,8 +76,7 @@ def exclusive_prefix(df: DataFrame, order: str, value: str, out: str) -> DataFra
         above = level.select("k", "base")
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.coalesce(F.sum("v").over(w), F.lit(0))).join(above, "k")
-    back = F.when(F.col("o") == F.lit(-(1 << 63)), F.lit(None)).otherwise(F.col("o"))
-    return rows.select(back.alias(order), (F.col("own") + F.col("base")).cast("long").alias(out))
+    return rows.select(F.col("o").alias(order), (F.col("own") + F.col("base")).cast("long").alias(out))
 
 
 def successor(ids: DataFrame, order: str, out: str) -> DataFrame:
@@ -98,10 +101,12 @@ def successor(ids: DataFrame, order: str, out: str) -> DataFrame:
 
 
 def gapless_rank(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
-    """df with out: the 0-based number of each row among the rows of its keys, by order (null
-    first) and then by the other columns. Equal rows are counted first and dealt out again."""
+    """df with out: the 0-based number of each row among the rows of its keys, by order and then by the
+    other columns; rows without an order come first, by a hash of their other columns, so that
+    however many they are, no task has them all. Equal rows are counted first and dealt out again."""
     n = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
-    n = n.withColumn("__b", F.coalesce(F.shiftright(F.col(order).cast("long"), LEVELS[0]), F.lit(-(1 << 52))))
+    dealt = F.lit(NO_ID) - F.pmod(F.xxhash64(*[c for c in df.columns if c != order]), F.lit(NO_ID_PARTS))
+    n = n.withColumn("__b", F.coalesce(F.shiftright(F.col(order).cast("long"), LEVELS[0]), dealt))
     sums = n.groupBy(*keys, "__b").agg(F.sum("__n").alias("__v"))
     # buckets of a key: again in two levels, of at most 2**20 rows each as far as ids are dense
     sums = sums.withColumn("__u", F.shiftright("__b", LEVELS[1]))

@@ -8,7 +8,8 @@ The least hash is always kept, so only a text without words has an empty sketch.
 five words; a shorter text is one shingle. Null text counts as empty. Two empty sketches are
 alike (1.0). Rows that repeat a doc_id each get a result; the next document is the one with the
 next larger doc_id, and if that id repeats, its least text. Rows without doc_id have no next
-document: nothing replaces their second half.
+document: nothing replaces their second half, near_next is 0. Texts of any length are sketched
+whole. An empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,21 +96,23 @@ def edited(docs: DataFrame) -> DataFrame:
     second half of the text replaced by the beginning of the next, of the same length if that is
     long enough.
 
-    The text crosses the network once, keyed by doc_id (a key that can't be null, so that both
-    joins read one exchange); of each next document only its sketch and the longest beginning that
-    a row before it needs go on to that row."""
-    none = F.lit(-(1 << 63))
-    doc_id = F.nullif(F.col("key"), none).alias("doc_id")
-    docs = docs.select(F.coalesce("doc_id", none).alias("key"), "text")
-    ids = docs.select(doc_id, F.floor(F.char_length("text") / 2).cast("int").alias("need")).where("doc_id is not null")
+    The text crosses the network once, keyed by doc_id (by a number drawn from the text where there is
+    none, so that such rows are dealt over all tasks; known tells them apart from ids), and both
+    joins read that exchange; of each next document only its sketch and the longest beginning that a
+    row before it needs go on to that row."""
+    known = F.col("doc_id").isNotNull()
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), known.alias("known"), "text")
+    ids = docs.where("known").select(F.col("key").alias("doc_id"), F.floor(F.char_length("text") / 2).cast("int").alias("need"))
     need = ids.groupBy("doc_id").agg(F.max("need").alias("need"))
     links = successor(ids, "doc_id", "next_id").join(need, "doc_id").select(
-        F.coalesce("next_id", F.lit(0)).alias("next_id"), F.col("doc_id").alias("own_id"), "need"
-    )
-    begin = docs.join(links, F.col("key") == F.col("next_id"))
+        F.coalesce("next_id", F.lit(0)).alias("next_id"), F.col("doc_id").alias("own_id"), "need", (F.col("need") >= 0).alias("is_id")
+    )  # is_id is always true; as a column it is joined on and does not part the exchange of the texts in two
+    begin = docs.join(links, (F.col("key") == F.col("next_id")) & (F.col("known") == F.col("is_id")))
     begin = begin.select("own_id", "next_id", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("begin"), sketch(F.col("text")).alias("own")).alias("next"))
     begin = begin.groupBy("own_id").agg(F.max("next_id").alias("next_id"), F.min("next").alias("next"))
-    rows = docs.join(begin, F.col("key") == F.col("own_id"), "left")
+    begin = begin.withColumn("is_id", F.char_length("next.begin") >= 0)
+    rows = docs.join(begin, (F.col("key") == F.col("own_id")) & (F.col("known") == F.col("is_id")), "left")
+    doc_id = F.when(F.col("known"), F.col("key")).alias("doc_id")
     half = F.floor(F.char_length("text") / 2).cast("int")
     text = F.concat(
         F.substring("text", F.lit(1), F.char_length("text") - half),

@@ -317,6 +317,80 @@ def test_edited(spark):
     assert sketch.edited(docs.limit(0)).count() == 0
 
 
+LEAST = -(2**63)
+
+
+def test_no_id_is_not_the_least_id(spark):
+    df = table(spark, [(LEAST, 5), (None, 7), (None, 1), (0, 2), (LEAST + 1, 3)], "i long, v long")
+    assert {r["i"]: r["s"] for r in common.exclusive_prefix(df, "i", "v", "s").collect()} == {None: 0, LEAST: 8, LEAST + 1: 13, 0: 16}
+    got = {r["i"]: r["n"] for r in common.successor(df, "i", "n").collect()}
+    assert got == {LEAST: LEAST + 1, LEAST + 1: 0, 0: LEAST}
+    rows = common.gapless_rank(table(spark, [(1, i, f"t{j}") for i in (None, LEAST) for j in range(50)], "k int, i long, t string"), ["k"], "i", "n").collect()
+    assert sorted(r["n"] for r in rows if r["i"] is None) == list(range(50)) and sorted(r["n"] for r in rows if r["i"] == LEAST) == list(range(50, 100))
+    docs = table(spark, [(LEAST, "abcd"), (None, "wxyz"), (3, "1234")])
+    assert {r["doc_id"]: r["edited"] for r in sketch.edited(docs).collect()} == {LEAST: "ab12", None: "wx", 3: "12ab"}
+
+
+def brute_sketches(spark, texts):
+    """Sketches by Python sets, of hashes that Spark makes of single words and of runs of word hashes."""
+    from pyspark.sql import functions as F
+
+    words = sorted({w for t in texts for w in t.split()})
+    one = {r["w"]: r["h"] for r in table(spark, [(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = sorted({tuple(t.split()[i : i + 5]) for t in texts for i in range(len(t.split()) - 4)})
+    made = table(spark, [(i, [one[w] for w in x]) for i, x in enumerate(runs)], "i long, h array<long>").select("i", F.xxhash64(*(F.col("h")[j] for j in range(5))).alias("h")).collect()
+    run = {runs[r["i"]]: r["h"] for r in made}
+    short = sorted({t for t in texts if 0 < len(t.split()) < 5})
+    whole = {}
+    for t in short:  # word after word, each hash the seed's successor of the one before
+        x = 0
+        for w in t.split():
+            x = spark.range(1).select(F.xxhash64(F.lit(x).cast("long"), F.lit(one[w]).cast("long")).alias("h")).first()["h"]
+        whole[t] = x
+    out = []
+    for t in texts:
+        w = t.split()
+        h = {run[tuple(w[i : i + 5])] for i in range(len(w) - 4)} if len(w) >= 5 else {whole[t]} if w else set()
+        low = {x for x in h if x < LEAST + (1 << 61)}
+        out.append((True, h) if len(h) <= 128 else (False, low or {min(h)}))
+    return out
+
+
+def test_sketch_query(spark, tmp_path):
+    """The whole query against Python sets: fingerprints, edited texts, likenesses; nulls, empty and long texts, repeated rows, clashing columns."""
+    r = random.Random(23)
+    texts = {i: prose(r, r.choice([0, 1, 3, 5, 40, 140, 700])) for i in range(40)}
+    texts |= {40: texts[39], 41: None, 42: "", 43: prose(r, 3000), 44: texts[43] if 43 in texts else ""}
+    rows = [(i, t, "x") for i, t in texts.items()] + [(None, "no key here at all", "x"), (5, texts[5], "x")]
+    table(spark, rows, "doc_id long, text string, fingerprint string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sketch.op5_threshold_scaled_sketch(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    keys = sorted(texts)
+    after = dict(zip(keys, keys[1:] + keys[:1], strict=True))
+    whole = {i: t or "" for i, t in texts.items()}
+    edited = {i: t[: len(t) - len(t) // 2] + whole[after[i]][: len(t) // 2] for i, t in whole.items()}
+    own, changed = (dict(zip(keys, brute_sketches(spark, [x[i] for i in keys]), strict=True)) for x in (whole, edited))
+
+    def text_of(s):
+        return ("f" if s[0] else "s") + "".join(f"{x & (1 << 64) - 1:016x}" for x in sorted(s[1]))
+
+    def likeness(a, b):
+        cut = lambda s, o: {x for x in s[1] if x < LEAST + (1 << 61) or x == min(s[1])} if s[0] and not o[0] else s[1]
+        x, y = cut(a, b), cut(b, a)
+        return 1.0 if a[1] == b[1] else len(x & y) / len(x | y) if x | y else 0.0
+
+    for row in got:
+        i = row["doc_id"]
+        if i is None:
+            assert row["near_next"] == 0.0 and row["n_chars"] == 18
+            continue
+        assert (row["n_chars"], row["edited_sha256"]) == (len(whole[i]), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (row["fingerprint"], row["edited_fingerprint"]) == (text_of(own[i]), text_of(changed[i]))
+        assert abs(row["near_edited"] - likeness(own[i], changed[i])) < 1e-12 and abs(row["near_next"] - likeness(own[i], own[after[i]])) < 1e-12
+    table(spark, [], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert sketch.op5_threshold_scaled_sketch(spark, str(tmp_path / "none")).count() == 0
+
+
 # --- 7 shards
 
 
@@ -334,6 +408,32 @@ def test_rendezvous(spark):
         sharding.rendezvous(F.col("doc_id"), [0.0])
 
 
+def test_shard_query_by_brute_force(spark, tmp_path):
+    """Sizes, checksums, shards and slots from scratch, given the 64-bit draws of each key and shard."""
+    r = random.Random(37)
+    rows = [(i * 7919 - 400, r.choice([None, "", "x", "é日", prose(r, 30)])) for i in range(400)] + [(None, "no key"), (None, None), (6, "again"), (6, "again")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op7_rendezvous_sharding(spark, str(tmp_path)).collect()
+    keys = sorted({k for k, _ in rows if k is not None}) + [None]
+    draws = {}
+    for x in table(spark, [(k,) for k in keys], "doc_id long").select("doc_id", *(F.xxhash64("doc_id", F.lit(s)).alias(str(s)) for s in range(17))).collect():
+        u = [((x[str(s)] & (1 << 64) - 1) >> 11) for s in range(17)]
+        draws[x["doc_id"]] = [-np.log((v + 0.5) / 2.0**53) for v in u]
+    want = []
+    for k, t in rows:
+        raw = (t or "").encode()
+        want.append((k, len(raw) + 1, zlib.crc32(raw), "key", int(np.argmin(draws[k][:16])), int(np.argmin(draws[k]))))
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(((x["doc_id"], x["size"], x["text_crc32"], x["law"], x["shard"], x["grown_shard"]) for x in got), key=order) == sorted(want, key=order)
+    by = {}
+    for x in got:
+        by.setdefault(x["shard"], []).append((x["slot"], x["doc_id"]))
+    for own in by.values():
+        own.sort()
+        ids = [i for _, i in own if i is not None]
+        assert [s for s, _ in own] == list(range(len(own))) and ids == sorted(ids) and all(i is not None for _, i in own[len(own) - len(ids) :])
+
+
 def test_shard_query(spark, tmp_path):
     rows = [(i, f"t{i}") for i in range(300)] + [(7, "t7"), (7, "other"), (None, None)]
     table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
