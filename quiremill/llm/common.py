@@ -50,6 +50,14 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
 def _parents(low: DataFrame, value: Column) -> list[DataFrame]:
     """low: (k, v), one row per bucket. One table (k, v) for each level above it."""
     out = [low]

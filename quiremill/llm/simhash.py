@@ -13,14 +13,20 @@ Null text counts as empty. Texts without words have fingerprint zero and link li
 Repeated rows keep their doc_id once each; the component is named by the least doc_id.
 
 similar() serves deduplication: it links every two texts that have 0.8 of their five-word shingles in
-common, however one was made from the other. Candidates come from prefixes, not from fingerprints: in
-one order of all shingles, two such texts have a shingle in common among the first n - 0.8 n + 1 of
-each. Shingles that are common in a sample come last in that order, so that a line of many texts
-makes few candidates; sizes, parity sketches and the number of shingles that two prefixes share
-rule out others without losing one, and the exact similarity decides. Links are made in two rounds: each shared shingle's texts with the one in
-which it comes first, then all pairs that are not yet in one component. least=None instead links by
-two fingerprints alone (distinct words up to seven bits, four-word shingles up to sixteen), which
-neither finds all such texts nor only such.
+common, however one was made from the other. Three rounds make the candidates; sizes and parity
+sketches rule some out without losing one, and the exact similarity decides on each that is left.
+First the index above, on fingerprints of the five-word shingles: each text with the least one of
+the group that its fingerprint links to. As texts that were cut off or added to differ in more bits,
+prefixes find the rest exactly: in one order of all shingles, two such texts have a shingle in common
+among the first n - 0.8 n + 1 of each. Shingles that are common in a sample come last in that order,
+so that a line of many texts makes few candidates. The second round takes each shared shingle's texts
+with the one in which it comes first, the third all pairs that are not yet in one component, as far
+as the number of shingles that their prefixes share allows it. least=None instead links by two
+fingerprints alone (distinct words up to seven bits, four-word shingles up to sixteen), which neither
+finds all such texts nor only such.
+
+dedupe() keeps rows whole, whatever their other columns are called and of whatever type. Empty tables
+give empty ones; texts of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -263,21 +269,24 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         for b in batches:
             sets = [_shingles(t.as_py(), size) for t in b.column("text")]
             firsts = [prefix(x, least, common) for x in sets]
-            columns = [pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
+            prints_ = np.array([majority(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+            columns = [pa.array([len(x) for x in sets], pa.int32()), pa.array(prints_), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
             columns += [pa.array([late for _, late in firsts], pa.bool_()), pa.array([x for x, _ in firsts], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("node"), *columns], ["rep", "n", "s", "late", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), *columns], ["rep", "n", "fp", "s", "late", "keys"])
 
-    prints = materialise(texts.select("node", "text").mapInArrow(run, f"rep {kind}, n int, s array<long>, late boolean, keys array<long>"), "prints")
+    prints = materialise(texts.select("node", "text").mapInArrow(run, f"rep {kind}, n int, fp long, s array<long>, late boolean, keys array<long>"), "prints")
+    signed = materialise(verified(_signed(prints, least), texts, least, size), "links")
     keyed = prints.select("rep", F.posexplode("keys").alias("at", "v"))
     # of each key the text in which it comes first, in a group the one with the least of its own
     least_of = keyed.groupBy("v").agg(F.min(F.struct("at", "rep")).alias("x"), F.count("*").alias("k")).where("k > 1").select("v", F.col("x.rep").alias("star"))
     shared = materialise(keyed.join(least_of, "v").select("v", "rep", "star"), "shared")
     sets = prints.select("rep", "n", "s", (F.col("n") - F.size("keys")).alias("room"), F.struct("late", F.element_at("keys", -1).alias("v")).alias("end"))
     pairs = shared.where("rep <> star").select(F.least("rep", "star").alias("a"), F.greatest("rep", "star").alias("b")).distinct()
+    pairs = pairs.join(signed, ["a", "b"], "left_anti")
     x, y = sets.alias("x"), sets.alias("y")
     first = materialise(pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_can("x", "y", least)).select("a", "b"), "pairs")
     edges = materialise(verified(first, texts, least, size), "links")
-    roots = components(edges)
+    roots = components(edges.unionByName(signed))
     # what is in one component needs no other link
     named = sets.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "s", "room", "end", F.coalesce("root", "rep").alias("c"))
     rows = materialise(shared.select("v", "rep").join(named, "rep"), "keyed")
@@ -297,6 +306,18 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     return ids.join(owner, "u").select(F.col("node").alias(key), "component")
 
 
+def _signed(prints: DataFrame, least: float) -> DataFrame:
+    """(a, b): each text with the least one of those that links() connects its fingerprint with, as far
+    as sizes and sketches allow that similarity; as many pairs as texts, at most."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("rep").alias("rep")), "nodes")
+    roots = components(links(nodes))
+    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("root"))
+    own = prints.join(named, F.col("fp") == F.col("f")).where("rep <> root").select("rep", "n", "s", "root")
+    x, y = own.alias("x"), prints.select("rep", "n", "s").alias("y")
+    near = x.join(y, F.col("x.root") == F.col("y.rep")).where(_can("x", "y", least))
+    return near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
 def _by_prints(one: DataFrame, key: str) -> DataFrame:
     """similar() by the two fingerprints alone, without a look at the texts (node, u, text)."""
     kind = one.schema["node"].dataType.simpleString()
@@ -334,15 +355,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     return prints.join(named, F.col("fp") == F.col("f")).select(key, "fp", "component")
 
 
+def _comparable(df: DataFrame, column: str) -> Column:
+    """The column, or its JSON text where its type has no order."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else F.col(column)
+
+
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = 0.8, size: int = 5) -> DataFrame:
     """One row of each group of similar(), whole: that of the least key. Of rows that repeat this key
     the least stays. Rows without a key are never copies of a row with one; of equal ones one stays."""
-    rest = [c for c in docs.columns if c != key]
-    keyed = docs.where(F.col(key).isNotNull())
-    kept = similar(keyed, key, text, least, size).where(F.col(key) == F.col("component")).select(F.col(key).alias("__k")).distinct()
-    one = keyed.join(kept, F.col(key) == F.col("__k"), "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("__r"))
-    one = one.select(*(F.col(key) if c == key else F.col("__r")[c].alias(c) for c in docs.columns))
-    return one.unionByName(docs.where(F.col(key).isNull()).distinct())
+    names = docs.columns
+    kept = similar(docs.where(F.col(key).isNotNull()), key, text, least, size).where(F.col(key) == F.col("component")).select(F.col(key).alias("k")).distinct()
+    # the columns go into structs, so that none is in the way of a name used here
+    rows = docs.select(F.col(key).alias("k"), F.struct(*(F.col(c) for c in names)).alias("r"), F.struct(*(_comparable(docs, c).alias(f"c{i}") for i, c in enumerate(names))).alias("o"))
+    one = rows.join(kept, "k", "left_semi").groupBy("k").agg(F.min_by("r", "o").alias("r")).select("r")
+    alone = rows.where("k is null").groupBy("o").agg(F.any_value("r").alias("r")).select("r")
+    return one.unionByName(alone).select(*(F.col("r")[c].alias(c) for c in names))
 
 
 def op4_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
