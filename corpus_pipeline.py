@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences.
 
 Each stage reads what the stage before it wrote and calls one operator of quiremill.llm. All but
-the last return the columns of documents.
+the last return the columns of documents, whatever these are called beside doc_id and text.
+
+Null text counts as empty in every stage, and empty texts are judged like others: the toxicity curve
+at no terms, the quality of one passage of zeros, one group of near copies, a document of the end id
+alone. Texts of any length are read whole. Rows that repeat a doc_id are scored each; of them the
+near-duplicate stage keeps one. Rows without doc_id are never learned from and never copies of a row
+with one. Of equally similar documents the least doc_id stays. Without labels nothing is rejected.
+An empty table passes through and gives no pieces.
 """
 
 from __future__ import annotations
@@ -13,19 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiremill.llm import packing, quality, simhash, toxicity
-from quiremill.llm.common import shared_dir, table
+from quiremill.llm.common import free, shared_dir, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text is not toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "__toxic").where(F.col("__toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    model, own = toxicity.fit(docs, table(spark, sf_dir, "labels")), free(docs, "toxic_score")
+    return toxicity.score(docs, model, own).where(F.col(own) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention model does not reject."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "__quality").where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
+    model, own = quality.fit(docs, table(spark, sf_dir, "labels")), free(docs, "quality_score")
+    return quality.score(docs, model, own).where(F.col(own) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
