@@ -609,3 +609,30 @@ def test_pipeline(spark, labelled, tmp_path):
     assert len(ids & good) > 0.9 * len(good) and len(ids & bad) < 0.1 * len(bad)
     assert not any(5000 <= (i or 0) < 5040 for i in ids)
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "packing"]
+
+
+def test_pipeline_edges(spark, labelled, tmp_path):
+    """Clashing column names, a map column, nulls, repeated rows, empty texts; an empty corpus; no labels."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = labelled
+    own = docs.where("doc_id < 60 or doc_id is null or doc_id >= 1000").drop("score")
+    for c in ("toxic_score", "quality_score_passages", "quality_score_focus", "k", "r", "o", "node", "u", "uid"):
+        own = own.withColumn(c, F.lit(f"own {c}"))
+    own = own.withColumn("m", F.create_map(F.lit("a"), F.col("text")))
+    now = own
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in pipeline.STAGES[:3]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == own.columns, name
+        rows = now.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in own.columns[2:-1]) and all(r["m"] == {"a": r["text"]} for r in rows), name
+    ids = [r["doc_id"] for r in rows]
+    assert len(set(ids)) == len(ids) and len({1000, 1001} & set(ids)) <= 1
+    assert now.schema.simpleString() == own.schema.simpleString()
+    packed = pipeline.STAGES[3][1](spark, now, "")
+    assert {r["doc_id"] for r in packed.collect()} == set(ids)
+    for folder, some, known in (("none", docs.limit(0), labels), ("unlabelled", docs.where("doc_id < 30"), labels.limit(0))):
+        some.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        known.write.parquet(str(tmp_path / folder / "labels.parquet"))
+        got = pipeline.run(spark, str(tmp_path / folder))
+        assert got.columns[0] == "doc_id" and len({r["doc_id"] for r in got.collect()}) == (0 if folder == "none" else 30)
