@@ -10,7 +10,8 @@ Text is cut at single spaces that stand between two characters that are no white
 piece can cross, and the ids of such chunks are remembered, up to a bound a worker. Texts with
 other spacing are cut into pieces by the pattern itself, and the ids of the pieces are remembered.
 
-Null text counts as empty and has no ids. Texts of any length are encoded whole.
+Null text counts as empty and has no ids. Texts of any length are encoded whole. Repeated rows are
+encoded each, an empty table gives an empty one, other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -379,6 +380,13 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+def forget() -> None:
+    """Let go of a worker's encoders and what they remember. Tasks of other kinds call it when they begin,
+    as one worker serves one kind after the other."""
+    for cached in (ranked_encoder, json_encoder, library, token_bytes):
+        cached.cache_clear()
+
+
 def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, decoded): ids as array<int>, decoded the bytes of all ids."""
     kind = df.schema[key].dataType.simpleString()

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import materialise, table
 
 PASSAGE = 64
@@ -31,7 +32,7 @@ SAMPLE = 6000
 SAMPLE_PASSAGES = 64_000
 HIDDEN, GATE, EPOCHS, BAGS = 32, 16, 25, 64
 THRESHOLD = 0.3
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 
 #: Class of each byte: control, space, lower, upper, digit, and so on; 12 for those beyond ASCII.
 CLASS = np.full(256, 12, np.int64)
@@ -198,6 +199,7 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
     kept = [c for c in docs.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for b in batches:
             for part, texts in slices(b, text):
                 x, counts = vectors(texts)

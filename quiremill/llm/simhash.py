@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import components, materialise, table
 
 SEED = 42
@@ -266,7 +267,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     common, kind = common_shingles(texts, size), docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        bpe.forget()
+        for b in (w.slice(i, 1024) for w in batches for i in range(0, len(w), 1024)):
             sets = [_shingles(t.as_py(), size) for t in b.column("text")]
             firsts = [prefix(x, least, common) for x in sets]
             prints_ = np.array([majority(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import materialise, table
 from .quality import held_out, sample, slices
 
@@ -85,6 +86,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Counts over all texts: an array with one cell for each three symbols, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         total = np.zeros(SYMBOLS**3, np.int64)
         for b in batches:
             for _, texts in slices(b, text):
@@ -286,6 +288,7 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
     kept = [c for c in docs.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([model.score(t.as_py() or "") for t in b.column(text)], pa.float64())], [*kept, out])
 
