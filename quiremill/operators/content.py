@@ -30,14 +30,17 @@ def full_text(sections: DataFrame, key: str = "paper_id", order: str = "section_
 
 
 def chunks(sections: DataFrame, text: str = "text") -> DataFrame:
-    """Sections of up to 1000 characters whole; longer ones as pieces between blank lines of over 50."""
-    cut = F.when(F.length(text) <= 1000, F.array(text)).otherwise(F.filter(F.split(text, "\n\n"), lambda p: F.length(F.trim(p)) > 50))
+    """Sections of up to 1000 characters whole; longer ones as stripped pieces between blank lines of over 50."""
+    cut = F.when(F.length(text) <= 1000, F.array(text)).otherwise(F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.trim(p)), lambda p: F.length(p) > 50))
     return sections.select(*(c for c in sections.columns if c != text), F.posexplode(cut).alias("chunk", "chunk_text"))
 
 
-def semantic(sections: DataFrame, query: str, threshold: float = 0.5, k: int = 10) -> DataFrame:
-    """Chunks at least so similar to the query, the best k; where there is none, keyword hits."""
-    got = chunks(sections).withColumn("similarity", dot(embed("chunk_text"), literal(embed_text(query)))).where(F.col("similarity") >= threshold)
+def semantic(sections: DataFrame, query: str, threshold: float = 0.5, k: int = 10, model=embed, vector=embed_text) -> DataFrame:
+    """Chunks at least so similar to the query, the best k. model: embeds a column, vector the query;
+    without a model, keyword hits instead."""
+    if model is None:
+        return kwic(sections, query)
+    got = chunks(sections).withColumn("similarity", dot(model("chunk_text"), literal(vector(query)))).where(F.col("similarity") >= threshold)
     return got.orderBy(F.desc("similarity"), "chunk", "chunk_text").limit(k)
 
 
@@ -66,30 +69,48 @@ def word_overlap(docs: DataFrame, items: DataFrame, doc: str, item: str, share:
 
 
 def normal(text):
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s()\[\],.]", " "), r"(?U)\s+", " ")))
+    """Lower case, white space as one space, anything but words and common punctuation as a space."""
+    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    for pattern in (r"(?U)\s+", r"(?U)[^\w\s()\[\],.]", r"(?U)\s+"):
+        text = F.regexp_replace(text, pattern, " ")
+    return F.lower(text)
 
 
 def paragraph_sentences(paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(paper_id, paragraph_id, sentence_id, rule): which sentences a paragraph holds, by containment
-    (1), the middle half of a long paragraph inside the sentence (2), shared words for shorter ones
-    (3), a citation string (4), five words in a row (5). Joined within a paper only."""
-    p = paragraphs.select("paper_id", "paragraph_id", F.col("text").alias("praw"), normal(F.col("text")).alias("p"))
-    s = sentences.select("paper_id", "sentence_id", F.coalesce("intexts", F.array().cast("array<string>")).alias("intexts"), normal(F.col("text")).alias("s"))
-    both = p.join(s, "paper_id").withColumn("pw", X.words(F.col("p"))).withColumn("sw", X.words(F.col("s")))
-    n = F.size("pw")
-    middle = F.array_join(F.slice("pw", (n / 4).cast("int") + 1, F.greatest((n / 2).cast("int"), F.lit(0))), " ")
+    """(paper_id, paragraph_id, sentence_id, rule): which sentences a paragraph holds. 1: the sentence is
+    part of it. Else, by the length of the sentence, 2 (over 100): it holds the middle half of a
+    paragraph of over 10 words; 3 (31 to 100): it has over 5 different words, and the paragraph over
+    0.7 of them. Else 4: a citation of the sentence is part of the paragraph; 5 (over 50): five of its
+    words in a row are. Joined within a paper only; null texts count as empty."""
+    text = F.coalesce("text", F.lit(""))
+    p = paragraphs.select("paper_id", "paragraph_id", normal(text).alias("p"))
+    s = sentences.select("paper_id", "sentence_id", F.coalesce("intexts", F.array().cast("array<string>")).alias("intexts"), normal(text).alias("s"))
+    p = p.withColumn("pw", X.words(F.col("p")))
+    s = s.withColumn("sw", X.words(F.col("s"))).withColumn("sd", F.array_distinct("sw"))
+    both = p.join(s, "paper_id")
+    n, size = F.size("pw"), F.length("s")
+    first = F.floor(n / 4).cast("int")
+    middle = F.array_join(F.slice("pw", first + 1, F.greatest(F.floor(n * 3 / 4).cast("int") - first, F.lit(0))), " ")
     grams = F.when(F.size("sw") >= 5, F.transform(F.sequence(F.lit(1), F.size("sw") - 4), lambda i: F.array_join(F.slice("sw", i, 5), " "))).otherwise(F.array().cast("array<string>"))
-    shared = F.size(F.array_intersect("pw", "sw"))
+    shared = F.size(F.array_intersect("sd", "pw"))
+    trimmed = F.transform("intexts", lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     rule = (
-        F.when((F.col("s") != "") & F.col("p").contains(F.col("s")), 1)
-        .when((F.length("p") > 100) & (n > 10) & (F.length(middle) > 30) & F.col("s").contains(middle), 2)
-        .when((F.length("p") > 30) & (F.length("p") <= 100) & (shared > 5) & (shared / F.size("sw") > 0.7), 3)
-        .when(F.exists("intexts", lambda c: (F.length(c) > 3) & F.col("praw").contains(c)), 4)
-        .when((F.length("s") > 50) & F.exists(grams, lambda g: (F.length(g) > 20) & F.col("p").contains(g)), 5)
+        F.when(F.col("p").contains(F.col("s")), 1)
+        .when((size > 100) & (n > 10) & (F.length(middle) > 30) & F.col("s").contains(middle), 2)
+        .when((size > 30) & (size <= 100) & (F.size("sd") > 5) & (shared / F.size("sd") > 0.7), 3)
+        .when(F.exists(trimmed, lambda c: (F.length(c) > 3) & F.col("p").contains(normal(c))), 4)
+        .when((size > 50) & F.exists(grams, lambda g: (F.length(g) > 20) & F.col("p").contains(g)), 5)
     )
     return both.withColumn("rule", rule).where("rule is not null").select("paper_id", "paragraph_id", "sentence_id", "rule")
 
 
+def paragraph_citation_counts(paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(paper_id, paragraph_id, citation_count): citations of all sentences that a paragraph holds, 0 without any."""
+    n = sentences.select("paper_id", "sentence_id", F.greatest(F.size(F.coalesce("intexts", F.array().cast("array<string>"))), F.lit(0)).alias("n"))
+    held = paragraph_sentences(paragraphs, sentences).join(n, ["paper_id", "sentence_id"]).groupBy("paper_id", "paragraph_id").agg(F.sum("n").alias("n"))
+    return paragraphs.select("paper_id", "paragraph_id").join(held, ["paper_id", "paragraph_id"], "left").select("paper_id", "paragraph_id", F.coalesce("n", F.lit(0)).cast("long").alias("citation_count"))
+
+
 def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, section_index, title, text): lines from one heading to the next; what comes first is section 0."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))

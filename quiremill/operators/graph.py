@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -199,7 +199,3 @@ def first_containing_paragraph(sentences: DataFrame, paragraphs: DataFrame) -> D
     hit = sentences.alias("s").join(paragraphs.alias("p"), (F.col("s.paper_id") == F.col("p.paper_id")) & F.col("p.text").contains(F.col("s.text")), "left")
     return hit.groupBy("s.paper_id", "s.sentence_id").agg(F.coalesce(F.min_by("p.paragraph_id", "p.paragraph_index"), F.lit("unknown_paragraph")).alias("paragraph_id"))
 
-
-def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")

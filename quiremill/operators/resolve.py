@@ -30,13 +30,33 @@ def by_title(papers: DataFrame, title: str, year: int | None = None, authors: li
     if authors:
         own = S.author_similarity(F.array(*(F.lit(a) for a in authors)), F.col("authors"))
         got = got.withColumn("author_similarity", own).where("author_similarity > 0")
-    everything = Window.partitionBy(F.lit(0))  # the candidates of one title, not the papers
-    ranked = Window.partitionBy(F.lit(0)).orderBy(F.desc("is_part"), F.desc("combined"), "paper_id")
-    got = got.withColumn("n", F.count("*").over(everything)).withColumn("parts", F.count_if("is_part").over(everything))
-    got = got.withColumn("place", F.row_number().over(ranked)).withColumn("second", F.lead("combined").over(ranked))
-    clear = (F.col("combined") >= 0.9) & (F.col("combined") - F.col("second") >= 0.2)
-    best = F.max(F.when(F.col("place") == 1, (F.col("n") == 1) | (F.col("is_part") & (F.col("parts") == 1)) | F.coalesce(clear, F.lit(False)))).over(everything)
-    return got.withColumn("status", F.when(best, "single_match").otherwise("multiple_matches")).drop("n", "parts", "second").orderBy("place")
+    # of the candidates a count, and the two best; no window over all of them
+    n = got.agg(F.count("*").alias("n"), F.count_if("is_part").alias("parts"))
+    top = got.select("is_part", "combined", "paper_id").orderBy(F.desc("is_part"), F.desc("combined"), "paper_id").limit(2).agg(F.sort_array(F.collect_list(F.struct("is_part", "combined")), asc=False).alias("t"))
+    first, second = F.col("t")[0], F.try_element_at("t", F.lit(2))["combined"]
+    clear = (first["combined"] >= 0.9) & (first["combined"] - second >= 0.2)
+    best = (F.col("n") == 1) | (first["is_part"] & (F.col("parts") == 1)) | F.coalesce(clear, F.lit(False))
+    status = n.crossJoin(top).select(F.when(best, "single_match").otherwise("multiple_matches").alias("status"))  # one row each
+    return got.crossJoin(F.broadcast(status)).orderBy(F.desc("is_part"), F.desc("combined"), "paper_id")
+
+
+def papers_of_entities(papers: DataFrame, author: str | None = None, year: int | None = None) -> DataFrame:
+    """Papers with an author whose name has that part, of that year; what is not given does not count."""
+    if author:
+        papers = papers.where(F.exists("authors", lambda a: F.lower(a).contains(author.strip().lower())))
+    return papers if year is None else papers.where(F.col("year") == year)
+
+
+def options(candidates: DataFrame, most: int = 5) -> DataFrame:
+    """(choice, paper_id, title, year): numbered candidates to choose from, the best first."""
+    got = candidates.orderBy(F.desc("match_score"), "paper_id").limit(most)
+    return got.withColumn("choice", F.row_number().over(Window.orderBy(F.desc("match_score"), "paper_id"))).select("choice", "paper_id", "title", "year")  # of so many rows
+
+
+def top_candidates(matches: DataFrame, values: Column, among: int = 5, n: int = 3) -> DataFrame:
+    """(candidate): the first few distinct values, by name, of the best few matches (match_score, paper_id, ...)."""
+    few = matches.orderBy(F.desc("match_score"), "paper_id").limit(among)
+    return few.select(F.explode(values).alias("candidate")).distinct().orderBy("candidate").limit(n)
 
 
 def by_author(papers: DataFrame, name: str, title_hint: str | None = None, year: int | None = None, case_sensitive: bool = False) -> DataFrame:

@@ -58,9 +58,13 @@ def label_distribution(spans: DataFrame, label: str = "label") -> DataFrame:
     return spans.groupBy(label).agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"))
 
 
-def citation_pattern_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    kinds = {"parenthetical": r"\([^)]*\d{4}[^)]*\)", "narrative": r"(?U)\w+\s*\(\d{4}\)", "multi_author": r"et al\.?|&", "year_range": r"\d{4}\s*[-–]\s*\d{4}"}
-    return texts.agg(*(F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(p))), F.lit(0)).alias(k) for k, p in kinds.items()))
+def citation_pattern_counts(relations: DataFrame, span: str = "span") -> DataFrame:
+    """One row of counts over the spans of relations: in parentheses or not, several authors, a range of years."""
+    s = F.col(span)
+    inside = s.startswith("(") & s.endswith(")")
+    several = s.contains(" and ") | s.contains(", ") | s.contains(" et al.")
+    kinds = {"parenthetical": inside, "narrative": ~inside, "multi_author": several, "year_range": s.rlike(r"\d{4}-\d{4}")}
+    return relations.agg(*(F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in kinds.items()))
 
 
 def bio_spans(tags: DataFrame, keys: Sequence[str], order: str, tag: str = "tag", confidence: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -44,12 +45,29 @@ def literal(vector: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
 
-def search(points: DataFrame, vector: Sequence[float], k: int = 5, metric: str = "cosine", key: str = "id", where: Column | None = None, min_score: float | None = None, column: str = "vector") -> DataFrame:
-    """The k best points, raw score, ties by key. Filters hold before the cut, so k are found if there are k."""
+def matching(paper_ids: Sequence[str] = (), years: Sequence[int | str] = (), journals: Sequence[str] = (), kinds: dict[str, Sequence[str]] | None = None) -> Column | None:
+    """Filters of a search as one predicate; an empty list asks for nothing. years match as number or text,
+    journals by any part of the name whatever its case; kinds: values by column (sentence_type, section, section_type)."""
+    tests = [F.col("paper_id").isin(*paper_ids)] if paper_ids else []
+    tests += [F.coalesce(F.col("year").cast("string"), F.lit("")).isin(*(str(y) for y in years))] if years else []
+    if journals:
+        low = F.lower(F.coalesce("journal", F.lit("")))
+        tests.append(reduce(lambda a, b: a | b, (low.contains(j.lower()) for j in journals)))
+    tests += [F.col(c).isin(*values) for c, values in (kinds or {}).items() if values]
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def totals(results: DataFrame, collection: str = "collection") -> DataFrame:
+    """One row over the results of all collections: how many, the best score, and how many collections gave any."""
+    return results.agg(F.count("*").alias("total_results"), F.max("score").alias("max_score"), F.countDistinct(collection).alias("collections"))
+
+
+def search(points: DataFrame, vector: Sequence[float], k: int | None = 5, metric: str = "cosine", key: str = "id", where: Column | None = None, min_score: float | None = None, column: str = "vector") -> DataFrame:
+    """The k best points, raw score, ties by key. Filters hold before the cut, so k are found if there are k. k=None: all, in no order."""
     got = points if where is None else points.where(where)
     got = got.withColumn("score", METRICS[metric](F.col(column), literal(vector)))
     got = got if min_score is None else got.where(F.col("score") >= min_score)
-    return got.orderBy(F.desc("score"), key).limit(k)
+    return got if k is None else got.orderBy(F.desc("score"), key).limit(k)
 
 
 def search_collections(points: DataFrame, vector: Sequence[float], k: int = 3, collection: str = "collection", key: str = "id", column: str = "vector") -> DataFrame:

@@ -6,12 +6,14 @@ them lazily: DataFrames are only built, and a fallback is tried where a step's r
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import any_of
 
 
 @dataclass(frozen=True)
@@ -21,9 +23,10 @@ class Step:
     params: dict[str, Any] = field(default_factory=dict)
     result: str = "results"
     required: bool = True
+    fallback: str | None = None
 
 
-#: The operators that questions reach, by name, in the order in which they are offered.
+# The operators that questions reach, by name, in the order in which they are offered.
 REGISTRY: dict[str, str] = {
     "get_papers_id_by_author": "graph_db", "get_papers_id_by_title": "graph_db", "get_papers_citing_paper": "graph_db",
     "get_papers_cited_by_paper": "graph_db", "get_paragraphs_citing_paper": "graph_db", "get_sentences_citing_paper": "graph_db",
@@ -32,9 +35,10 @@ REGISTRY: dict[str, str] = {
     "query_pdf_by_author_and_content": "pdf", "query_pdf_by_title_and_content": "pdf", "semantic_search_pdf_content": "pdf",
     "get_full_pdf_content": "pdf", "search_all_collections": "vector_db",
 }
+# What results are called.
 RESULT_NAMES = {"get_papers_citing_paper": "citing_papers", "get_papers_cited_by_paper": "cited_papers", "get_sentences_citing_paper": "citing_sentences", "get_papers_id_by_author": "author_papers", "get_full_pdf_content": "full_text"}
 ENTITY_TYPES = ("author", "paper", "concept", "institution", "unknown")
-#: Focus of a question: the operator to ask, those to ask besides, and what to do without results.
+# Focus of a question: the operator to ask, those to ask besides, and what to do without results.
 STRATEGIES: dict[str, tuple[str, tuple[str, ...], str | None]] = {
     "reverse_citation_with_content": ("get_papers_citing_paper", ("get_sentences_citing_paper",), "vector_search_by_author"),
     "reverse_citation": ("get_papers_citing_paper", (), None),
@@ -122,34 +126,64 @@ def plan(query_type: str, kind: str, target: dict[str, Any], question: str = "")
         focus = "author_analysis"
     else:
         focus = "content_analysis"
-    first, more, _ = strategy(focus, bool(target.get("paper_id")))
-    steps = [Step(s.store, s.method, params_for(s.method, target, question), s.result, i == 0) for i, s in enumerate([first, *more])]
+    first, more, other = strategy(focus, bool(target.get("paper_id")))
+    steps = [Step(s.store, s.method, params_for(s.method, target, question), s.result, i == 0, other if i == 0 else None) for i, s in enumerate([first, *more])]
     if target.get("paper_id") and is_content_question(question) and all(s.method != "get_full_pdf_content" for s in steps):
         steps.append(Step("pdf", "get_full_pdf_content", {"paper_id": target["paper_id"]}, "full_text", False))
     return steps
 
 
 def run(steps: Sequence[Step], operators: dict[str, Callable[..., DataFrame]], fallbacks: dict[str, Callable[..., DataFrame]] | None = None) -> dict[str, DataFrame]:
-    """Results by name. operators: by method. A required step that is empty is replaced by its store's fallback."""
+    """Results by name. operators: by method. A required step that is empty is replaced by the fallback of
+    its strategy, if fallbacks has that, else by its store's."""
     out: dict[str, DataFrame] = {}
     for s in steps:
         if s.method not in operators:
             continue
         got = operators[s.method](**s.params)
-        other = (fallbacks or {}).get(s.store)
+        other = (fallbacks or {}).get(s.fallback or "", (fallbacks or {}).get(s.store))
         if s.required and other is not None and got.isEmpty():
             got = other(**s.params)
         out[s.result] = got
     return out
 
 
-REPLIES = {"answer": ("1", "answer", "yes", "continue", "ok"), "more": ("2", "more", "further", "additional"), "focus": ("3", "focus", "specific", "only"), "exit": ("4", "exit", "quit", "stop")}
+# What a reply contains, the first class that fits.
+REPLIES = (
+    ("continue", ("continue", "yes", "ok", "proceed", "1")),
+    ("expand", ("expand", "more", "additional", "search", "2")),
+    ("refine", ("refine", "modify", "change", "3")),
+)
 
 
 def reply_class(reply: str) -> str:
-    words = set(re.findall(r"\w+", reply.lower()))
-    return next((k for k, hints in REPLIES.items() if words & set(hints)), "answer")
+    low = reply.strip().lower()
+    return next((k for k, hints in REPLIES if any(h in low for h in hints)), "continue")
+
+
+def reply_column(reply: Column) -> Column:
+    """reply_class as a column."""
+    low = F.lower(F.trim(reply))
+    out = F
+    for k, hints in REPLIES:
+        out = out.when(any_of(*(low.contains(h) for h in hints)), k)
+    return out.otherwise("continue")
 
 
 def sufficient(steps_done: int, rows: int, least: int = 1) -> bool:
     return steps_done > 0 and rows >= least
+
+
+def retrieve(steps: Sequence[Step], operators: dict[str, Callable[..., DataFrame]], least: int = 1, enough: Callable[[int, int, int], bool] = sufficient) -> dict[str, DataFrame]:
+    """Steps in the order of their priority until there is enough: no step runs beyond that, and a step
+    counts its rows up to least only."""
+    out: dict[str, DataFrame] = {}
+    rows = done = 0
+    for s in steps:
+        if enough(done, rows, least):
+            break
+        if s.method in operators:
+            out[s.result] = operators[s.method](**s.params)
+            rows += out[s.result].limit(least).count()
+            done += 1
+    return out

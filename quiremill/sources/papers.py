@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
+from ..operators.graph import with_stubs
+from ..operators.vectors import index
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf", content: bool = True) -> DataFrame:
@@ -102,15 +104,15 @@ def cascade(candidates: Sequence[tuple[str, Column]], now: Column) -> Column:
     return F.coalesce(*tested, named[-1])
 
 
-def read_processed(spark: SparkSession, path: str) -> DataFrame:
-    """Sentence lines (JSON lines) with the paper they belong to, by their folder."""
-    got = spark.read.schema(schemas.SENTENCE_LINE).json(path, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    return got.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+def read_processed(spark: SparkSession, path: str, files: str = "*.jsonl") -> DataFrame:
+    """Sentence lines (JSON lines) with the paper they belong to, by their folder (<id> or <name>=<id>)."""
+    got = spark.read.schema(schemas.SENTENCE_LINE).json(path, recursiveFileLookup=True, pathGlobFilter=files)
+    return got.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1))
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    got = spark.read.schema(schemas.METADATA).json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter="metadata.json")
-    return got.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+def read_metadata(spark: SparkSession, path: str, files: str = "metadata.json") -> DataFrame:
+    got = spark.read.schema(schemas.METADATA).json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter=files)
+    return got.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1))
 
 
 def read_examples(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -137,10 +139,72 @@ def point_filter(has_citations: Column, claim_type: Column) -> Column:
     return F.when(has_citations, F.coalesce(F.nullif(claim_type, F.lit("")), F.lit("citation"))).otherwise("content")
 
 
-def diagnose(pages: DataFrame) -> DataFrame:
-    """(path, is_scanned, quality_level, document_kind) of pages (path, page_no, text, images)."""
-    first = pages.where("page_no < 5").groupBy("path").agg(F.avg((F.length(F.trim("text")) < 50).cast("int")).alias("low"), F.avg((F.col("images") > 0).cast("int")).alias("pictured"))
-    size = pages.groupBy("path").agg(F.avg(F.length("text")).alias("chars_a_page"), F.count("*").alias("pages"))
-    got = first.join(size, "path").withColumn("is_scanned", (F.col("low") > 0.6) & (F.col("pictured") > 0.3))
-    level = F.when(F.col("chars_a_page") >= 2000, "high").when(F.col("chars_a_page") >= 500, "medium").otherwise("low")
-    return got.withColumn("quality_level", level).withColumn("recommend", F.when(F.col("is_scanned"), "ocr").when(level == "low", "layout_parser").otherwise("text_engine")).drop("low", "pictured")
+def is_scanned(pages: DataFrame) -> DataFrame:
+    """(path, is_scanned) of pages (path, page_no, text, images): of the first five, over 0.6 have less than
+    100 characters and over 0.3 have pictures."""
+    short = F.length(F.trim(F.coalesce("text", F.lit("")))) < 100
+    got = pages.where("page_no < 5").groupBy("path").agg(F.avg(short.cast("int")).alias("low"), F.avg((F.col("images") > 0).cast("int")).alias("pictured"))
+    return got.select("path", ((F.col("low") > 0.6) & (F.col("pictured") > 0.3)).alias("is_scanned"))
+
+
+def quality_level(score: Column, has_references: Column) -> Column:
+    return F.when((score >= 7) & has_references, "excellent").when((score >= 5) & has_references, "good").when(score >= 3, "fair").otherwise("poor")
+
+
+# What to do about a document, if the test before it holds.
+ADVICE = (
+    ("PDF text extraction quality is low - consider manual preprocessing", lambda score, found, n, doi: score < 3),
+    ("No references extracted - check GROBID service and PDF format", lambda score, found, n, doi: ~found),
+    ("Few references found - document may not be a research paper", lambda score, found, n, doi: n < 5),
+    ("No DOI found - metadata quality may be limited", lambda score, found, n, doi: ~doi),
+)
+NO_ADVICE = "Document appears suitable for citation analysis"
+
+
+def recommendations(score: Column, has_references: Column, references: Column, has_doi: Column) -> Column:
+    found = F.filter(F.array(*(F.when(test(score, has_references, references, has_doi), text) for text, test in ADVICE)), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_ADVICE)))
+
+
+def diagnose(pages: DataFrame, references: DataFrame) -> DataFrame:
+    """(path, is_scanned, score, quality_level, recommendations) of pages (path, page_no, text, images) and
+    references (path, n_references, has_doi); a file's own pages bound its text."""
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n")
+    score = pages.groupBy("path").agg(whole.alias("text")).select("path", X.quality_score(F.col("text")).alias("score"))
+    got = score.join(is_scanned(pages), "path", "left").join(references, "path", "left")
+    n, doi = F.coalesce("n_references", F.lit(0)), F.coalesce("has_doi", F.lit(False))
+    return got.select("path", "is_scanned", "score", quality_level(F.col("score"), n > 0).alias("quality_level"), recommendations(F.col("score"), n > 0, n, doi).alias("recommendations"))
+
+
+def to_graph(lines: DataFrame, metadata: DataFrame) -> dict[str, DataFrame]:
+    """Graph tables of processed documents: papers (stubs for what is only cited), arguments (sentences with
+    citations), relations (an argument cites a paper, once for each citation of it: mentions) and
+    paper_cites (citing_id, cited_id, citation_count). lines as read_processed() gives them."""
+    cited = F.filter(F.coalesce("citations", F.array().cast(lines.schema["citations"].dataType)), lambda c: F.length(c["paper_id"]) > 0)
+    some = lines.where(F.size("citations") > 0).withColumn("argument_id", F.concat_ws("_", "paper_id", F.lit("sent"), F.col("sentence_index").cast("string")))
+    arguments = some.select("argument_id", "paper_id", "sentence_index", F.col("sentence_text").alias("text"), F.lit("NEUTRAL").alias("claim_type"))
+    each = some.select("argument_id", F.col("paper_id").alias("citing_id"), F.explode(cited).alias("c"))
+    each = each.select("argument_id", "citing_id", F.col("c.paper_id").alias("cited_id"), F.coalesce("c.reference.title", F.lit("Unknown Title")).alias("title"), schemas.year(F.col("c.reference.year")).alias("year"))
+    own = metadata.select("paper_id", F.coalesce("title", F.lit("")).alias("title"), schemas.year(F.col("year")).alias("year"), F.lit(False).alias("stub"))
+    stubs = each.groupBy(F.col("cited_id").alias("paper_id")).agg(F.min(F.struct("title", "year")).alias("r")).select("paper_id", "r.title", "r.year")
+    return {
+        "papers": with_stubs(own, stubs),
+        "arguments": arguments,
+        "relations": each.groupBy(F.col("argument_id").alias("from_id"), F.col("cited_id").alias("to_id")).agg(F.count("*").alias("mentions")).withColumn("relation_type", F.lit("CITES")),
+        "paper_cites": each.groupBy("citing_id", "cited_id").agg(F.count("*").alias("citation_count")),
+    }
+
+
+def to_points(lines: DataFrame) -> DataFrame:
+    """Points of the collection of sentences for all processed documents, one a sentence, without vectors'
+    model at hand by the default embedding; has_citations tells which of them cite."""
+    rows = lines.select("paper_id", "sentence_index", F.col("sentence_text").alias("text"), (F.coalesce(F.size("citations"), F.lit(0)) > 0).alias("has_citations"))
+    return index(rows.withColumn("sentence_type", point_filter(F.col("has_citations"), F.lit(None).cast("string"))), "sentences", keys=("paper_id", "sentence_index"))
+
+
+def write_processed(lines: DataFrame, metadata: DataFrame, path: str) -> None:
+    """A folder a paper below sentences/ and metadata/, which read_processed() and read_metadata() read
+    with files="*.json"; sentence lines in order."""
+    body = lines.select(*(F.col(c) for c in lines.columns if c != "paper_id"), F.col("paper_id").alias("p")).repartition("p").sortWithinPartitions("p", "sentence_index")
+    body.write.partitionBy("p").mode("append").json(f"{path}/sentences")
+    metadata.withColumn("p", F.col("paper_id")).drop("paper_id").repartition("p").write.partitionBy("p").mode("append").json(f"{path}/metadata")

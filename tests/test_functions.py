@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quiremill.functions import ids
 from quiremill.functions import similarity as S
 from quiremill.functions import text as X
-from quiremill.functions.citations import citations, match_references, parse_document
+from quiremill.functions.citations import citations, extract_citations, match_references, parse_document
 from quiremill.operators import rollup as U
 
 
@@ -145,3 +145,32 @@ def test_fenced_json(spark):
 def test_language(spark):
     assert one(spark, X.detect_language(F.lit("这 是 论文"))) == "zh"
     assert one(spark, X.detect_language(F.lit("!!"))) == "en"
+
+
+# Goldens that a query over literal rows held before.
+CITED = {
+    "Lindqvist (2014) set the frame.": ["(Lindqvist, 2014)"],
+    "Earlier surveys (Okafor and Brandt, 2009; Ivanova 2011) differ.": ["(Ivanova, 2011)", "(Okafor and Brandt, 2009)"],
+    "Work by Nguyen et al. (2018: 33) is wider.": ["(Nguyen et al., 2018)"],
+    "See the appendix (Table 3) of 2016.": [],
+    "Both agree [Çelik, Ó Briain, and Søndergaard, 2020].": ["(Çelik, Ó Briain, and Søndergaard, 2020)"],
+}
+
+
+def test_citation_goldens(spark):
+    rows = spark.createDataFrame([(s,) for s in CITED], "text string")
+    assert [r[0] for r in rows.select(extract_citations("text")).collect()] == list(CITED.values())
+
+
+def test_reference_match(spark):
+    cites = spark.createDataFrame([(1, "(Porter, 1980)"), (1, "(Miles and Snow, 1978)"), (1, "(Unknown, 1999)"), (2, "(Porter, 1980)"), (2, "(Miles and Snow, 1978)")], "doc int, intext string")
+    refs = spark.createDataFrame([(1, 0, ["Michael Porter"], "1980"), (1, 1, ["A. Porter"], "1980"), (1, 2, ["Raymond Miles", "Charles Snow"], "1978"), (2, 0, ["M. Porter"], "1980"), (2, 1, ["C. Snow"], "1978-05")], "doc int, ref_no int, authors array<string>, year string")
+    assert sorted(map(tuple, match_references(cites, refs).collect())) == [(1, "(Miles and Snow, 1978)", 2), (1, "(Porter, 1980)", 0), (2, "(Porter, 1980)", 0)]
+
+
+def test_citation_extraction_over_whole_texts(spark):
+    from quiremill.plans import star
+
+    data = "/root/testdata/sf0.001"
+    want = {r["doc_id"]: "|".join(citations(r["text"])) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["cites"] for r in star.QUERIES["citation_extraction"](spark, data).collect()} == want

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -172,7 +174,10 @@ def test_routes():
     assert [s.method for s in steps] == ["get_papers_citing_paper", "get_sentences_citing_paper", "get_full_pdf_content"]
     assert [s.method for s in route.plan("reverse_citation_analysis", "paper", {})] == ["search_all_collections"]
     assert route.entity_type(" Author ") == "author" and route.entity_type("x") == "unknown"
-    assert route.reply_class("more please") == "more"
+    assert [route.reply_class(x) for x in ("more please", "Yes", "2", "MODIFY it", "3", "", "what")] == ["expand", "continue", "expand", "refine", "refine", "continue", "continue"]
+    assert steps[0].fallback == "vector_search_by_author" and steps[1].fallback is None
+    assert [route.after_analysis(*x) for x in ((True, "a", True), (False, "a", True), (False, None, True), (False, None, False))] == ["clarification", "disambiguate", "direct_citation", "vector_search"]
+    assert [route.after_disambiguation(*x) for x in ((True, 1), (False, 1), (False, 0))] == ["clarification", "citation_analysis", "vector_search"]
 
 
 def test_route_run_falls_back(spark):
@@ -182,6 +187,102 @@ def test_route_run_falls_back(spark):
     assert got["author_papers"].count() == 3
 
 
+def test_fallback_of_the_strategy_comes_first(spark):
+    empty, full, other = spark.range(0), spark.range(3), spark.range(5)
+    steps = route.plan("reverse_citation_analysis", "paper", {"paper_id": "x"})
+    got = route.run(steps, {"get_papers_citing_paper": lambda paper_id: empty}, {"graph_db": lambda paper_id: full, "vector_search_by_author": lambda paper_id: other})
+    assert got["citing_papers"].count() == 5
+
+
+def test_retrieve_until_there_is_enough(spark):
+    asked = []
+
+    def source(name, n):
+        return lambda: asked.append(name) or spark.range(n)
+
+    steps = [route.Step("s", m, {}, m) for m in ("a", "b", "c")]
+    got = route.retrieve(steps, {"a": source("a", 0), "b": source("b", 9), "c": source("c", 9)}, least=4)
+    assert asked == ["a", "b"] and set(got) == {"a", "b"}
+
+
+def literal_rules(paragraph, sentence, intexts):
+    """The five strategies, one after the other, as a loop."""
+
+    def norm(t):
+        t = re.sub(r"\s+", " ", t.strip())
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s\(\)\[\],.]", " ", t)).lower()
+
+    p, s = norm(paragraph), norm(sentence)
+    pw, sw = p.split(), s.split()
+    if s in p:
+        return 1
+    if len(s) > 100:
+        middle = " ".join(pw[len(pw) // 4 : 3 * len(pw) // 4])
+        if len(pw) > 10 and len(middle) > 30 and middle in s:
+            return 2
+    elif len(s) > 30 and len(set(sw)) > 5 and len(set(sw) & set(pw)) / len(set(sw)) > 0.7:
+        return 3
+    if any(len(c.strip()) > 3 and norm(c) in p for c in intexts or []):
+        return 4
+    if len(s) > 50 and any(len(g) > 20 and g in p for g in (" ".join(sw[i : i + 5]) for i in range(len(sw) - 4))):
+        return 5
+    return None
+
+
+def test_paragraph_sentences_by_a_loop(spark):
+    r = random.Random(3)
+    words = "firm market (Lee, 2001) growth; theory of Çelik's resource-based view and its limits? strategy [2] \u00a0 x".split(" ")
+    made = lambda n: " ".join(r.choice(words) for _ in range(n))
+    paragraphs, sentences = [], []
+    for i in range(60):
+        p = made(r.choice([4, 9, 13, 14, 15, 16, 40]))
+        w = p.split(" ")
+        paragraphs.append(("p", f"x{i}", p))
+        for s in (" ".join(w[2:7]), f"before {p} after", " ".join(w[len(w) // 4 - 1 : 3 * len(w) // 4 + 1]) + " " + made(20), " ".join(reversed(w[:9])), made(8), made(30), " ".join(w[:6]) + "!" + made(9), ""):
+            sentences.append(("p", f"s{len(sentences)}", s, r.choice([None, [], ["(Lee, 2001)"], [" (x) ", "abc"], ["resource-based view"]])))
+    got = {(x["paragraph_id"], x["sentence_id"]): x["rule"] for x in C.paragraph_sentences(spark.createDataFrame(paragraphs, "paper_id string, paragraph_id string, text string"), spark.createDataFrame(sentences, "paper_id string, sentence_id string, text string, intexts array<string>")).collect()}
+    want = {(p[1], s[1]): k for p in paragraphs for s in sentences if (k := literal_rules(p[2], s[2], s[3]))}
+    assert got == want and set(want.values()) == {1, 2, 3, 4, 5}
+
+
+def test_paragraph_citation_counts(spark):
+    p = spark.createDataFrame([("p", "x", "alpha beta gamma"), ("p", "y", "other")], "paper_id string, paragraph_id string, text string")
+    s = spark.createDataFrame([("p", "s1", "alpha beta", ["a", "b"]), ("p", "s2", "gamma", None), ("p", "s3", "alpha", ["c"])], "paper_id string, sentence_id string, text string, intexts array<string>")
+    assert {r["paragraph_id"]: r["citation_count"] for r in C.paragraph_citation_counts(p, s).collect()} == {"x": 3, "y": 0}
+
+
+def test_processed_documents_to_graph_and_back(spark, tmp_path):
+    from quiremill import schemas
+
+    cite = lambda k, title: {"intext": f"({k}, 2001)", "reference": {"title": title, "year": "2001-03"}, "paper_id": k}
+    rows = [(0, "One (A, 2001).", [cite("A", "Ta"), cite("A", "Ta")], 2, 14, None, "P1"), (1, "None.", [], 1, 5, None, "P1"), (2, "Three.", None, 1, 6, None, "P1"), (0, "Two.", [cite("P1", "T1"), cite(None, None)], 1, 4, None, "P2")]
+    lines = spark.createDataFrame(rows, schemas.SENTENCE_LINE + ", paper_id string")
+    meta = spark.createDataFrame([("P1", "First", "1999"), ("P2", "Second", "Unknown")], "paper_id string, title string, year string")
+    P.write_processed(lines, meta, str(tmp_path))
+    back, meta2 = P.read_processed(spark, str(tmp_path / "sentences"), "*.json"), P.read_metadata(spark, str(tmp_path / "metadata"), "*.json")
+    assert sorted((r["paper_id"], r["sentence_index"]) for r in back.collect()) == [("P1", 0), ("P1", 1), ("P1", 2), ("P2", 0)]
+    g = P.to_graph(back, meta2)
+    assert {r["paper_id"]: (r["title"], r["year"], r["stub"]) for r in g["papers"].collect()} == {"P1": ("First", 1999, False), "P2": ("Second", None, False), "A": ("Ta", 2001, True)}
+    assert sorted(r["argument_id"] for r in g["arguments"].collect()) == ["P1_sent_0", "P2_sent_0"]
+    assert {(r["citing_id"], r["cited_id"]): r["citation_count"] for r in g["paper_cites"].collect()} == {("P1", "A"): 2, ("P2", "P1"): 1}
+    points = {r["paper_id"] + str(r["sentence_index"]): r["sentence_type"] for r in P.to_points(back).collect()}
+    assert points == {"P10": "citation", "P11": "content", "P12": "content", "P20": "citation"}
+
+
+def test_semantic_without_a_model(spark):
+    s = spark.createDataFrame([("p", 0, "Intro", "the model again")], "paper_id string, section_index int, title string, text string")
+    assert [r["position"] for r in C.semantic(s, "model", model=None).collect()] == [4]
+    assert V.matching() is None
+
+
+def test_diagnose(spark):
+    pages = spark.createDataFrame([("a", i, "x" * 99, 1) for i in range(6)] + [("b", i, "some words of a plain text " * 90, 0) for i in range(6)], "path string, page_no int, text string, images int")
+    refs = spark.createDataFrame([("b", 9, True)], "path string, n_references long, has_doi boolean")
+    got = {r["path"]: r for r in P.diagnose(pages, refs).collect()}
+    assert got["a"]["is_scanned"] and got["a"]["quality_level"] == "fair" and len(got["a"]["recommendations"]) == 3
+    assert not got["b"]["is_scanned"] and got["b"]["quality_level"] == "good" and got["b"]["recommendations"] == [P.NO_ADVICE]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     schema = "user_id long, value string, seq long"
     for i in range(3):

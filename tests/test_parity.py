@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quiremill.plans import star
+from quiremill.plans import more, star  # noqa: F401  (more adds its queries to star's)
 
 DATA = "/root/testdata/sf0.001"
 
