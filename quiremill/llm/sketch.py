@@ -108,9 +108,8 @@ def edited(docs: DataFrame) -> DataFrame:
         F.coalesce("next_id", F.lit(0)).alias("next_id"), F.col("doc_id").alias("own_id"), "need", (F.col("need") >= 0).alias("is_id")
     )  # is_id is always true; as a column it is joined on and does not part the exchange of the texts in two
     begin = docs.join(links, (F.col("key") == F.col("next_id")) & (F.col("known") == F.col("is_id")))
-    begin = begin.select("own_id", "next_id", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("begin"), sketch(F.col("text")).alias("own")).alias("next"))
-    begin = begin.groupBy("own_id").agg(F.max("next_id").alias("next_id"), F.min("next").alias("next"))
-    begin = begin.withColumn("is_id", F.char_length("next.begin") >= 0)
+    begin = begin.select("own_id", "is_id", "next_id", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("begin"), sketch(F.col("text")).alias("own")).alias("next"))
+    begin = begin.groupBy("own_id", "is_id").agg(F.max("next_id").alias("next_id"), F.min("next").alias("next"))
     rows = docs.join(begin, (F.col("key") == F.col("own_id")) & (F.col("known") == F.col("is_id")), "left")
     doc_id = F.when(F.col("known"), F.col("key")).alias("doc_id")
     half = F.floor(F.char_length("text") / 2).cast("int")
