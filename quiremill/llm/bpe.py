@@ -17,11 +17,12 @@ encoded each, an empty table gives an empty one, other columns are ignored, what
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -387,6 +388,28 @@ def forget() -> None:
         cached.cache_clear()
 
 
+def release() -> None:
+    """Give the system back what Arrow and the C library keep for later use: workers stay while they idle,
+    more of them than there are tasks at a time, and what each keeps adds up on its executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for tasks that need no encoder, so that its worker keeps nothing of the task before nor of this one."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, decoded): ids as array<int>, decoded the bytes of all ids."""
     kind = df.schema[key].dataType.simpleString()
@@ -419,6 +442,7 @@ def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tup
             if size >= AT_ONCE or i + 1 == len(texts):
                 yield keys.slice(at, len(some)), encoder._some(some)
                 at, some, size = i + 1, [], 0
+    release()
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

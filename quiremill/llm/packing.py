@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoded, json_encoder
+from .bpe import encoded, forget, json_encoder, lean, release
 from .common import exclusive_prefix, gapless_rank, materialise, table
 
 WINDOW = 2048
@@ -141,6 +141,8 @@ def plan(meta: DataFrame, window: int = WINDOW) -> DataFrame:
 
     @F.pandas_udf("seq long, off long")
     def place(rest: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        forget()  # tokens are counted by now
+        release()
         seq, off = places.find(rest.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"seq": seq, "off": off})
 
@@ -171,6 +173,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, key: str = "doc_id",
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(0)

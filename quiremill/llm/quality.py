@@ -150,6 +150,7 @@ def passages(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE, key: str = "doc_id", text: str = "text", most: int = SAMPLE_PASSAGES) -> Model:
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 64):
@@ -198,8 +199,8 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
     new = {out: pa.float64(), f"{out}_passages": pa.int64(), f"{out}_focus": pa.int64()}
     kept = [c for c in docs.columns if c not in new]
 
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe.forget()
         for b in batches:
             for part, texts in slices(b, text):
                 x, counts = vectors(texts)

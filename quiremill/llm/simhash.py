@@ -110,6 +110,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", of: C
     """(key, fp): fp as a signed long, written once to the shared folder."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [of(t.as_py() or "") for t in b.column(1)]
@@ -186,6 +187,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> Dat
     some = texts.join(ids, F.col("node") == F.col("n"), "left_semi")
     both = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             good = [jaccard(s.as_py(), t.as_py(), size) >= least for s, t in zip(x.column("ta"), x.column("tb"), strict=True)]
@@ -236,6 +238,7 @@ def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
     """Of texts (u, text): shingles in many texts of a bounded sample. Any answer keeps the links whole; a good one keeps candidates few."""
     few = texts.where(F.pmod("u", F.lit(max(1, texts.count() // SAMPLE))) == 0)
 
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -266,8 +269,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     texts = materialise(one.join(ids.groupBy("u").agg(F.min("node").alias("node")), ["node", "u"], "left_semi").dropDuplicates(["node", "u"]), "texts")
     common, kind = common_shingles(texts, size), docs.schema[key].dataType.simpleString()
 
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe.forget()
         for b in (w.slice(i, 1024) for w in batches for i in range(0, len(w), 1024)):
             sets = [_shingles(t.as_py(), size) for t in b.column("text")]
             firsts = [prefix(x, least, common) for x in sets]
@@ -324,6 +327,7 @@ def _by_prints(one: DataFrame, key: str) -> DataFrame:
     """similar() by the two fingerprints alone, without a look at the texts (node, u, text)."""
     kind = one.schema["node"].dataType.simpleString()
 
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b.column("text")]

@@ -85,8 +85,8 @@ def symbols(text: str) -> np.ndarray:
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Counts over all texts: an array with one cell for each three symbols, whatever the corpus."""
 
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe.forget()
         total = np.zeros(SYMBOLS**3, np.int64)
         for b in batches:
             for _, texts in slices(b, text):
@@ -245,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     known = sample(docs, labels, label, rows, key, text)
     known = materialise(known.select(text, "y", (F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(10)) < TERM_TENTHS).alias("gives")), "labelled")
 
+    @bpe.lean
     def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(chars)
         for b in batches:
@@ -257,6 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     bad = {r["t"]: r["n"] for r in bad.toLocalIterator()}  # of a sample of bounded size
     n_bad = giving.where("y = 1").count()
 
+    @bpe.lean
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, count = Restorer(chars), Counter()
         for b in batches:
@@ -270,6 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     weights = {t: float(np.log((n + 0.5) / (n_bad + 1)) - np.log((also.get(t, 0) + 0.5) / (n_good + 1))) for t, n in bad.items()}
     model = Model(chars, {t: w for t, w in weights.items() if w >= LEAST_WEIGHT}, None)
 
+    @bpe.lean
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int64()), pa.array([list(model.inputs(t.as_py() or "")) for t in b.column(text)], pa.list_(pa.float64()))], ["y", "x"])
@@ -287,8 +290,8 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
     """docs with the score; a column of docs of that name gives way."""
     kept = [c for c in docs.columns if c != out]
 
+    @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe.forget()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([model.score(t.as_py() or "") for t in b.column(text)], pa.float64())], [*kept, out])
 
