@@ -7,6 +7,8 @@ from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import op1_token_level_chat
 from .media import op3_netpbm_media
 from .packing import op9_nnls_packing
+from .periods import ORACLE_SQL as PERIODS_SQL
+from .periods import op11_periodic_runs
 from .quality import op2_attention_mil_quality
 from .sharding import op7_rendezvous_sharding
 from .simhash import op4_simhash_deletion_variants
@@ -27,7 +29,8 @@ QUERIES = {
         op8_byte_bpe,
         op9_nnls_packing,
         op10_elias_fano_token_file,
+        op11_periodic_runs,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_token_level_chat": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_token_level_chat": CHAT_SQL, "op11_periodic_runs": PERIODS_SQL}
