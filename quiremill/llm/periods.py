@@ -101,7 +101,7 @@ def worth_a_scan(w: np.ndarray, q: int, known: list[tuple[int, int, int]]) -> bo
             return False
         j = j[(w[j + r] == w[j + q + r]) & (w[j + q + r] == w[j + 2 * q + r])]
     last = len(w) - q
-    return len(j) > SPARSE or any(reach(w, q, i, last - i, 1) + reach(w, q, i - 1, i, -1) >= 3 * q for i in j.tolist())
+    return len(j) > SPARSE or any((ahead := reach(w, q, i, last - i, 1)) > 2 * q and ahead + reach(w, q, i - 1, i, -1) >= 3 * q for i in j.tolist())
 
 
 def runs_of(w: np.ndarray, least: int = LEAST, times: int = TIMES) -> list[tuple[int, int, int]]:
