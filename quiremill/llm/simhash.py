@@ -21,11 +21,10 @@ prefixes find the rest exactly: in one order of all shingles, two such texts hav
 among the first n - 0.8 n + 1 of each. Shingles that are common in a sample come last in that order,
 so that a line of many texts makes few candidates. The second round takes each shared shingle's texts
 with the one in which it comes first, the third all pairs that are not yet in one component, as far
-as the number of shingles that their prefixes share allows it. least=None instead links by two
-fingerprints alone (distinct words up to seven bits, four-word shingles up to sixteen), which neither
-finds all such texts nor only such.
+as the number of shingles that their prefixes share allows it.
 
-dedupe() keeps rows whole, whatever their other columns are called and of whatever type. Empty tables
+What is compared is a document: a key with a text. A second text under a key is a document of its own. dedupe() keeps
+the row that was compared, whole, whatever its other columns are called and of whatever type. Empty tables
 give empty ones; texts of any length are compared whole.
 """
 
@@ -64,12 +63,6 @@ def majority(raw: bytes) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(spread)).tobytes(), "big")
 
 
-def word_fingerprint(text: str, seed: int = SEED) -> int:
-    """Of the distinct words, however often they occur."""
-    words = set(text.encode().lower().split())
-    return majority(b"".join([xxhash.xxh64_digest(w, seed) for w in words])) if words else 0
-
-
 def jaccard(a: str, b: str, size: int = 5) -> float:
     """Exact similarity of the sets of runs of so many words; a shorter text is one run."""
     one, two = _runs(a, size), _runs(b, size)
@@ -149,34 +142,20 @@ def first_common(differ: Column, segments: Sequence[tuple[int, int, int]] = SEGM
     return out
 
 
-def links(nodes: DataFrame, node: str = "rep", fp: str = "fp", distance: int = DISTANCE, segments: Sequence[tuple[int, int, int]] = SEGMENTS, apart: str | None = None, guard: str | None = None) -> DataFrame:
-    """(a, b) of nodes whose fingerprints differ in at most distance bits, each pair once. apart: only
-    pairs in which this column differs. guard: only pairs in which at most GUARD bits of it differ."""
+def links(nodes: DataFrame, node: str = "rep", fp: str = "fp", distance: int = DISTANCE, segments: Sequence[tuple[int, int, int]] = SEGMENTS) -> DataFrame:
+    """(a, b) of nodes whose fingerprints differ in at most distance bits, each pair once."""
     found = sum(1 + wild for _, _, wild in segments) - 1
     if distance > found:
         raise ValueError(f"these segments find links of up to {found} bits")
-    own = F.col(apart) if apart else F.lit(0)
-    keyed = nodes.select(F.col(node).alias("n"), F.col(fp).alias("f"), own.alias("c"), (F.col(guard) if guard else F.lit(0)).alias("g"), F.explode(variants(F.col(fp), segments)).alias("v"))
+    keyed = nodes.select(F.col(node).alias("n"), F.col(fp).alias("f"), F.explode(variants(F.col(fp), segments)).alias("v"))
     a, b = keyed.alias("a"), keyed.alias("b")
     differ = F.col("a.f").bitwiseXOR(F.col("b.f"))
     order = (F.col("a.f") < F.col("b.f")) | (F.col("a.f") == F.col("b.f")) & (F.col("a.n") < F.col("b.n"))
     hit = (F.col("a.v") == F.col("b.v")) & order & (F.bit_count(differ) <= distance)
     hit = hit & (F.shiftright("a.v", 32) == first_common(differ, segments))
-    hit = hit & (F.col("a.c") != F.col("b.c")) if apart else hit
-    hit = hit & (F.bit_count(F.col("a.g").bitwiseXOR(F.col("b.g"))) <= GUARD) if guard else hit
     return a.join(b, hit).select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))
 
 
-def stars(nodes: DataFrame, window: int = 7) -> DataFrame:
-    """(a, b) of nodes (rep, fp, guard): of all fingerprints that are equal outside a window of bits,
-    each with the least node, as far as their guards allow."""
-    masks = [~int(np.uint64(((1 << min(window, 64 - at)) - 1) << at).view(np.int64)) for at in range(0, 64, window)]
-    keyed = nodes.select(F.col("rep").alias("b"), "guard", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("m", "v"))
-    least = keyed.groupBy("m", "v").agg(F.min(F.struct("b", "guard")).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = F.bit_count(F.col("a.guard").bitwiseXOR(F.col("guard"))) <= GUARD
-    return keyed.join(least, ["m", "v"]).where((F.col("a.b") != F.col("b")) & near).select(F.col("a.b").alias("a"), "b").distinct()
-
-
 #: Up to so many ids a set is sent to all tasks; beyond, texts are shuffled to it.
 MOST_SENT = 1_000_000
 
@@ -199,14 +178,6 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> Dat
     return both.select("a", "b", "ta", "tb").mapInArrow(run, pairs.schema)
 
 
-#: For word fingerprints: four segments, each with a wildcard, find links of up to seven bits.
-WORD_SEGMENTS = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
-WORD_DISTANCE, CLOSE = 7, 3
-#: Fingerprints of the four-word shingles may differ in so many bits: texts with 0.8 of their
-#: five-word shingles in common differ in fifteen at most, texts of the same words in another order in half of all.
-GUARD = 16
-
-
 #: Longs of a text's sketch; about so many texts, chosen by hash, show which shingles are common.
 SKETCH, SAMPLE = 8, 4096
 #: A shingle in so many texts of the sample is common; at most so many are remembered.
@@ -259,18 +230,31 @@ def _can(a: str, b: str, least: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * least - 1e-9) & (differ <= (n + m) * ((1 - least) / (1 + least)) + 1e-9)
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = 0.8, size: int = 5) -> DataFrame:
-    """(key, component) of docs with a key: documents connected by pairs that similar. Rows of a key
-    count as one document, with the text of the least hash."""
-    one = docs.select(F.col(key).alias("node"), F.coalesce(text, F.lit("")).alias("text")).where("node is not null").withColumn("u", F.xxhash64("text"))
-    if least is None:
-        return _by_prints(one, key)
+def documents(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(ids, texts) of the rows with a key. ids: (k, u, node), a number for each key and text hash, in order of key and hash;
+    texts: (node, u, text), one for each different text, with the least of its numbers."""
+    one = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("text")).withColumn("u", F.xxhash64("text"))
+    ids = one.select("k", "u").distinct().repartitionByRange("k", "u").sortWithinPartitions("k", "u")
+    ids = materialise(ids.withColumn("node", F.monotonically_increasing_id()), "ids")
+    # copies of a text are one node from the start
+    first = ids.groupBy("u").agg(F.min(F.struct("node", "k")).alias("x")).select(F.col("x.k").alias("k"), "u", F.col("x.node").alias("node"))
+    return ids, materialise(one.join(first, ["k", "u"]).dropDuplicates(["node"]).select("node", "u", "text"), "texts")
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
+    """(key, component) of docs with a key: documents connected by pairs that similar, named by the least key among them.
+    A key with several texts has a row for each."""
+    ids, linked = _linked(docs, key, text, least, size)
+    names = linked.join(ids.select(F.col("node").alias("root"), F.col("k").alias("component")), "root")
+    return names.select(F.col("k").alias(key), "component")
+
+
+def _linked(docs: DataFrame, key: str, text: str, least: float, size: int) -> tuple[DataFrame, DataFrame]:
+    """(ids, linked): ids of documents(), linked: (k, u, node, root), root the least node that a node is linked with."""
     if not 0 < least <= 1:
         raise ValueError("least is a similarity above 0, 1 at most")
-    ids = materialise(one.groupBy("node").agg(F.min("u").alias("u")), "ids")
-    # copies of a text are one node from the start
-    texts = materialise(one.join(ids.groupBy("u").agg(F.min("node").alias("node")), ["node", "u"], "left_semi").dropDuplicates(["node", "u"]), "texts")
-    common, kind = common_shingles(texts, size), docs.schema[key].dataType.simpleString()
+    ids, texts = documents(docs, key, text)
+    common = common_shingles(texts, size)
 
     @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +266,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
             columns += [pa.array([late for _, late in firsts], pa.bool_()), pa.array([x for x, _ in firsts], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("node"), *columns], ["rep", "n", "fp", "s", "late", "keys"])
 
-    prints = materialise(texts.select("node", "text").mapInArrow(run, f"rep {kind}, n int, fp long, s array<long>, late boolean, keys array<long>"), "prints")
+    prints = materialise(texts.select("node", "text").mapInArrow(run, "rep long, n int, fp long, s array<long>, late boolean, keys array<long>"), "prints")
     signed = materialise(verified(_signed(prints, least), texts, least, size), "links")
     keyed = prints.select("rep", F.posexplode("keys").alias("at", "v"))
     # of each key the text in which it comes first, in a group the one with the least of its own
@@ -309,9 +293,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     name = named.select(F.col("rep").alias("a"), F.col("c").alias("ca")), named.select(F.col("rep").alias("b"), F.col("c").alias("cb"))
     more = materialise(verified(rest, texts, least, size), "links").join(name[0], "a").join(name[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     last = components(more).select(F.col("node").alias("c"), "root")
-    named = named.join(last, "c", "left").select("rep", F.coalesce("root", "c").alias("component"))
-    owner = ids.groupBy("u").agg(F.min("node").alias("rep")).join(named, "rep").select("u", "component")
-    return ids.join(owner, "u").select(F.col("node").alias(key), "component")
+    named = named.join(last, "c", "left").select("rep", F.coalesce("root", "c").alias("root"))
+    owner = ids.groupBy("u").agg(F.min("node").alias("rep")).join(named, "rep").select("u", "root")
+    return ids, ids.join(owner, "u")
 
 
 def _signed(prints: DataFrame, least: float) -> DataFrame:
@@ -326,35 +310,6 @@ def _signed(prints: DataFrame, least: float) -> DataFrame:
     return near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
 
 
-def _by_prints(one: DataFrame, key: str) -> DataFrame:
-    """similar() by the two fingerprints alone, without a look at the texts (node, u, text)."""
-    kind = one.schema["node"].dataType.simpleString()
-
-    @bpe.lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py() for t in b.column("text")]
-            both = [pa.array(np.array([of(t) for t in texts], np.uint64).view(np.int64)) for of in (word_fingerprint, fingerprint)]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("u"), *both], ["node", "u", "fp", "guard"])
-
-    prints = materialise(one.select("node", "u", "text").mapInArrow(run, f"node {kind}, u long, fp long, guard long"), "fingerprints")
-    prints = prints.groupBy("node").agg(F.min(F.struct("u", "fp", "guard")).alias("x")).select("node", "x.u", "x.fp", "x.guard")
-    # copies of a text are one node from the start
-    texts = materialise(prints.groupBy("u", "fp", "guard").agg(F.min("node").alias("rep")), "texts")
-    nodes = texts.select("rep", "fp", "guard", F.col("rep").alias("c"))
-    found, edges = stars(nodes), None
-    for distance in (CLOSE, WORD_DISTANCE, None):
-        good = materialise(found, "links")
-        edges = good if edges is None else edges.unionByName(good)
-        roots = components(edges)
-        nodes = nodes.drop("c").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "fp", "guard", F.coalesce("root", "rep").alias("c"))
-        if distance:
-            nodes = materialise(nodes, "nodes")
-            found = links(nodes, distance=distance, segments=WORD_SEGMENTS, apart="c", guard="guard")
-    named = texts.join(nodes.select("rep", "c"), "rep").select("u", F.col("fp").alias("f"), "c")
-    return prints.join(named, (prints["u"] == named["u"]) & (prints["fp"] == named["f"])).select(F.col("node").alias(key), F.col("c").alias("component"))
-
-
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component): rows without a key have a component only through their fingerprint."""
     prints = fingerprints(docs, key, text)
@@ -370,14 +325,17 @@ def _comparable(df: DataFrame, column: str) -> Column:
     return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else F.col(column)
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float | None = 0.8, size: int = 5) -> DataFrame:
-    """One row of each group of similar(), whole: that of the least key. Of rows that repeat this key
-    the least stays. Rows without a key are never copies of a row with one; of equal ones one stays."""
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
+    """One row of each group of similar(), whole: the document of the least key, of several under this key the one whose text
+    has the least hash; of rows that repeat it in key and text the least stays. Every group keeps a row whose text is in it, and
+    no two rows that stay are that similar. Rows without a key are never copies of a row with one; of equal ones one stays."""
     names = docs.columns
-    kept = similar(docs.where(F.col(key).isNotNull()), key, text, least, size).where(F.col(key) == F.col("component")).select(F.col(key).alias("k")).distinct()
+    _, linked = _linked(docs, key, text, least, size)
+    kept = linked.where("node = root").select("k", "u")
     # the columns go into structs, so that none is in the way of a name used here
-    rows = docs.select(F.col(key).alias("k"), F.struct(*(F.col(c) for c in names)).alias("r"), F.struct(*(_comparable(docs, c).alias(f"c{i}") for i, c in enumerate(names))).alias("o"))
-    one = rows.join(kept, "k", "left_semi").groupBy("k").agg(F.min_by("r", "o").alias("r")).select("r")
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(key).alias("k"), hashed.alias("u"), F.struct(*(F.col(c) for c in names)).alias("r"), F.struct(*(_comparable(docs, c).alias(f"c{i}") for i, c in enumerate(names))).alias("o"))
+    one = rows.join(kept, ["k", "u"], "left_semi").groupBy("k", "u").agg(F.min_by("r", "o").alias("r")).select("r")
     alone = rows.where("k is null").groupBy("o").agg(F.any_value("r").alias("r")).select("r")
     return one.unionByName(alone).select(*(F.col("r")[c].alias(c) for c in names))
 
