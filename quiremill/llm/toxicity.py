@@ -12,8 +12,8 @@ so that copies of one text do not make its words suspect. A second part of the l
 logistic curve on the largest weights of a text, so scores are probabilities on texts that the
 terms were not taken from. Labels, lang, source and doc_id are no inputs of a score.
 
-At most SAMPLE labelled rows (of the least id hash) are learned from, never held-out ones, whole
-texts of any length. Null text counts as empty and is scored by the curve at no terms. Without toxic
+At most SAMPLE labelled rows (of the least id hash) and MOST_TERMS terms are learned from, never held-out ones, whole
+texts of any length. Words of any length are restored whole, in time that grows with the length. Null text counts as empty and is scored by the curve at no terms. Without toxic
 labels all scores are 0. Rows without doc_id count as held out; repeated rows are scored alike; a
 doc_id labelled twice counts as its lower label. An empty table gives an empty one; other columns
 stay, except one named like the score.
@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,10 @@ LEAST_WEIGHT = 2.5
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.5
 REMEMBERED = 400_000
+#: Terms that the model learns from at most, those of the most toxic texts; this bounds the driver, however long the texts are.
+MOST_TERMS = 200_000
+#: Characters of a token after which its lattice is looked at for what is decided.
+SETTLED = 256
 
 # What symbols and digits imitate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
@@ -61,7 +66,8 @@ WORD = re.compile(rf"{LETTER}+")
 #: Behind or before a letter, what may be something else; a letter twice.
 SYMBOL_CLASS = "[" + re.escape("".join(LEET) + SEPARATORS) + "]"
 CHOICE = re.compile(rf"({LETTER})\1|{LETTER}{SYMBOL_CLASS}|{SYMBOL_CLASS}{LETTER}")
-EDGES = re.compile(r"^[^\w@$|+(€£¡!]+|[^\w@$|€£]+$")
+#: What a word may begin and end with.
+BEGINS, ENDS = re.compile(r"[\w@$|+(€£¡!]"), re.compile(r"[\w@$|€£]")
 GAP = re.compile(r" (\S) (\S) (\S) ")
 GAPPED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 
@@ -111,6 +117,16 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def trimmed(word: str) -> str:
+    """A word without the symbols around it, each end scanned once."""
+    first, end = BEGINS.search(word), len(word)
+    if not first:
+        return ""
+    while end > first.start() and not ENDS.match(word[end - 1]):
+        end -= 1
+    return word[first.start() : end]
+
+
 class Restorer:
     """Words of chunks of text, restored."""
 
@@ -126,8 +142,14 @@ class Restorer:
         """The best path through the lattice of a token: its letters, with a space where a word ends."""
         # (last two symbols, whether a symbol is between them and what comes) -> (log probability, output so far, last letter)
         paths: dict[tuple[int, int, int], tuple[float, str, str]] = {(0, 0, 0): (0.0, "", "")}
-        logs, symbol = self.logs, self.symbol
-        for c in token.lower() + " ":
+        logs, symbol, done = self.logs, self.symbol, []
+        for i, c in enumerate(token.lower() + " "):
+            if i % SETTLED == SETTLED - 1:
+                # what all paths begin with is decided; without it their outputs stay short, however long the token
+                said = commonprefix([p[1] for p in paths.values()])[:-1]
+                if said:
+                    done.append(said)
+                    paths = {k: (cost, out[len(said) :], last) for k, (cost, out, last) in paths.items()}
             new: dict[tuple[int, int, int], tuple[float, str, str]] = {}
             letters = ((c, KEPT, ECHO),) if c.isalpha() else tuple((x, IMITATED, ECHO + IMITATED) for x in LEET.get(c, ""))
             for (a, b, gap), (cost, out, last) in paths.items():
@@ -152,19 +174,19 @@ class Restorer:
                     if key not in new or (value, text) > new[key][:2]:
                         new[key] = (value, text, end)
             paths = new
-        return max(paths.values())[1].strip()
+        return ("".join(done) + max(paths.values())[1]).strip()
 
     def words(self, chunk: str) -> list[str]:
         """The restored words of a chunk."""
         low = chunk.lower()
         if not CHOICE.search(low):
             return WORD.findall(low)
-        return [w for part in low.split() for w in (self.decode(EDGES.sub("", part)).split() if CHOICE.search(part) else WORD.findall(part))]
+        return [w for part in low.split() for w in (self.decode(trimmed(part)).split() if CHOICE.search(part) else WORD.findall(part))]
 
     def text(self, text: str) -> str:
         """The whole text with its odd words restored, for reading."""
         text = GAPPED.sub(lambda m: m[0].replace(" ", "."), text)
-        return re.sub(r"\S+", lambda m: self.decode(EDGES.sub("", m[0])) if CHOICE.search(m[0].lower()) else m[0], text)
+        return re.sub(r"\S+", lambda m: self.decode(trimmed(m[0])) if CHOICE.search(m[0].lower()) else m[0], text)
 
 
 def chunks(text: str) -> set[str]:
@@ -255,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     giving = known.where("gives")
     bad = giving.where("y = 1").select(text).mapInArrow(toxic, "sig long, terms array<string>")
     bad = bad.select("sig", F.explode("terms").alias("t")).groupBy("t").agg(F.countDistinct("sig").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    bad = bad.orderBy(F.desc("n"), "t").limit(MOST_TERMS)
     bad = {r["t"]: r["n"] for r in bad.toLocalIterator()}  # of a sample of bounded size
     n_bad = giving.where("y = 1").count()
 
@@ -293,7 +316,8 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
     @bpe.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([model.score(t.as_py() or "") for t in b.column(text)], pa.float64())], [*kept, out])
+            for part, texts in slices(b, text):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([model.score(t) for t in texts], pa.float64())], [*kept, out])
 
     return docs.select(*kept).mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` double"]))
 
