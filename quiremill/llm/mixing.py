@@ -3,9 +3,10 @@
 Each source has a weight; together they share a budget of words. No source gives more than so many
 times its size (epochs): a source above that is clamped, what it can't take is shared by the others in proportion
 to their weights, again and again until none is above. What a source owes is taken as whole repetitions of all its
-documents and one fractional one: documents in a seeded order as far as they fit, then, in the room
-that is left, smaller ones behind them, ROUNDS times. So a source never exceeds its target, and misses it
-by less than the smallest document that was not taken for its size.
+documents and one fractional one. Its few large documents (over 1 / LARGE of it each) are decided first, in a seeded order: one is
+taken if the fraction of what came so far asks for half of it at least. Then the others, in the same order as far as they fit, then, in the room
+that is left, smaller ones behind them, ROUNDS times. So a source misses its target by less than the smallest document
+that was not taken for its size, unless large ones make up most of it.
 
 The order is a digest of seed, id and text: reruns and retries agree, rows that are equal in both are taken
 together. Where the fraction ends is found by histograms of the digest's leading bits, 12 and 12 again, so no
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialise, same_join, table
 
 WEIGHTS = (5, 2, 1)
-SHARE, EPOCHS, SEED, ROUNDS = 1.5, 2, 12, 3
+SHARE, EPOCHS, SEED, ROUNDS, LARGE = 1.5, 2, 12, 3, 16
 WORD = r"[^\x20\x09-\x0D]+"
 #: A digest has 60 bits; the histograms take 12 of them at a time.
 BITS, STEP = 60, 12
@@ -86,6 +87,21 @@ def reach(rows: DataFrame, need: DataFrame) -> DataFrame:
     return whole.unionByName(part)
 
 
+def picked(large: DataFrame) -> DataFrame:
+    """(s, picks, got): which of a source's large documents (s, u, size, fraction) its fraction takes, by u, and their words. A source
+    has fewer than LARGE of them, as each holds more than 1 / LARGE of it."""
+    none = F.struct(F.lit(0.0).alias("want"), F.lit(0).cast("long").alias("got"), F.array().cast("array<bigint>").alias("picks"))
+
+    def step(a: Column, x: Column) -> Column:
+        want = a["want"] + F.col("fraction") * x["v"]
+        take = want - a["got"] >= x["v"] / 2
+        return F.struct(want.alias("want"), F.when(take, a["got"] + x["v"]).otherwise(a["got"]).alias("got"), F.when(take, F.array_append(a["picks"], x["u"])).otherwise(a["picks"]).alias("picks"))
+
+    rows = large.groupBy("s", "fraction", "u").agg(F.sum("size").alias("v"))
+    rows = rows.groupBy("s", "fraction").agg(F.sort_array(F.collect_list(F.struct("u", "v"))).alias("docs"))
+    return rows.select("s", F.aggregate("docs", none, step).alias("a")).select("s", "a.picks", "a.got")
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
     """(key, source, size, source_size, target, times, taken): how often the mix takes each row, and the words of that.
 
@@ -104,19 +120,23 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     whole = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long")
     sources = materialise(sources.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     # rows of the sources that need a fraction, by the sources' numbers
-    held = same_join(rows.where("size > 0"), sources.where("need > 0").select("source", "s"), ["source"]).select("s", "u", "size")
+    part = sources.where("need > 0").select("source", "s", "source_size", (F.col("need") / F.col("source_size")).alias("fraction"))
+    held = same_join(rows.where("size > 0"), part, ["source"]).withColumn("large", F.col("size") * LARGE > F.col("source_size"))
+    picks = materialise(picked(held.where("large")), "large")
+    held = held.where("not large").select("s", "u", "size")
     plan = sources.select("s", "need", F.lit(-1).cast("long").alias("tau0"), F.lit((1 << 63) - 1).alias("left0"))
+    plan = plan.join(picks, "s", "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).drop("got")
     for k in range(rounds):
-        room = plan.where("need > 0").select("s", F.col("need"), F.col(f"tau{k}").alias("tau"), F.col(f"left{k}").alias("left"))
+        room = plan.where("need > 0").select("s", "need", F.col(f"tau{k}").alias("tau"), F.col(f"left{k}").alias("left"))
         open_ = held.join(room.drop("need"), "s").where("u > tau and size <= left").select("s", "u", "size")
-        found = reach(open_, room.select("s", "need"))
-        plan = plan.join(found, "s", "left").withColumn(f"tau{k + 1}", F.coalesce("tau", f"tau{k}")).withColumn("need", F.col("need") - F.coalesce("got", F.lit(0)))
+        plan = plan.join(reach(open_, room.select("s", "need")), "s", "left").withColumn(f"tau{k + 1}", F.coalesce("tau", f"tau{k}"))
+        plan = plan.withColumn("need", F.col("need") - F.coalesce("got", F.lit(0)))
         plan = materialise(plan.withColumn(f"left{k + 1}", F.col("need").cast("long")).drop("tau", "got"), "plan")
-    marks = [c for c in plan.columns if c.startswith(("tau", "left"))]
-    taken = same_join(rows, sources.join(plan.select("s", *marks), "s"), ["source"])
+    taken = same_join(rows, sources.drop("need").join(plan.drop("need"), "s"), ["source"])
     more = F.lit(False)
     for k in range(rounds):
         more = more | ((F.col("size") <= F.col(f"left{k}")) & (F.col("u") <= F.col(f"tau{k + 1}")))
+    more = F.when(F.col("size") * LARGE > F.col("source_size"), F.coalesce(F.array_contains("picks", F.col("u")), F.lit(False))).otherwise(more)
     times = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + more.cast("long")).cast("long")
     return taken.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
@@ -129,7 +149,7 @@ def _round_sql(k: int) -> str:
     return f"""
 h{k} AS (
   SELECT p.s, r.u, sum(r.size) OVER (PARTITION BY p.s ORDER BY r.u) AS c, p.need FROM r JOIN p{k} p ON p.s = r.s
-  WHERE r.size > 0 AND p.need > 0 AND r.u > p.tau AND r.size <= p.room
+  WHERE r.size > 0 AND r.size * {LARGE} <= r.source_size AND p.need > 0 AND r.u > p.tau AND r.size <= p.room
 ), p{k + 1} AS (
   SELECT p.s, p.need - coalesce(f.got, 0) AS need, coalesce(f.tau, p.tau) AS tau, floor(p.need - coalesce(f.got, 0)) AS room
   FROM p{k} p LEFT JOIN (SELECT s, max(u) AS tau, max(c) AS got FROM h{k} WHERE c <= need GROUP BY s) f ON f.s = p.s
@@ -151,12 +171,22 @@ WITH RECURSIVE d AS (
   FROM l, w WHERE k < 60 GROUP BY k, level
 ), t AS (
   SELECT *, least(cap, weight * (SELECT max(level) FROM l)) AS target FROM w
-), p0 AS (
-  SELECT s, target - floor(target / source_size) * source_size AS need, -1::BIGINT AS tau, 9e18::DOUBLE AS room FROM t WHERE source_size > 0
 ), r AS (
-  SELECT d.*, s, source_size, target FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+  SELECT d.*, s, source_size, target, size * {LARGE} > source_size AS large, target - floor(target / source_size) * source_size AS need
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+), b AS (
+  SELECT s, u, need / source_size AS f, sum(size)::DOUBLE AS v, row_number() OVER (PARTITION BY s ORDER BY u) AS pos FROM r WHERE large AND need > 0 GROUP BY s, u, f
+), k AS (
+  SELECT s, list_reduce(list_prepend([0::DOUBLE, 0, 0, 1], list([v, 0, 0, 0] ORDER BY u)), lambda a, x:
+    CASE WHEN a[1] + f * x[1] - a[2] >= x[1] / 2 THEN [a[1] + f * x[1], a[2] + x[1], a[3] + a[4], 2 * a[4]] ELSE [a[1] + f * x[1], a[2], a[3], 2 * a[4]] END) AS m
+  FROM b GROUP BY s, f
+), q AS (
+  SELECT b.s, b.u FROM b JOIN k ON k.s = b.s WHERE (k.m[3]::BIGINT >> (b.pos - 1)::INT) & 1 = 1
+), p0 AS (
+  SELECT t.s, target - floor(target / source_size) * source_size - coalesce(m[2], 0) AS need, -1::BIGINT AS tau, 9e18::DOUBLE AS room
+  FROM t LEFT JOIN k ON k.s = t.s WHERE source_size > 0
 ), {",".join(_round_sql(k) for k in range(ROUNDS))}
 SELECT r.doc_id, r.size, r.source_size, r.target, CASE WHEN r.size = 0 THEN 0 ELSE r.size * (floor(r.target / r.source_size)
-  + CASE WHEN {" OR ".join(f"(r.size <= p{k}.room AND r.u <= p{k + 1}.tau)" for k in range(ROUNDS))} THEN 1 ELSE 0 END) END::BIGINT AS taken
-FROM r {" ".join(f"LEFT JOIN p{k} ON p{k}.s = r.s" for k in range(ROUNDS + 1))}
+  + CASE WHEN r.large AND q.u IS NOT NULL OR NOT r.large AND ({" OR ".join(f"(r.size <= p{k}.room AND r.u <= p{k + 1}.tau)" for k in range(ROUNDS))}) THEN 1 ELSE 0 END) END::BIGINT AS taken
+FROM r LEFT JOIN q ON q.s = r.s AND q.u = r.u {" ".join(f"LEFT JOIN p{k} ON p{k}.s = r.s" for k in range(ROUNDS + 1))}
 """
