@@ -114,6 +114,7 @@ def embed(text: pd.Series) -> pd.Series:
     return text.map(embed_text)
 
 
-def index(rows: DataFrame, collection: str, text: str = "text", keys: Sequence[str] = ("paper_id", "idx")) -> DataFrame:
-    """rows as points of a collection. The id is a hash of the keys, so indexing again adds nothing."""
-    return rows.withColumn("id", F.sha2(F.concat_ws("_", F.lit(collection), *keys), 256)).withColumn("collection", F.lit(collection)).withColumn("vector", embed(F.col(text)))
+def index(rows: DataFrame, collection: str | Column, text: str = "text", keys: Sequence[str] = ("paper_id", "idx")) -> DataFrame:
+    """rows as points of a collection, named or by a column. The id is a hash of the keys, so indexing again adds nothing."""
+    name = F.lit(collection) if isinstance(collection, str) else collection
+    return rows.withColumn("id", F.sha2(F.concat_ws("_", name, *keys), 256)).withColumn("collection", name).withColumn("vector", embed(F.col(text)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -13,6 +14,7 @@ from ..operators import graph as G
 from ..operators import resolve as R
 from ..operators import rollup as U
 from ..operators import vectors as V
+from ..sources import imports as I
 from ..sources import papers as P
 from . import route
 from .star import _FURNITURE, _SPECIAL, _W, documents, parts, points, probe, query, t
@@ -71,7 +73,7 @@ def cites_target(spark, d):
 @query("SELECT conv_id, turn, CASE WHEN role='user' AND len(text)%2=0 THEN 'citation' WHEN role='user' THEN 'A' ELSE 'content' END AS kind FROM conversations")
 def point_kinds(spark, d):
     claim = F.when(F.length("text") % 2 == 1, "A").otherwise("")
-    return conversations(spark, d).select("conv_id", "turn", P.point_filter(F.col("role") == "user", claim).alias("kind"))
+    return conversations(spark, d).select("conv_id", "turn", I.point_filter(F.col("role") == "user", claim).alias("kind"))
 
 
 @query("SELECT p_brand AS brand, count(*) AS papers, CASE WHEN count(*)>=10 THEN 0.9 WHEN count(*)>=5 THEN 0.7 WHEN count(*)>=2 THEN 0.5 ELSE 0.3 END::DOUBLE AS concept, CASE WHEN count(*)=1 THEN 0.8 WHEN count(*)<=3 THEN 0.6 ELSE 0.4 END::DOUBLE AS author, (CASE WHEN count(*)>=10 THEN 0.9 WHEN count(*)>=5 THEN 0.7 WHEN count(*)>=2 THEN 0.5 ELSE 0.3 END<0.8 AND count(*)>1) AS clarify, CASE WHEN count(*)=1 THEN 'selected' WHEN count(*)<=5 THEN 'choose' ELSE 'too_many' END AS next FROM part GROUP BY 1")
@@ -137,27 +139,92 @@ def processed(spark, d):
 
 @query("SELECT 'C'||o_custkey AS citing_id, 'S'||l_suppkey AS cited_id, count(*) AS citation_count FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1,2")
 def import_paper_cites(spark, d):
-    return P.to_graph(*processed(spark, d))["paper_cites"]
+    return I.to_graph(*processed(spark, d))["paper_cites"]
 
 
 @query("SELECT 'C'||c_custkey AS paper_id, c_name AS title, 2001 AS year, false AS stub FROM customer UNION ALL SELECT DISTINCT 'S'||l_suppkey, 'T'||l_suppkey, 1990, true FROM lineitem JOIN orders ON l_orderkey=o_orderkey")
 def import_papers(spark, d):
-    return P.to_graph(*processed(spark, d))["papers"].select("paper_id", "title", "year", "stub")
+    return I.to_graph(*processed(spark, d))["papers"].select("paper_id", "title", "year", "stub")
 
 
 @query("SELECT 'C'||o_custkey||'_sent_'||o_orderkey AS from_id, 'S'||l_suppkey AS to_id, 'CITES' AS relation_type, count(*) AS mentions FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1,2")
 def import_relations(spark, d):
-    return P.to_graph(*processed(spark, d))["relations"]
+    return I.to_graph(*processed(spark, d))["relations"].select("from_id", "to_id", "relation_type", "mentions")
 
 
 @query("SELECT 'C'||o_custkey||'_sent_'||o_orderkey AS argument_id, o_orderpriority AS text, 'NEUTRAL' AS claim_type FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def import_arguments(spark, d):
-    return P.to_graph(*processed(spark, d))["arguments"].select("argument_id", "text", "claim_type")
+    return I.to_graph(*processed(spark, d))["arguments"].select("argument_id", "text", "claim_type")
 
 
 @query("SELECT sha256('sentences_C'||o_custkey||'_'||o_orderkey) AS id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'citation' ELSE 'content' END AS sentence_type FROM orders")
 def import_points(spark, d):
-    return P.to_points(processed(spark, d)[0]).select("id", "sentence_type")
+    return I.to_points(processed(spark, d)[0]).select("id", "sentence_type")
+
+
+def filed(spark, d):
+    """Documents with paragraphs: papers are customers, paragraphs their orders, sentences these orders' lines, which cite suppliers
+    and sometimes say how."""
+    # line numbers of an order repeat
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount"))
+    line, order = t(spark, d, "lineitem").withColumn("l_linenumber", number), t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("paper_id"), "o_orderpriority")
+    says = F.concat(F.lit("s"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("."))
+    who = F.col("l_suppkey").cast("string")
+    typed = F.struct((F.col("l_returnflag") == "R").alias("has_argument_relations"), F.array(F.struct(F.lit("SUPPORTS").alias("relation_type"), F.col("l_discount").alias("confidence"))).alias("entities"))
+    cite = F.struct(F.concat(F.lit("("), who, F.lit(")")).alias("intext"), F.struct(F.concat(F.lit("T"), who).alias("title"), F.lit("1990").alias("year")).alias("reference"), F.concat(F.lit("S"), who).alias("paper_id"), typed.alias("argument_analysis"))
+    rows = line.select(F.col("l_orderkey").alias("k"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("int").alias("sentence_index"), says.alias("sentence_text"), F.array(cite).alias("citations"), F.struct((F.col("l_returnflag") == "R").alias("has_argument_relations")).alias("argument_analysis")).join(order, "k")
+    lines = rows.drop("k", "o_orderpriority")
+    texts = rows.groupBy("paper_id", "k", "o_orderpriority").agg(F.array_join(F.sort_array(F.collect_list(F.struct("sentence_index", "sentence_text")))["sentence_text"], " ").alias("paragraph_text"), F.count("*").cast("int").alias("sentence_count"))
+    paragraphs = texts.select("paper_id", F.col("k").cast("int").alias("paragraph_index"), "paragraph_text", F.col("o_orderpriority").alias("section"), "sentence_count")
+    meta = t(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("paper_id"), F.col("c_name").alias("title"), F.array("c_mktsegment").alias("authors"), F.lit("2001-05").alias("year"), F.lit("10.1/x").alias("doi"))
+    return lines, meta, paragraphs
+
+
+_FILED = "SELECT 'C'||o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_discount) AS n, 'S'||l_suppkey AS s, l_returnflag AS f, l_discount AS d FROM lineitem JOIN orders ON l_orderkey=o_orderkey"
+
+
+def filed_graph(spark, d):
+    return I.import_documents(I.assemble(*filed(spark, d)))
+
+
+@query(f"WITH e AS ({_FILED}) SELECT c AS paper_id, c_name AS title, count(DISTINCT (k,n)) AS sentence_citations, count(DISTINCT k) AS paragraph_citations, count(DISTINCT (k,n))+count(DISTINCT k) AS total_citations FROM e JOIN customer ON c='C'||c_custkey WHERE s='S5' GROUP BY 1,2")
+def filed_citing_papers(spark, d):
+    return G.citing_papers(I.graph_of(filed_graph(spark, d)), "S5").select("paper_id", "title", "sentence_citations", "paragraph_citations", "total_citations")
+
+
+@query(f"WITH e AS ({_FILED}) SELECT c||'_para_'||k AS paragraph_id, s AS cited_id, count(*) AS citation_count, count(*)/(SELECT count(*) FROM lineitem WHERE l_orderkey=k)::DOUBLE AS citation_density FROM e GROUP BY c, k, s")
+def filed_paragraph_cites(spark, d):
+    return filed_graph(spark, d)["paragraph_cites"]
+
+
+@query(f"WITH e AS ({_FILED}) SELECT c||'_sent_'||(100*k+n) AS sentence_id, c||'_para_'||k AS paragraph_id, 2001 AS year, true AS has_citations, len('s'||k||'-'||n||'.') AS char_count FROM e")
+def filed_sentences(spark, d):
+    return filed_graph(spark, d)["sentences"].select("sentence_id", "paragraph_id", "year", "has_citations", "char_count")
+
+
+@query(f"WITH e AS ({_FILED}) SELECT c||'_sent_'||(100*k+n) AS sentence_id, s AS cited_id, '('||substr(s,2)||')' AS citation_text, 's'||k||'-'||n||'.' AS citation_context, 1.0::DOUBLE AS confidence FROM e")
+def filed_sentence_cites(spark, d):
+    return filed_graph(spark, d)["sentence_cites"]
+
+
+@query(f"WITH e AS ({_FILED}) SELECT c||'_sent_'||(100*k+n) AS from_id, s AS to_id, CASE WHEN f='R' THEN 'SUPPORTS' ELSE 'CITES' END AS relation_type, CASE WHEN f='R' THEN d END AS confidence, CASE WHEN f='R' THEN 'CLAIM_MAIN' ELSE 'NEUTRAL' END AS claim_type FROM e")
+def filed_relations(spark, d):
+    g = filed_graph(spark, d)
+    return g["relations"].join(g["arguments"], F.col("from_id") == F.col("argument_id")).select("from_id", "to_id", "relation_type", "confidence", "claim_type")
+
+
+@query("SELECT 'C'||c_custkey AS paper_id, c_name AS title, 2001 AS year, '10.1/x' AS doi, c_mktsegment AS author, false AS stub FROM customer UNION ALL SELECT DISTINCT 'S'||l_suppkey, 'T'||l_suppkey, 1990, NULL, NULL, true FROM lineitem JOIN orders ON l_orderkey=o_orderkey")
+def filed_papers(spark, d):
+    return filed_graph(spark, d)["papers"].select("paper_id", "title", "year", "doi", F.get("authors", F.lit(0)).alias("author"), "stub")
+
+
+@query(f"WITH e AS ({_FILED}), c AS (SELECT c, k, n, s, f, row_number() OVER (PARTITION BY c ORDER BY k, n) - 1 AS i FROM e) SELECT sha256('sentences_'||c||'_'||(100*k+n)) AS id, 'sentences' AS collection, CASE WHEN f='R' THEN 'CLAIM_MAIN' ELSE 'citation' END AS kind, 1::INT AS n FROM e UNION ALL SELECT sha256('paragraphs_'||c||'_'||k), 'paragraphs', o_orderpriority, count(*)::INT FROM e JOIN orders ON o_orderkey=k GROUP BY c, k, o_orderpriority UNION ALL SELECT sha256('sections_'||c||'_0'), 'sections', 'other', ceil(count(*)/5)::INT FROM e GROUP BY c UNION ALL SELECT sha256('citations_'||c||'_'||i), 'citations', s, 1::INT FROM c")
+def filed_collections(spark, d):
+    lines, meta, paragraphs = filed(spark, d)
+    got = I.collections(lines, meta, paragraphs)
+    kind = F.coalesce("sentence_type", F.when(F.col("collection") == "paragraphs", F.col("section")), "section_type", "cited_paper_id")
+    n = F.coalesce(F.when(F.col("collection") == "paragraphs", F.col("citation_count")), "paragraph_count", F.lit(1))
+    return got.select("id", "collection", kind.alias("kind"), n.alias("n"))
 
 
 @query("SELECT p_partkey AS paper_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag='R' AND l_linenumber=1)")

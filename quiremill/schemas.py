@@ -13,12 +13,21 @@ SENTENCE_CITES = "sentence_id string, cited_id string, citation_text string, cit
 PARAGRAPH_CITES = "paragraph_id string, cited_id string, citation_count int, citation_density double"
 RELATES = "from_id string, to_id string, relation_type string, confidence double, version string, seq long"
 REFERENCE = "authors array<string>, title string, year string, journal string, publisher string, pub_place string, raw_text string"
-CITATION = f"intext string, reference struct<{', '.join(f.replace(' ', ': ', 1) for f in REFERENCE.split(', '))}>, paper_id string"
-SENTENCE_LINE = f"sentence_index int, sentence_text string, citations array<struct<{CITATION.replace('intext string', 'intext: string').replace('reference struct', 'reference: struct').replace('paper_id string', 'paper_id: string')}>>, word_count int, char_count int, error string"
+REFERENCE_STRUCT = "struct<authors: array<string>, title: string, year: string, journal: string, publisher: string, pub_place: string, raw_text: string>"
+ENTITY = "struct<relation_type: string, confidence: double, entity_text: string, start_pos: int, end_pos: int>"
+ANALYSIS = f"struct<has_argument_relations: boolean, entities: array<{ENTITY}>>"
+CITATION = f"struct<intext: string, reference: {REFERENCE_STRUCT}, paper_id: string, confidence: double, argument_analysis: {ANALYSIS}>"
+SENTENCE_LINE = f"sentence_index int, sentence_text string, citations array<{CITATION}>, word_count int, char_count int, error string, argument_analysis {ANALYSIS}"
+PARAGRAPH_LINE = "paragraph_index int, paragraph_text string, section string, sentence_count int"
+SECTION_LINE = "section_index int, section_title string, section_text string, section_type string, paragraph_count int"
 METADATA = "title string, authors array<string>, year string, doi string, journal string, publisher string, abstract string, url string, type string, volume string, issue string, pages string, issn string, extraction_method string"
 AUTHORS = "id long, name string, normalized_name string"
 AUTHOR_PAPERS = "author_id long, paper_id string, author_position int"
-POINT = "id string, collection string, vector array<float>, paper_id string, text string, title string, authors array<string>, year string, journal string, sentence_index int, sentence_type string, paragraph_index int, section string, has_citations boolean, section_index int, section_title string, section_type string"
+POINT = (
+    "id string, collection string, vector array<float>, paper_id string, text string, title string, authors array<string>, year string, doi string, journal string, publisher string, "
+    "sentence_index int, sentence_type string, paragraph_index int, section string, citation_count int, sentence_count int, has_citations boolean, "
+    "section_index int, section_title string, section_type string, paragraph_count int, citation_index int, cited_paper_id string, citation_context string, confidence double"
+)
 PROGRESS = "path string, status string, directory string, paper_id string, total_sentences int, total_citations int, completed_at timestamp, error string"
 TURN = "conv_id long, turn long, role string, text string"
 

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
-from ..operators.graph import with_stubs
-from ..operators.vectors import index
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf", content: bool = True) -> DataFrame:
@@ -134,11 +132,6 @@ def import_new(documents: DataFrame, done: DataFrame, key: str = "paper_id") ->
     return documents.join(done.select(key), key, "left_anti")
 
 
-def point_filter(has_citations: Column, claim_type: Column) -> Column:
-    """Which sentences are indexed, and as what."""
-    return F.when(has_citations, F.coalesce(F.nullif(claim_type, F.lit("")), F.lit("citation"))).otherwise("content")
-
-
 def is_scanned(pages: DataFrame) -> DataFrame:
     """(path, is_scanned) of pages (path, page_no, text, images): of the first five, over 0.6 have less than
     100 characters and over 0.3 have pictures."""
@@ -176,35 +169,27 @@ def diagnose(pages: DataFrame, references: DataFrame) -> DataFrame:
     return got.select("path", "is_scanned", "score", quality_level(F.col("score"), n > 0).alias("quality_level"), recommendations(F.col("score"), n > 0, n, doi).alias("recommendations"))
 
 
-def to_graph(lines: DataFrame, metadata: DataFrame) -> dict[str, DataFrame]:
-    """Graph tables of processed documents: papers (stubs for what is only cited), arguments (sentences with
-    citations), relations (an argument cites a paper, once for each citation of it: mentions) and
-    paper_cites (citing_id, cited_id, citation_count). lines as read_processed() gives them."""
-    cited = F.filter(F.coalesce("citations", F.array().cast(lines.schema["citations"].dataType)), lambda c: F.length(c["paper_id"]) > 0)
-    some = lines.where(F.size("citations") > 0).withColumn("argument_id", F.concat_ws("_", "paper_id", F.lit("sent"), F.col("sentence_index").cast("string")))
-    arguments = some.select("argument_id", "paper_id", "sentence_index", F.col("sentence_text").alias("text"), F.lit("NEUTRAL").alias("claim_type"))
-    each = some.select("argument_id", F.col("paper_id").alias("citing_id"), F.explode(cited).alias("c"))
-    each = each.select("argument_id", "citing_id", F.col("c.paper_id").alias("cited_id"), F.coalesce("c.reference.title", F.lit("Unknown Title")).alias("title"), schemas.year(F.col("c.reference.year")).alias("year"))
-    own = metadata.select("paper_id", F.coalesce("title", F.lit("")).alias("title"), schemas.year(F.col("year")).alias("year"), F.lit(False).alias("stub"))
-    stubs = each.groupBy(F.col("cited_id").alias("paper_id")).agg(F.min(F.struct("title", "year")).alias("r")).select("paper_id", "r.title", "r.year")
-    return {
-        "papers": with_stubs(own, stubs),
-        "arguments": arguments,
-        "relations": each.groupBy(F.col("argument_id").alias("from_id"), F.col("cited_id").alias("to_id")).agg(F.count("*").alias("mentions")).withColumn("relation_type", F.lit("CITES")),
-        "paper_cites": each.groupBy("citing_id", "cited_id").agg(F.count("*").alias("citation_count")),
-    }
-
-
-def to_points(lines: DataFrame) -> DataFrame:
-    """Points of the collection of sentences for all processed documents, one a sentence, without vectors'
-    model at hand by the default embedding; has_citations tells which of them cite."""
-    rows = lines.select("paper_id", "sentence_index", F.col("sentence_text").alias("text"), (F.coalesce(F.size("citations"), F.lit(0)) > 0).alias("has_citations"))
-    return index(rows.withColumn("sentence_type", point_filter(F.col("has_citations"), F.lit(None).cast("string"))), "sentences", keys=("paper_id", "sentence_index"))
-
-
-def write_processed(lines: DataFrame, metadata: DataFrame, path: str) -> None:
+#: Tables of processed papers, the column that orders a paper's rows in each, and their schemas.
+STORED = {
+    "sentences": ("sentence_index", schemas.SENTENCE_LINE), "metadata": ("title", schemas.METADATA),
+    "paragraphs": ("paragraph_index", schemas.PARAGRAPH_LINE), "sections": ("section_index", schemas.SECTION_LINE),
+}
+
+
+def write_processed(path: str, **tables: DataFrame) -> None:
+    """Sentences, metadata, paragraphs and sections of papers, those that are given, each as few large files sorted by paper."""
+    for name, rows in tables.items():
+        order, _ = STORED[name]
+        rows.repartitionByRange("paper_id", order).sortWithinPartitions("paper_id", order).write.mode("append").parquet(f"{path}/{name}")
+
+
+def read_stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(f"{STORED[name][1]}, paper_id string").parquet(f"{path}/{name}")
+
+
+def export_folders(lines: DataFrame, metadata: DataFrame, path: str) -> None:
     """A folder a paper below sentences/ and metadata/, which read_processed() and read_metadata() read
-    with files="*.json"; sentence lines in order."""
+    with files="*.json"; sentence lines in order. For few papers: each is a folder and a file."""
     body = lines.select(*(F.col(c) for c in lines.columns if c != "paper_id"), F.col("paper_id").alias("p")).repartition("p").sortWithinPartitions("p", "sentence_index")
     body.write.partitionBy("p").mode("append").json(f"{path}/sentences")
     metadata.withColumn("p", F.col("paper_id")).drop("paper_id").repartition("p").write.partitionBy("p").mode("append").json(f"{path}/metadata")

@@ -251,24 +251,6 @@ def test_paragraph_citation_counts(spark):
     assert {r["paragraph_id"]: r["citation_count"] for r in C.paragraph_citation_counts(p, s).collect()} == {"x": 3, "y": 0}
 
 
-def test_processed_documents_to_graph_and_back(spark, tmp_path):
-    from quiremill import schemas
-
-    cite = lambda k, title: {"intext": f"({k}, 2001)", "reference": {"title": title, "year": "2001-03"}, "paper_id": k}
-    rows = [(0, "One (A, 2001).", [cite("A", "Ta"), cite("A", "Ta")], 2, 14, None, "P1"), (1, "None.", [], 1, 5, None, "P1"), (2, "Three.", None, 1, 6, None, "P1"), (0, "Two.", [cite("P1", "T1"), cite(None, None)], 1, 4, None, "P2")]
-    lines = spark.createDataFrame(rows, schemas.SENTENCE_LINE + ", paper_id string")
-    meta = spark.createDataFrame([("P1", "First", "1999"), ("P2", "Second", "Unknown")], "paper_id string, title string, year string")
-    P.write_processed(lines, meta, str(tmp_path))
-    back, meta2 = P.read_processed(spark, str(tmp_path / "sentences"), "*.json"), P.read_metadata(spark, str(tmp_path / "metadata"), "*.json")
-    assert sorted((r["paper_id"], r["sentence_index"]) for r in back.collect()) == [("P1", 0), ("P1", 1), ("P1", 2), ("P2", 0)]
-    g = P.to_graph(back, meta2)
-    assert {r["paper_id"]: (r["title"], r["year"], r["stub"]) for r in g["papers"].collect()} == {"P1": ("First", 1999, False), "P2": ("Second", None, False), "A": ("Ta", 2001, True)}
-    assert sorted(r["argument_id"] for r in g["arguments"].collect()) == ["P1_sent_0", "P2_sent_0"]
-    assert {(r["citing_id"], r["cited_id"]): r["citation_count"] for r in g["paper_cites"].collect()} == {("P1", "A"): 2, ("P2", "P1"): 1}
-    points = {r["paper_id"] + str(r["sentence_index"]): r["sentence_type"] for r in P.to_points(back).collect()}
-    assert points == {"P10": "citation", "P11": "content", "P12": "content", "P20": "citation"}
-
-
 def test_semantic_without_a_model(spark):
     s = spark.createDataFrame([("p", 0, "Intro", "the model again")], "paper_id string, section_index int, title string, text string")
     assert [r["position"] for r in C.semantic(s, "model", model=None).collect()] == [4]
