@@ -1,4 +1,4 @@
-"""Text rules as column expressions; they stay inside the JVM and code generation."""
+"""Text rules as column expressions. All but the search for occurrences stay inside the JVM and code generation."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ("et al.", "vs.", "pp.", "Vol.", "No.", "Fig.", "Tab.", "Dr.", "Prof.", "Mr.", "Ms.", "Mrs.")
@@ -135,16 +137,44 @@ def context(text: Column, wanted: Column, around: int = 50) -> Column:
     return F.when(at > 0, F.trim(F.substring(text, start, at + F.length(wanted) + around - start))).otherwise(text)
 
 
+def _places(low: str, query: str) -> list[int]:
+    out, at = [], low.find(query)
+    while at >= 0:
+        out.append(at)
+        at = low.find(query, at + 1)
+    return out
+
+
 def occurrences(text: Column, query: str) -> Column:
-    """0-based places of all occurrences, overlapping ones too, upper and lower case alike; linear."""
+    """0-based places of all occurrences, overlapping ones too, upper and lower case alike; linear in the text and its hits."""
     if not query:
         return F.array().cast("array<int>")
-    low, q = F.lower(text), query.lower()
-    parts = F.split(low, "(?=" + re.escape(q).replace("\\ ", " ") + ")")
-    # each part but the first starts at an occurrence; the first does if the text does
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    starts = F.slice(ends, 1, F.size(parts))
-    return F.when(F.startswith(low, F.lit(q)), starts).otherwise(F.slice(starts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
+    q = query.lower()
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def find(low: pd.Series) -> pd.Series:
+        return low.map(lambda t: None if t is None else _places(t, q))
+
+    return find(F.lower(text))
+
+
+def contexts(text: Column, query: str, half: int) -> Column:
+    """array<struct(position, context, highlight_start)>: each occurrence with so many characters on both sides of it, without outer spaces;
+    the query is at highlight_start before these are taken off."""
+    kind = "array<struct<position:int,context:string,highlight_start:int>>"
+    if not query:
+        return F.array().cast(kind)
+    q = query.lower()
+
+    @F.pandas_udf(kind)
+    def cut(whole: pd.Series, low: pd.Series) -> pd.Series:
+        rows = []
+        for t, x in zip(whole, low, strict=True):
+            places = _places(x, q) if t is not None else []
+            rows.append([{"position": at, "context": t[max(0, at - half) : at + len(q) + half].strip(" "), "highlight_start": at - max(0, at - half)} for at in places])
+        return pd.Series(rows)
+
+    return cut(text, F.lower(text))
 
 
 def section_type(title: Column) -> Column:

@@ -13,12 +13,11 @@ from .vectors import dot, embed, embed_text, literal
 
 def kwic(sections: DataFrame, query: str, window: int = 500, text: str = "text") -> DataFrame:
     """One row an occurrence: place, the stripped context, and where the query lies in the context
-    before stripping."""
-    half, n = window // 2, len(query)
-    got = sections.withColumn("position", F.explode(X.occurrences(F.col(text), query)))
-    start = F.greatest(F.col("position") - half, F.lit(0))
-    got = got.withColumn("highlight_start", F.col("position") - start).withColumn("highlight_end", F.col("highlight_start") + n)
-    return got.withColumn("context", F.trim(F.substring(text, start + 1, F.col("position") + n + half - start)))
+    before stripping. The text itself stays behind, as each of its hits would carry it."""
+    hits = sections.withColumn("__hits", X.contexts(F.col(text), query, window // 2)).drop(text)
+    got = hits.withColumn("__h", F.explode("__hits")).drop("__hits")
+    start = F.col("__h.highlight_start")
+    return got.select(*(c for c in got.columns if c != "__h"), F.col("__h.position").alias("position"), start.alias("highlight_start"), (start + len(query)).alias("highlight_end"), F.col("__h.context").alias("context"))
 
 
 def full_text(sections: DataFrame, key: str = "paper_id", order: str = "section_index") -> DataFrame:

@@ -3,8 +3,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from quiremill.functions import text as X
 from quiremill.operators import authors as A
 from quiremill.operators import content as C
 from quiremill.operators import graph as G
@@ -13,7 +15,6 @@ from quiremill.operators import rollup as U
 from quiremill.operators import vectors as V
 from quiremill.plans import route
 from quiremill.sources import papers as P
-from quiremill.streaming import ingest
 
 
 def tiny(spark):
@@ -265,23 +266,41 @@ def test_diagnose(spark):
     assert not got["b"]["is_scanned"] and got["b"]["quality_level"] == "good" and got["b"]["recommendations"] == [P.NO_ADVICE]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    schema = "user_id long, value string, seq long"
-    for i in range(3):
-        spark.createDataFrame([(k, f"v{i}", i) for k in range(i, i + 3)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    t = ingest.Versioned(spark, str(tmp_path / "t"), schema)
-    for _ in range(2):  # the second run finds nothing new
-        ingest.upsert_stream(ingest.new_files(spark, str(tmp_path / "in"), schema, per_batch=1), t, str(tmp_path / "c"), ["user_id"], "seq").awaitTermination()
-    batch = spark.read.parquet(str(tmp_path / "in"))
-    want = G.upsert(batch.limit(0), batch, ["user_id"], "seq")
-    assert sorted(map(tuple, t.read().collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_search_blocks(spark):
-    """More queries than a block holds, each against all points."""
+@pytest.mark.parametrize("metric", ["dot", "cosine", "euclid"])
+def test_search_blocks(spark, monkeypatch, metric):
+    """More queries and points than a block holds, ties, missing and odd vectors; each query against all points."""
+    monkeypatch.setattr(V, "POINT_ROWS", 50)
+    monkeypatch.setattr(V, "QUERY_ROWS", 16)
     r = np.random.default_rng(4)
-    x = r.normal(size=(2 * V.MOST_QUERIES + 9, 3))
-    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
-    got = {(q["query"], q["id"]) for q in V.search_blocks(pts, pts, 4).collect()}
-    assert got == {(i, int(j)) for i, s in enumerate(x @ x.T) for j in np.argsort(-s)[:4]}
+    x = np.concatenate([r.normal(size=(120, 3)), np.repeat(r.normal(size=(3, 3)), 20, axis=0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
+    pts = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    got = sorted((q["query"], -q["score"], q["id"]) for q in V.search_blocks(pts, pts, 4, metric=metric, slots=3).collect())
+    of = {"dot": lambda a, b: a @ b, "cosine": lambda a, b: a @ b / (np.linalg.norm(a) * np.linalg.norm(b)), "euclid": lambda a, b: -np.sqrt(((a - b) ** 2).sum())}[metric]
+    want = []
+    for i, a in enumerate(x):
+        want += sorted((i, -round(float(of(a, b)), 9), j) for j, b in enumerate(x))[:4]
+    assert [(q, j) for q, _, j in sorted((q, round(s, 9), j) for q, s, j in got if q != 901)] == [(q, j) for q, _, j in sorted(want)]
+    assert [(q, j) for q, _, j in got if q == 901] == [(901, 901)]
     assert V.search_blocks(pts, pts.limit(0), 4).count() == 0
+
+
+def test_search_blocks_plan_does_not_grow(spark):
+    """One scan a side and no vector in the plan, whatever the number of queries."""
+    pts = spark.range(3000).select("id", F.array(*(F.sin(F.col("id") * (i + 1)) for i in range(4))).alias("vector"))
+    plans = [V.search_blocks(pts, pts.where(f"id < {n}"), 2)._jdf.queryExecution().optimizedPlan().toString() for n in (100, 2000)]
+    assert plans[0].count("Range (") == 2 and len(plans[1]) < len(plans[0]) + 50
+
+
+def test_occurrences_are_linear(spark):
+    import time
+
+    text = "ab " * 120_000 + "end"
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "no hit", "z")], "doc_id long, text string, other string")
+    began = time.perf_counter()
+    got = C.kwic(df, "AB", 10)
+    assert got.columns == ["doc_id", "other", "position", "highlight_start", "highlight_end", "context"]
+    a = got.agg(F.count("*"), F.max("position"), F.max(F.length("context"))).first()
+    assert tuple(a) == (120_000, 359_997, 12)
+    assert df.select(F.size(X.occurrences(F.col("text"), "ab")).alias("n")).where("n > 0").first()["n"] == 120_000
+    assert time.perf_counter() - began < 30
