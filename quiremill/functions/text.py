@@ -110,8 +110,9 @@ def restore(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences that end in . ! or ? before white space and a capital; abbreviations end none."""
-    return F.transform(F.split(protect(text), r"(?U)(?<=[.!?])\s+(?=\p{Lu})"), lambda s: F.trim(restore(s)))
+    """Sentences that end in . ! or ? before white space and a capital; abbreviations end none, but may begin one."""
+    capitals = "".join(_mark(i) for i, a in enumerate(ABBREVIATIONS) if a[0].isupper())
+    return F.transform(F.split(protect(text), rf"(?U)(?<=[.!?])\s+(?=[\p{{Lu}}{capitals}])"), lambda s: F.trim(restore(s)))
 
 
 def clean_sentence(text: Column) -> Column:

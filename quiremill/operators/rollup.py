@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -135,19 +136,21 @@ def unexpired(turns: DataFrame, now: Column, updated: str = "last_updated", days
 CONTINUES = (r"^\s*\(\d{4}[a-z]?\)", r"^\s*,\s*\d{4}", r"^\s*;\s*[A-Z][a-z]+", r"^\s*(?:and|&)\s+[A-Z][a-z]+")
 
 
+# A citation that ends a piece behind a comma, and how the next piece then begins.
+DATED_END, DATED = r",\s*\([^)]*\d{4}[^)]*\)$", r"^(?:\([^)]*\d{4}[^)]*\)|,\s*[A-Z][a-z]+)"
+
+
+def belongs(piece: str, following: str) -> bool:
+    """Whether a full stop inside a citation parted two pieces, stripped both."""
+    if piece.endswith("et al.") or re.search(DATED_END, piece) and re.search(DATED, following) or any(re.search(c, following) for c in CONTINUES):
+        return True
+    return not piece.endswith(".") and not re.match("[A-Z]", following)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def merge_sentences(pieces: pd.Series) -> pd.Series:
     """Pieces that a full stop inside a citation parted, joined again, from the left; what a piece is
     joined to counts for the next one."""
-    import re
-
-    goes_on = re.compile("|".join(CONTINUES))
-    dated_end, dated = re.compile(r",\s*\([^)]*\d{4}[^)]*\)$"), re.compile(r"^(?:\([^)]*\d{4}[^)]*\)|,\s*[A-Z][a-z]+)")
-
-    def belongs(a: str, b: str) -> bool:
-        if a.endswith("et al.") or dated_end.search(a) and dated.search(b) or goes_on.search(b):
-            return True
-        return not a.endswith(".") and not re.match("[A-Z]", b)
 
     def one(parts) -> list[str]:
         out: list[str] = []
@@ -168,8 +171,6 @@ REFERENCE_LINE = (r"^[A-Z][a-z]+,\s+[A-Z].*\d{4}", r"^\d+\.\s+[A-Z][a-z]+,.*\d{4
 @F.pandas_udf(T.IntegerType())
 def reference_start_by_density(text: pd.Series) -> pd.Series:
     """Where the references begin by the look of ten lines at a time, from the end; the length without any."""
-    import re
-
     like = re.compile("|".join(REFERENCE_LINE))
 
     def one(t: str | None) -> int | None:

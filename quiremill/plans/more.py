@@ -9,10 +9,13 @@ from ..functions import ids
 from ..functions import text as X
 from ..functions.citations import distinct_by_key, intext_key
 from ..operators import authors as A
+from ..operators import bundle as B
 from ..operators import content as C
 from ..operators import graph as G
+from ..operators import layout as L
 from ..operators import resolve as R
 from ..operators import rollup as U
+from ..operators import sentences as Z
 from ..operators import vectors as V
 from ..sources import imports as I
 from ..sources import papers as P
@@ -334,6 +337,57 @@ def line_blocks(spark, d):
     return C.lines_to_blocks(t(spark, d, "events"), ["user_id"], "event_id", 200).select("user_id", "event_id", "block")
 
 
+def placed(spark, d):
+    """Characters: users are documents, kinds of events their pages, each event one character, its height half the value."""
+    e = t(spark, d, "events")
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("page"), F.col("event_id").alias("x"), (F.floor("value") / 2).alias("y"), F.substring("event_type", 1, 1).alias("char"), (8 + F.col("event_id") % 8).alias("size"))
+
+
+_LINES = "SELECT user_id AS doc_id, event_type AS page, floor(value)/2 AS y, string_agg(substr(event_type,1,1), '' ORDER BY event_id) AS text, count(*) AS chars, sum(8+event_id%8)::DOUBLE AS sizes FROM events GROUP BY 1,2,3"
+
+
+@query(_LINES)
+def char_lines(spark, d):
+    return L.chars_to_lines(placed(spark, d))
+
+
+@query(f"WITH l AS ({_LINES}), a AS (SELECT *, CASE WHEN lag(y) OVER w - y > 2 THEN 1 ELSE 0 END AS far FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY y DESC)), b AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS block FROM a) SELECT doc_id, page, block::BIGINT AS block, string_agg(text, chr(10) ORDER BY y DESC) AS text, sum(sizes)/sum(chars) AS font_size FROM b GROUP BY 1,2,3")
+def char_blocks(spark, d):
+    return L.placed_blocks(L.chars_to_lines(placed(spark, d)), gap=2)
+
+
+def cited_points(spark, d):
+    """The collection of citations: embeddings whose text names the supplier of their number."""
+    e = t(spark, d, "embeddings")
+    who = F.concat(F.lit("Lee, S"), (F.col("vec_id") % 10).cast("string"), F.lit(" says"))
+    return e.select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("C"), (F.col("vec_id") % 40).cast("string")).alias("paper_id"), F.concat(F.lit("t"), (F.col("vec_id") % 40).cast("string")).alias("title"), who.alias("text"), F.concat(F.lit("in "), who).alias("citation_context"))
+
+
+def asked_vectors(spark, d):
+    return t(spark, d, "embeddings").where("vec_id in (3, 5)").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+
+
+_HITS = "h AS (SELECT e.vec_id FROM (SELECT e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, 'p'||e.vec_id) AS n FROM embeddings e, embeddings q WHERE q.vec_id IN (3,5)) e WHERE n<=60), v AS (SELECT DISTINCT 'C'||(vec_id%40) AS paper_id, 't'||(vec_id%40) AS title, 'Lee, S'||(vec_id%10)||' says' AS text FROM h WHERE vec_id%10=5)"
+
+
+@query(f"WITH e AS ({_FILED}), {_HITS}, g AS (SELECT DISTINCT c AS paper_id, c_name AS title FROM e JOIN customer ON c='C'||c_custkey WHERE s='S5') SELECT *, 'graph' AS origin FROM g UNION ALL SELECT paper_id, title, 'vector' FROM v WHERE paper_id NOT IN (SELECT paper_id FROM g)")
+def bundle_citing_papers(spark, d):
+    asked = asked_vectors(spark, d).withColumnRenamed("embedding", "vector")
+    got = B.reverse_citations(I.graph_of(filed_graph(spark, d)), cited_points(spark, d), asked, "S5", ["Ann S5"], "", 60)
+    return got["citing_papers"]
+
+
+@query(f"WITH {_HITS} SELECT paper_id, title, 'vector' AS origin FROM v")
+def bundle_without_id(spark, d):
+    asked = asked_vectors(spark, d).withColumnRenamed("embedding", "vector")
+    return B.reverse_citations(I.graph_of(filed_graph(spark, d)), cited_points(spark, d), asked, None, ["Ann S5"], "", 60)["citing_papers"]
+
+
+@query(None)
+def parsed_sentences(spark, d):
+    return Z.parse_sentences(documents(spark, d))
+
+
 _Q = f"(least(n/10000,5.0) + CASE WHEN w/n*100 BETWEEN 10 AND 25 THEN 3.0 ELSE greatest(0.0, 3.0-abs(w/n*100-17.5)/5) END + 3.0 - CASE WHEN o>0.3 THEN 2.0 ELSE 0.0 END - CASE WHEN sh/w>0.3 THEN 2.0 ELSE 0.0 END) AS q FROM (SELECT doc_id, len(text) AS n, {_W} AS w, {_SPECIAL} AS o, len(list_filter(regexp_extract_all(text,'[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: len(x)<=2)) AS sh FROM documents WHERE len(text)>0)"
 
 

@@ -117,19 +117,40 @@ def params_for(method: str, target: dict[str, Any], question: str) -> dict[str,
     return {"query": target.get("title") or target.get("name") or question, "limit_per_collection": 10}
 
 
+def searched(query: str, most: int = 10, required: bool = True, result: str = "search_results") -> Step:
+    return Step("vector_db", "search_all_collections", {"query": query, "limit_per_collection": most}, result, required)
+
+
+def last_resort(question: str) -> Step:
+    """What is asked when no step gave anything, or there was none."""
+    return searched(question, 5, False)
+
+
 def plan(query_type: str, kind: str, target: dict[str, Any], question: str = "") -> list[Step]:
-    """Steps for a classified question; a question for content of a known paper also gets its text."""
-    kind = entity_type(kind)
-    if query_type in ("reverse_citation_analysis", "citation_analysis"):
-        focus = ("reverse_citation_with_content" if query_type[0] == "r" else "forward_citation") if target.get("paper_id") else "content_analysis"
+    """Steps for a classified question. target: paper_id, title, name, as far as known. Citations of a paper without an id are searched for
+    by its name, those that it makes have no step (last_resort() is all there is), a known paper is searched by its id and
+    the question. A question for content of a known paper also gets its text."""
+    kind, paper = entity_type(kind), target.get("paper_id")
+    name = target.get("name") or target.get("title") or question
+    if query_type == "reverse_citation_analysis" and paper:
+        found = [("get_papers_citing_paper", "citing_papers", "vector_search_by_author"), ("get_sentences_citing_paper", "citation_sentences", None)]
+        steps = [Step("graph_db", m, {"paper_id": paper}, r, not i, f) for i, (m, r, f) in enumerate(found)]
+    elif query_type == "reverse_citation_analysis":
+        steps = [searched(f"citations to {name}")]
+    elif query_type == "citation_analysis":
+        steps = [Step("graph_db", "get_papers_cited_by_paper", {"paper_id": paper}, "cited_papers")] if paper else []
+    elif query_type == "paper_search" and paper:
+        steps = [searched(f"paper_id:{paper} {question}")]
     elif query_type in ("author_search", "paper_search") and kind == "author":
-        focus = "author_analysis"
+        steps = [Step("graph_db", "get_papers_id_by_author", {"author_name": name}, "author_papers", True, "vector_search_by_author")]
+    elif query_type == "paper_search" and kind == "paper":
+        steps = [searched(target.get("title") or name)]
+    elif query_type == "concept_search" and kind == "concept":
+        steps = [searched(name)]
     else:
-        focus = "content_analysis"
-    first, more, other = strategy(focus, bool(target.get("paper_id")))
-    steps = [Step(s.store, s.method, params_for(s.method, target, question), s.result, i == 0, other if i == 0 else None) for i, s in enumerate([first, *more])]
-    if target.get("paper_id") and is_content_question(question) and all(s.method != "get_full_pdf_content" for s in steps):
-        steps.append(Step("pdf", "get_full_pdf_content", {"paper_id": target["paper_id"]}, "full_text", False))
+        steps = [searched(question)]
+    if paper and is_content_question(question):
+        steps.append(Step("pdf", "get_full_pdf_content", {"paper_id": paper}, "full_text", False))
     return steps
 
 
