@@ -24,8 +24,17 @@ INTRO = re.compile(r"^(?:see|e\.g\.?,?|cf\.?|i\.e\.?,?|also|for example,?)\s+",
 NEXT = re.compile(rf"(?<=\d)([a-z]?),\s*(?=[^\W\d_])")
 DATED = re.compile(rf"^(.*?),?\s*({YEAR})(?![\w])")
 JOINS = {"and", "&"}
-# Capitalised words that start sentences or name things, and are no authors.
-NO_NAMES = frozenset("the a an by in on at of for with from to year data study studies research work paper article results result findings finding figure table chapter section appendix e.g i.e see also note equation fig tbl et al vs versus cf according recent and as based while noted methodology approach proposed developed".split())
+# Words that start sentences or name things, and are no authors.
+FIRST_WORDS = (
+    "the", "a", "an", "by", "in", "on", "at", "of", "for", "with", "from", "to",
+    "year", "data", "study", "research", "work", "paper", "article", "results", "result",
+    "findings", "finding", "figure", "table", "chapter", "section", "appendix",
+    "e.g", "i.e", "see", "also", "note", "equation", "fig", "tbl", "et", "al", "vs",
+    "versus", "cf", "according", "recent", "and", "as", "based",
+    "while", "noted", "methodology", "approach", "proposed", "developed",
+)
+#: A word of the same kind that the scanner, which looks at single words, needs besides.
+NO_NAMES = frozenset((*FIRST_WORDS, "studies"))
 
 
 def _is_name(word: str) -> bool:

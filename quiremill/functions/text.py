@@ -37,15 +37,24 @@ SENTENCE_FURNITURE = (r"^\d+\s*$", r"^[A-Z\s]+/Vol\.\s*\d+", r"Management Scienc
 # Notices, as far as they can match lower-cased text; with strict also the last ones.
 NOTICES = ("all rights reserved", "copyright", "downloaded from", "for personal use only", "doi:")
 STRICT_NOTICES = ("issn", "isbn")
-# What marks a block as a running header or footer, on lower-cased text.
-BLOCK_FURNITURE = (
-    r"^\d+$", r"^\s*page\s+\d+\s*$", r"©.*\d{4}", r"copyright.*\d{4}", "all rights reserved", "for personal use only", "downloaded from",
-    "terms and conditions", "unauthorized reproduction", "published by", "publication details", "subscription information",
-    r"vol\.\s*\d+.*no\.\s*\d+", r"volume\s+\d+.*number\s+\d+", r"issn\s*:?\s*\d{4}-\d{4}", r"doi\s*:?\s*10\.\d+",
-    r"https?://|www\.|\.com|\.org|\.edu", "to cite this article", "citation format", "how to cite", "cite as:", r"^citation:\s*\w+",
-    r"\d{1,2}\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", r"\d{1,2}:\d{2}", r"\[?[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}",
-    r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"journal\s+of\s+\w+", r"\w+\s+science\s*/?\s*vol", r"\w+\s+review\s*/?\s*vol",
-    r"proceedings\s+of", r"transactions\s+on", r"annals\s+of", r"\w+\s+business\s+review$", r"nature\s+\w*$", r"science\s*$",
+# What marks a block as a running header or footer, on lower-cased text. Page numbers:
+PAGE_NUMBERS = (r"^\d+$", r"^\s*page\s+\d+\s*$")
+# Rights.
+RIGHTS = (r"©.*\d{4}", r"copyright.*\d{4}", "all rights reserved", "for personal use only", "downloaded from", "terms and conditions", "unauthorized reproduction")
+# Publishers and volumes.
+PUBLISHERS = ("published by", "publication details", "subscription information", r"vol\.\s*\d+.*no\.\s*\d+", r"volume\s+\d+.*number\s+\d+", r"issn\s*:?\s*\d{4}-\d{4}", r"doi\s*:?\s*10\.\d+")
+# Addresses.
+ADDRESSES = (r"https?://|www\.|\.com|\.org|\.edu",)
+# How to cite.
+HOW_TO_CITE = ("to cite this article", "citation format", "how to cite", "cite as:", r"^citation:\s*\w+")
+# Dates and times.
+DATES = (r"\d{1,2}\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", r"\d{1,2}:\d{2}")
+# Addresses of machines.
+MACHINES = (r"\[?[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")
+# Journals.
+JOURNALS = (
+    r"journal\s+of\s+\w+", r"\w+\s+science\s*/?\s*vol", r"\w+\s+review\s*/?\s*vol", r"proceedings\s+of", r"transactions\s+on",
+    r"annals\s+of", r"\w+\s+business\s+review$", r"nature\s+\w*$", r"science\s*$",
 )
 # Forms of headings, and words in a short one.
 HEADING_FORMS = (r"^\d+\.?\s+[A-Z]", r"^[A-Z][A-Z\s]+$", r"^[A-Z][a-z]+(\s+[A-Z][a-z]+)*$", r"^\d+\.\d+\.?\s+[A-Z]", r"^Abstract$|^Introduction$|^Conclusion$|^References$|^Methodology$")
@@ -192,7 +201,7 @@ def is_furniture(sentence: Column) -> Column:
 
 def special_ratio(text: Column) -> Column:
     """Share of characters that are no letters, digits, spaces or common punctuation."""
-    return F.length(F.regexp_replace(text, r"(?U)[\w\s.,;:!?()-]", "")) / F.length(text)
+    return F.length(F.regexp_replace(text, r"(?U)[\w\s.,;:!?()-]+", "")) / F.length(text)
 
 
 def is_noise(sentence: Column) -> Column:
@@ -217,7 +226,7 @@ def is_block_furniture(text: Column) -> Column:
     low = F.lower(t)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     return any_of(
-        matches_any(low, BLOCK_FURNITURE),
+        matches_any(low, (*PAGE_NUMBERS, *RIGHTS, *PUBLISHERS, *ADDRESSES, *HOW_TO_CITE, *DATES, *MACHINES, *JOURNALS)),
         (F.length(t) < 5) & ~t.rlike("^[A-Z][a-z]*$"),
         (F.length(t) > 10) & (letters / F.length(t) < 0.3),
         (F.regexp_count(t, F.lit(r"\(\d{4}[a-z]?\)")) >= 4) & (F.length(t) < 300),

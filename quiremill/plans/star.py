@@ -357,7 +357,24 @@ def clean_text(spark, d):
     return documents(spark, d).select("doc_id", X.clean_sentence(F.col("text")).alias("clean"))
 
 
-@query()
+_S = "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]"
+
+
+def _chain(x: str, *steps: tuple[str, str, str]) -> str:
+    for pattern, with_, flags in steps:
+        x = f"regexp_replace({x}, '{pattern}', {with_}, '{flags}')"
+    return x
+
+
+@query(
+    "SELECT page_id, "
+    + _chain(
+        "html", ("<[^>]*>", "' '", "gs"), ("```.*?```", "''", "gs"), ("`[^`]+`", "''", "g"), ("(?m)^#{1,6}[\\s\\x0b]*", "''", "g"), ("\\[([^\\]]+)\\]\\([^)]+\\)", "'\\1'", "g"),
+        ("\\*\\*([^*]+)\\*\\*", "'\\1'", "g"), ("\\*([^*]+)\\*", "'\\1'", "g"), ("__([^_]+)__", "'\\1'", "g"), ("_([^_]+)_", "'\\1'", "g"),
+        ("\\|[^|\\n]*\\|", "''", "g"), ("(?m)^[-|: ]+$", "''", "g"), ("\\n[\\s\\x0b]*\\n", "chr(10)||chr(10)", "g"), ("[ \\t]+", "' '", "g"), (f"^{_S}+|{_S}+$", "''", "g"),
+    )
+    + " AS text FROM pages"
+)
 def strip_markup(spark, d):
     return t(spark, d, "pages").select("page_id", X.strip_markdown(F.regexp_replace("html", "(?s)<[^>]*>", " ")).alias("text"))
 

@@ -38,8 +38,8 @@ RELATION_TYPES = ("CITES", "SUPPORTS", "REFUTES", "ELABORATES", "QUALIFIES", "EX
 
 
 def types_of(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
-    """A dimension of claim or relation types: (id, is_default)."""
-    return spark.createDataFrame([(n, True) for n in names], "id string, is_default boolean")
+    """Claim or relation types as rows, to be upserted by id: (id, label, is_default, is_deprecated)."""
+    return spark.createDataFrame([(n, n.replace("_", " ").capitalize(), True, False) for n in names], "id string, label string, is_default boolean, is_deprecated boolean")
 
 
 def year(raw: Column) -> Column:
