@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import ANALYSIS, CITATION
+from .ids import paper_id
+from .text import char_count, clean_sentence, word_count
+
 YEAR = r"\d{4}[a-z]?"
 NARRATIVE = re.compile(rf"\(({YEAR})(?:\s*:[^)]*)?\)")
 GROUP = re.compile(r"\(([^()]+)\)|\[([^\[\]]+)\]")
@@ -147,6 +151,33 @@ def parse_document(sentences: DataFrame, references: DataFrame) -> DataFrame:
     return match_references(each, references)
 
 
+@F.pandas_udf(T.StructType([T.StructField("found", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]))
+def _analyzed(s: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in s:
+        try:
+            rows.append((citations(x), None))
+        except Exception as e:  # a sentence that can't be read is a row that says so
+            rows.append(([], f"{type(e).__name__}: {e}"))
+    return pd.DataFrame(rows, columns=["found", "error"])
+
+
+def analyze_sentences(sentences: DataFrame, references: DataFrame) -> DataFrame:
+    """Lines (paper_id, schemas.SENTENCE_LINE) of sentences (paper_id, sentence_index, text): each with the citations that match a reference
+    (paper_id, ref_no, authors, title, year, journal, publisher) of the same paper, by intext. A sentence whose analysis fails has no
+    citations and the error. Citations of a sentence are gathered in its row, nothing of a whole paper is."""
+    rows = sentences.select("paper_id", "sentence_index", clean_sentence(F.coalesce("text", F.lit(""))).alias("sentence_text"), _analyzed(F.coalesce("text", F.lit(""))).alias("a"))
+    each = rows.select(F.col("paper_id").alias("doc"), "sentence_index", F.explode("a.found").alias("intext"))
+    hits = match_references(each, references.withColumnRenamed("paper_id", "doc")).join(references.withColumnRenamed("paper_id", "doc"), ["doc", "ref_no"])
+    have = lambda c, kind="string": (F.col(c) if c in references.columns else F.lit(None)).cast(kind).alias(c)
+    reference = F.struct(F.col("authors"), have("title"), have("year"), have("journal"), have("publisher"), have("pub_place"), have("raw_text"))
+    citation = F.struct("intext", reference.alias("reference"), paper_id(F.col("title"), F.col("year")).alias("paper_id"), F.lit(1.0).alias("confidence"), F.lit(None).cast(ANALYSIS).alias("argument_analysis"))
+    cited = hits.groupBy(F.col("doc").alias("paper_id"), "sentence_index").agg(F.sort_array(F.collect_list(F.struct("intext", citation.alias("c")).alias("x"))).alias("cs"))
+    got = rows.join(cited.select("paper_id", "sentence_index", F.transform("cs", lambda x: x["c"]).alias("citations")), ["paper_id", "sentence_index"], "left")
+    none = F.array().cast(f"array<{CITATION}>")
+    return got.select("paper_id", F.col("sentence_index").cast("int").alias("sentence_index"), "sentence_text", F.coalesce(F.col("citations").cast(f"array<{CITATION}>"), none).alias("citations"), word_count(F.col("sentence_text")).alias("word_count"), char_count(F.col("sentence_text")).alias("char_count"), F.col("a.error").alias("error"), F.lit(None).cast(ANALYSIS).alias("argument_analysis"))
+
+
 def distinct_by_key(cites: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row by order of each key."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -11,3 +11,22 @@ def session(app: str = "quiremill", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def load_config(spark: SparkSession, path: str, defaults: dict | None = None) -> dict:
+    """A JSON or YAML file of settings, by its ending, over defaults; nested settings are merged. Read through Spark, so that it can
+    lie in any store."""
+    import json
+
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        given = yaml.safe_load(text)
+    else:
+        given = json.loads(text)
+
+    def over(a: dict, b: dict) -> dict:
+        return a | {k: over(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
+
+    return over(defaults or {}, given or {})
