@@ -64,20 +64,19 @@ def water_fill(sources: DataFrame, budget: float, epochs: float) -> DataFrame:
 
 
 def reach(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """For each s of need (s, need): the largest tau such that the rows (s, u, size) with u <= tau have
+    """For each s of need (s, need), which rows have no other: the largest tau such that the rows (s, u, size) with u <= tau have
     no more words than needed, and got, how many they have."""
-    at = need.select("s", "need", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("b"))
-    shift = BITS
-    while shift > BITS - 2 * STEP:
-        held = rows.withColumn("b", F.shiftright("u", shift)) if shift < BITS else rows.withColumn("b", F.lit(0).cast("long"))
-        shift -= STEP
-        held = held.join(at.select("s", "b"), ["s", "b"]).groupBy("s", F.shiftright("u", shift).alias("to")).agg(F.sum("size").alias("v"))
+    at = need.withColumn("before", F.lit(0).cast("long"))
+    for level in (1, 2):
+        shift = BITS - level * STEP
+        held = rows if level == 1 else rows.withColumn("b", F.shiftright("u", shift + STEP)).join(at.select("s", "b"), ["s", "b"])
+        held = held.groupBy("s", F.shiftright("u", shift).alias("to")).agg(F.sum("size").alias("v"))
         held = held.withColumn("sum", F.sum("v").over(Window.partitionBy("s").orderBy("to")))
-        held = held.join(at.drop("b"), "s").withColumn("over", F.col("before") + F.col("sum") > F.col("need"))
+        held = held.join(at.select("s", "need", "before"), "s").withColumn("over", F.col("before") + F.col("sum") > F.col("need"))
         first = F.min(F.when(F.col("over"), F.struct("to", (F.col("before") + F.col("sum") - F.col("v")).alias("before"))))
         ends = held.groupBy("s", "need").agg(first.alias("f"), F.max(F.col("before") + F.col("sum")).alias("all"))
         ends = materialise(ends.select("s", "need", "f.before", F.col("f.to").alias("b"), "all"), "reach")
-        if shift == BITS - STEP:
+        if level == 1:
             whole = ends.where("b is null").select("s", F.lit(1 << BITS).alias("tau"), F.col("all").alias("got"))
         at = ends.where("b is not null").drop("all")
     held = rows.withColumn("b", F.shiftright("u", shift)).join(at, ["s", "b"]).groupBy("s", "u", "need", "before").agg(F.sum("size").alias("v"))
@@ -125,14 +124,15 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     picks = materialise(picked(held.where("large")), "large")
     held = held.where("not large").select("s", "u", "size")
     plan = sources.select("s", "need", F.lit(-1).cast("long").alias("tau0"), F.lit((1 << 63) - 1).alias("left0"))
-    plan = plan.join(picks, "s", "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).drop("got")
+    # tables of one row a source are written, so that their size is known and small ones are broadcast
+    plan = materialise(plan.join(picks, "s", "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).drop("got"), "plan")
     for k in range(rounds):
         room = plan.where("need > 0").select("s", "need", F.col(f"tau{k}").alias("tau"), F.col(f"left{k}").alias("left"))
         open_ = held.join(room.drop("need"), "s").where("u > tau and size <= left").select("s", "u", "size")
         plan = plan.join(reach(open_, room.select("s", "need")), "s", "left").withColumn(f"tau{k + 1}", F.coalesce("tau", f"tau{k}"))
         plan = plan.withColumn("need", F.col("need") - F.coalesce("got", F.lit(0)))
         plan = materialise(plan.withColumn(f"left{k + 1}", F.col("need").cast("long")).drop("tau", "got"), "plan")
-    taken = same_join(rows, sources.drop("need").join(plan.drop("need"), "s"), ["source"])
+    taken = same_join(rows, materialise(sources.drop("need").join(plan.drop("need"), "s"), "marks"), ["source"])
     more = F.lit(False)
     for k in range(rounds):
         more = more | ((F.col("size") <= F.col(f"left{k}")) & (F.col("u") <= F.col(f"tau{k + 1}")))
