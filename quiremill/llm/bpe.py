@@ -410,20 +410,37 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes]]]:
+    """(keys, ids of each text, the bytes that they decode to) of bounded slices."""
+    encoder, held = ranked_encoder(path), token_bytes(path)
+    for keys, ids in encoded(batches, encoder):
+        lists = [np.frombuffer(x, "<u2") for x in ids]
+        yield keys, lists, [b"".join(map(held.__getitem__, x.tolist())) for x in lists]
+
+
 def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, decoded): ids as array<int>, decoded the bytes of all ids."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held = ranked_encoder(path), token_bytes(path)
-        for keys, ids in encoded(batches, encoder):
-            lists = [np.frombuffer(x, "<u2") for x in ids]
-            decoded = [b"".join(map(held.__getitem__, x.tolist())) for x in lists]
+        for keys, lists, decoded in _coded(batches, path):
             yield pa.RecordBatch.from_arrays([keys, id_lists(lists), pa.array(decoded, pa.binary())], names=[key, "ids", "decoded"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>, decoded binary")
 
 
+def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): digests of what encode_decode() gives, made where it is made."""
+    kind = df.schema[key].dataType.simpleString()
+    hexes = lambda raw: pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, lists, decoded in _coded(batches, path):
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(x) for x in lists], pa.int64()), hexes(x.astype("<u4").tobytes() for x in lists), hexes(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def id_lists(lists: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
     flat = np.concatenate(lists) if lists else np.zeros(0)
@@ -446,15 +463,4 @@ def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tup
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, decoded = b.column("ids"), b.column("decoded")
-            flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            sha = [hashlib.sha256(flat[a:z].tobytes()).hexdigest() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-            back = [hashlib.sha256(x.as_py()).hexdigest() for x in decoded]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sha), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_decode(docs, path).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
