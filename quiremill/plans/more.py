@@ -16,6 +16,7 @@ from ..operators import layout as L
 from ..operators import resolve as R
 from ..operators import rollup as U
 from ..operators import sentences as Z
+from ..operators import titles as M
 from ..operators import vectors as V
 from ..sources import imports as I
 from ..sources import papers as P
@@ -383,7 +384,14 @@ def bundle_without_id(spark, d):
     return B.reverse_citations(I.graph_of(filed_graph(spark, d)), cited_points(spark, d), asked, None, ["Ann S5"], "", 60)["citing_papers"]
 
 
-@query(None)
+@query()
+def title_table(spark, d):
+    """Every different part name against all parts."""
+    p = parts(spark, d).select("paper_id", "title")
+    return M.match_titles(p.select(F.col("title").alias("id"), "title").distinct(), p, 0.85)
+
+
+@query()
 def parsed_sentences(spark, d):
     return Z.parse_sentences(documents(spark, d))
 
