@@ -8,7 +8,8 @@ is used more often than it occurs. Remainders are numbered within their length w
 task, and the number tells the window and the place. What the combinations leave over is laid end
 to end in one greedy pass and cut at the windows' ends, so that only the very last window is padded.
 
-Null text counts as empty: its document is the end id alone. Repeated rows are documents of their
+Null text counts as empty: its document is the end id alone. Texts of any length are encoded whole and fill as many
+windows as they need; equal remainders are placed in order of their rows. Repeated rows are documents of their
 own. No documents, no pieces. Other columns than the key and the text are ignored.
 """
 

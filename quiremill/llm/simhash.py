@@ -9,7 +9,8 @@ on the keys finds every link, the join itself verifies the distance and lets a p
 its common keys only, so no pair appears twice. Equal fingerprints are one node from the start, so
 groups of copies, however large, are never expanded.
 
-Null text counts as empty. Texts without words have fingerprint zero and link like any other.
+Null text counts as empty. Texts without words have fingerprint zero and link like any other. Texts of any length are
+read whole, an empty table gives an empty one.
 Repeated rows keep their doc_id once each; the component is named by the least doc_id.
 
 similar() serves deduplication: it links every two texts that have 0.8 of their five-word shingles in

@@ -7,7 +7,7 @@ SMALL shingles keep all of them; such a sketch is cut to the fraction when it me
 The least hash is always kept, so only a text without words has an empty sketch. Shingles are of
 five words; a shorter text is one shingle. Null text counts as empty. Two empty sketches are
 alike (1.0). Rows that repeat a doc_id each get a result; the next document is the one with the
-next larger doc_id, and if that id repeats, its least text. Rows without doc_id have no next
+next larger doc_id, and if that id repeats, the text with the least beginning, of equal ones that with the least sketch. Rows without doc_id have no next
 document: nothing replaces their second half, near_next is 0. Texts of any length are sketched
 whole. An empty table gives an empty one; other columns are ignored, whatever their names.
 """
@@ -21,6 +21,8 @@ from .common import successor, table
 
 WORDS = 5
 FRACTION = 1 / 8
+#: Sketches of so many shingles are whole; 0 keeps the fraction of every document. At sf0.01 the mean error of the likeness to the edited text
+#: is 0.037 with 128 and 0.060 with 0 (0.002 and 0.090 for texts that short), for 36 % more hashes.
 SMALL = 128
 
 

@@ -213,4 +213,5 @@ def export(shards: DataFrame, folder: str) -> int:
 
 
 def op10_elias_fano_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards that are read back are rows of a Parquet table, as the store may be one that only Spark reads; export() makes files of them."""
     return documents(write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
