@@ -6,9 +6,10 @@ changes three leaves (the merged node, its live left neighbour, the node that va
 recomputes their ancestors: logarithmic work a merge, O(n log n) a piece. Pieces of up to
 WIDEST bytes are merged in lockstep, one numpy row a tree; longer ones by one tree in a list.
 
-Text is cut at single spaces that stand between two characters that are no white space, where no
-piece can cross, and the ids of such chunks are remembered, up to a bound a worker. Texts with
-other spacing are cut into pieces by the pattern itself, and the ids of the pieces are remembered.
+Many texts are cut into pieces at once: what the patterns say about runs of letters, numbers, white space
+and signs is said about arrays of their characters. Equal pieces are encoded once a slice, their ids are
+remembered, up to a bound a worker, and gathered into those of the texts. Texts of over twice AT_ONCE
+characters are encoded in sections that begin at a single space, which no piece can cross.
 
 Null text counts as empty and has no ids. Texts of any length are encoded whole. Repeated rows are
 encoded each, an empty table gives an empty one, other columns are ignored, whatever their names.
@@ -21,7 +22,6 @@ import ctypes
 import functools
 import hashlib
 import json
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 WIDEST = 64
-#: Chunks, and pieces of chunks, that a worker remembers (about 240 bytes each).
-REMEMBERED, PIECES = 350_000, 150_000
+#: Pieces that a worker remembers twice over (about 200 bytes each): the latest, and those before them.
+PIECES = 200_000
 #: Characters of text that are cut up at a time.
 AT_ONCE = 1 << 21
 NONE = (1 << 62) - 1
@@ -42,16 +42,51 @@ NONE = (1 << 62) - 1
 EMPTY, UNRANKED, NOBODY = np.uint32(0xFFFFFFFF), np.int32((1 << 24) - 1), np.uint32(0xFFFF)
 TOP = np.int32((1 << 30) - 1)
 
-# The letters, numbers and white space among the first 256 code points, as Unicode has them.
-LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
-NUMBERS = "0-9²³¹¼½¾"
-SPACES = "\\t-\\r \\x85\\xa0"
+# The patterns of the two kinds of vocabulary, with L, N, S for letters, numbers and white space.
+#   bytes: 's|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+
+#   words: 's|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^SLN]+
+ONE = np.frombuffer(b"stmd", np.uint8)
+TWO = [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]
 # Unicode's White_Space.
-ALL_SPACES = SPACES + "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+LETTER, NUMBER, SPACE, SIGN = range(4)
+CLASSES = [(LETTER, regex.compile(r"\p{L}").match), (NUMBER, regex.compile(r"\p{N}").match), (SPACE, regex.compile(f"[{SPACES}]").match)]
+#: The first UTF-8 byte of code points beyond 255 is at least this.
+BEYOND = 0xC4
+FOLDED = np.array([ord(chr(i).lower()) for i in range(256)], np.uint8)
 
-#: Of chunks behind zero characters: one that is empty, or starts or ends with white space.
-EDGE = re.compile(r"\0(?=[\s\0])|\s\0")
+
+def kind_of(point: int) -> int:
+    return next((k for k, match in CLASSES if match(chr(point))), SIGN)
+
+
+LATIN = np.array([kind_of(i) for i in range(256)], np.uint8)
+
+
+def kinds(chars: np.ndarray) -> np.ndarray:
+    """The class of each code point; those beyond 255 are looked up once each."""
+    if chars.dtype == np.uint8:
+        return LATIN[chars]
+    out = LATIN[np.minimum(chars, 255)]
+    far = np.flatnonzero(chars > 255)
+    points, which = np.unique(chars[far], return_inverse=True)
+    out[far] = np.array([kind_of(p) for p in points.tolist()], np.uint8)[which]
+    return out
+
+
+#: A space between two characters that are no white space: a piece begins there, whatever stands around it.
+GAP = regex.compile(f"(?<=[^{SPACES}]) (?=[^{SPACES}])")
+
+
+def sections(text: str) -> Iterator[str]:
+    """text in parts of about AT_ONCE characters that can be encoded apart."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + AT_ONCE)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 class Merges:
@@ -238,78 +273,118 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Texts to ids. One for each vocabulary file and worker."""
 
-    def __init__(self, name: str, pattern: str, merges: Merges, words: bool, fold=None, other=None):
-        """pattern has L, N, S for letters, numbers and white space. words: white space is dropped,
-        so every space cuts. fold: applied to chunks. other: encodes chunks beyond code point 255."""
-        self.name, self.merges, self.words, self.fold, self.other = name, merges, words, fold or (lambda x: x), other
-        classes = lambda letters, numbers, spaces: re.sub("[LNS]", lambda m: {"L": letters, "N": numbers, "S": spaces}[m[0]], pattern)
-        self.simple = re.compile(classes(LETTERS, NUMBERS, SPACES)).findall
-        self.any = regex.compile(classes(r"\p{L}", r"\p{N}", ALL_SPACES)).findall
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        return (self.simple if text.isascii() or max(text) <= "\xff" else self.any)(text)
-
-    def _free(self, texts: list[str]) -> list[bytes]:
-        """Texts of any spacing, by the pattern."""
-        if max("".join(texts), default="") <= "\xff":
-            cut = list(map(self.simple, texts))
+    def __init__(self, name: str, merges: Merges, words: bool, other: Callable[[str], bytes] | None = None):
+        """words: white space is dropped, letters are folded, each number stands alone, and other encodes
+        chunks (what stands between spaces) with a character beyond code point 255."""
+        self.name, self.merges, self.words, self.other = name, merges, words, other
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces. A full memory becomes the old one, whose pieces come back when they are met."""
+        got = list(map(self.young.get, pieces))
+        lost = [i for i, x in enumerate(got) if x is None]
+        for i in lost:
+            got[i] = self.old.get(pieces[i])
+        fresh = [i for i in lost if got[i] is None]
+        odd = [i for i in fresh if max(pieces[i]) >= BEYOND] if self.other else []
+        for i in odd:
+            got[i] = self.other(pieces[i].decode())
+        fresh = [i for i in fresh if got[i] is None]
+        for i, x in zip(fresh, self.merges.encode([pieces[i] for i in fresh]), strict=True):
+            got[i] = x
+        for i in lost:
+            if len(self.young) >= PIECES:
+                self.young, self.old = {}, self.young
+            self.young[pieces[i]] = got[i]
+        return got
+
+    def _cut(self, chars: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of texts that begin at begins: (folded code points, where pieces begin and, last, the
+        end, which of the pieces count). What the patterns say, for all characters at once."""
+        n = len(chars)
+        first = np.zeros(n + 1, bool)
+        first[begins] = first[n] = True
+        inside = None
+        if self.words:
+            blank = chars == 32
+            if chars.dtype != np.uint8:
+                chunk = np.cumsum(blank | first[:n])
+                held = np.zeros(chunk[-1] + 1, bool)
+                held[chunk[chars > 255]] = True
+                inside = held[chunk] & ~blank
+            low = FOLDED[np.minimum(chars, 255)].astype(chars.dtype)
+            chars = low if inside is None else np.where(inside, chars, low)
+        kind = kinds(chars)
+        edge = first.copy()
+        edge[1:n] |= kind[1:] != kind[:-1]
+        run = edge.copy()
+        quote = np.flatnonzero((chars == 39) & run[:n] & run[1:])
+        if self.words:
+            edge[:n] |= kind == NUMBER
         else:
-            cut = [self.cut(t) for t in texts]
-        get = self.pieces.get
-        fresh = list({p for c in cut for p in c if p not in self.pieces})
-        self.pieces.update(zip(fresh, self.merges.encode([p.encode() for p in fresh]), strict=True))
-        out = [b"".join(map(get, c)) for c in cut]
-        if len(self.pieces) > PIECES:
-            for p in fresh:
-                del self.pieces[p]
-        return out
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        get, odd = self.chunks.get, []
-        cut = [t.split(" ") for t in texts]
-        # without words, the first chunk of a text has no space before it and is not remembered
-        heads = [] if self.words else self._free([c[0] for c in cut])
-        found, holes = [], []
-        fresh: dict[str, None] = {}
-        for i, parts in enumerate(cut):
-            got = list(map(get, parts))
-            if heads:
-                got[0] = heads[i]
-            hole, j = [], -1
-            try:
-                while True:
-                    j = got.index(None, j + 1)
-                    hole.append(j)
-            except ValueError:
-                pass
-            new = [parts[j] for j in hole]
-            if heads and (len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()) or new and EDGE.search("\0" + "\0".join(new) + "\0")):
-                odd.append(i)
-                hole = []
-            else:
-                fresh.update(dict.fromkeys(new))
-            found.append(got)
-            holes.append(hole)
-        todo = list(fresh)
+            space = kind == SPACE
+            last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])
+            edge[last] = True
+            taken = last[chars[last] == 32] + 1  # goes with the space before it
+            edge[taken] = False
+            quote = quote[edge[quote]]
+        quote = quote[~first[quote + 1]]
+        quote = quote[kind[quote + 1] == LETTER]
+        one = np.isin(chars[quote + 1], ONE)
+        edge[quote[one] + 1], edge[quote[one] + 2] = False, True
+        more = quote[~one]
+        more = more[~run[more + 2]]
+        two = more[np.isin(chars[more + 1].astype(np.uint32) << 8 | np.minimum(chars[more + 2], 255), TWO)]
+        edge[two + 1], edge[two + 3] = False, True
+        if inside is not None:  # such chunks are one piece
+            edge[:n][inside] = False
+            into = inside.copy()
+            into[1:] &= ~inside[:-1] | first[1:n]
+            edge[:n] |= into
+            edge[1:n] |= inside[:-1] & ~inside[1:]
+            edge |= first
+        at = np.flatnonzero(edge)
+        counts = np.ones(len(at) - 1, bool)
         if self.words:
-            plain = [p for p in todo if p.isascii() or max(p) <= "\xff"]
-            self.chunks.update(zip(plain, self._free([self.fold(p) for p in plain]), strict=True))
-            rest = [p for p in todo if p not in self.chunks]
-            self.chunks.update(zip(rest, (self.other(p) for p in rest), strict=True))
+            counts = kind[at[:-1]] != SPACE
+            if inside is not None:
+                counts |= inside[at[:-1]]
+        return chars, at, counts
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        whole = "".join(texts)
+        if not whole:
+            return [b""] * len(texts)
+        try:
+            chars = np.frombuffer(whole.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            chars = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        begins = np.cumsum([0, *map(len, texts)])
+        chars, at, counts = self._cut(chars, begins[:-1])
+        if whole.isascii():
+            raw, places = chars.tobytes(), at
         else:
-            self.chunks.update(zip(todo, self._free([" " + p for p in todo]), strict=True))
-        odd_ids = dict(zip(odd, self._free([texts[i] for i in odd]), strict=True))
-        out = []
-        for i, (parts, got, hole) in enumerate(zip(cut, found, holes, strict=True)):
-            for j in hole:
-                got[j] = get(parts[j])
-            out.append(odd_ids[i] if i in odd_ids else b"".join(got))
-        if len(self.chunks) > REMEMBERED:
-            for p in todo:
-                del self.chunks[p]
-        return out
+            raw = chars.tobytes().decode("latin-1" if chars.dtype == np.uint8 else "utf-32-le").encode()
+            width = 1 + (chars >= 0x80).astype(np.int32) + (chars >= 0x800) + (chars >= 0x10000)
+            places = np.concatenate([[0], np.cumsum(width)])[at]
+        cut = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(raw)])
+        coded = cut.dictionary_encode()
+        which, known = coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(known), "<u2")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[which] * counts
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat(starts[which] - ends[:-1], many) + np.arange(ends[-1])].tobytes()
+        bounds = (2 * ends[np.searchsorted(at, begins)]).tolist()
+        return [ids[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, two bytes each, little endian. Long texts go section by section."""
+        long = {i for i, t in enumerate(texts) if len(t) > 2 * AT_ONCE}
+        short = iter(self._together([t for i, t in enumerate(texts) if i not in long]))
+        return [b"".join(self._together([s])[0] for s in sections(t)) if i in long else next(short) for i, t in enumerate(texts)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, two bytes each, little endian."""
@@ -319,14 +394,9 @@ class Encoder:
             some.append(t or "")
             size += len(some[-1])
             if size >= AT_ONCE:
-                yield from self._some(some)
+                yield from self.some(some)
                 some, size = [], 0
-        yield from self._some(some)
-
-
-#: The pattern of the byte-level vocabularies, with L, N, S for its classes.
-BYTE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
-WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^SLN]+"
+        yield from self.some(some)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -344,7 +414,7 @@ def ranked_encoder(path: str) -> Encoder:
     one = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     first = np.searchsorted(triples[:, 0], triples[:, 0])  # the first place of each token
     merges = Merges(one, one, triples[:, 1:], triples[:, 0], first)
-    return Encoder(path, BYTE_PATTERN, merges, words=False)
+    return Encoder(path, merges, words=False)
 
 
 @functools.cache
@@ -359,8 +429,8 @@ def json_encoder(path: str) -> Encoder:
     last = np.array([vocab[letter[b] + end] for b in range(256)], np.int64)
     merges = Merges(one, last, np.array([[vocab[a], vocab[b]] for a, b in pairs], np.int64), np.array([vocab[a + b] for a, b in pairs], np.int64))
     if not end:
-        return Encoder(path, BYTE_PATTERN, merges, words=False)
-    return Encoder(path, WORD_PATTERN, merges, words=True, fold=str.lower, other=lambda p: np.array(library(path).encode(p, add_special_tokens=False).ids, "<u2").tobytes())
+        return Encoder(path, merges, words=False)
+    return Encoder(path, merges, words=True, other=lambda p: np.array(library(path).encode(p, add_special_tokens=False).ids, "<u2").tobytes())
 
 
 @functools.cache
@@ -457,7 +527,7 @@ def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tup
             some.append(texts[i].as_py() or "")
             size += len(some[-1])
             if size >= AT_ONCE or i + 1 == len(texts):
-                yield keys.slice(at, len(some)), encoder._some(some)
+                yield keys.slice(at, len(some)), encoder.some(some)
                 at, some, size = i + 1, [], 0
     release()
 

@@ -45,12 +45,28 @@ def test_encoder_equals_library(references, kind):
 
 def test_bounded_memory(references, monkeypatch):
     encoder, want = references["ranks"]
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
     monkeypatch.setattr(bpe, "PIECES", 5)
-    encoder.chunks.clear(), encoder.pieces.clear()
+    encoder.young.clear(), encoder.old.clear()
     texts = made(50, 9)
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [want(t) for t in texts]
-    assert len(encoder.pieces) <= 5
+    assert len(encoder.young) <= 5 and len(encoder.old) <= 5
+
+
+@pytest.mark.parametrize("kind", ["ranks", "bytes", "words"])
+def test_sections_and_mixed_slices(references, kind, monkeypatch):
+    """Texts cut into sections, and texts that share a slice with others, have the ids that they have alone."""
+    encoder, want = references[kind]
+    texts = [*made(400, 21), *("".join(made(40, s)) for s in range(30)), "it's we're 'tis ''s x'll9 'LL 've're 'm", "a" * 50 + " 's \n\n 't"]
+    whole = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)]
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == whole == [list(want(t)) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("'stmdrevlLaZé1² \n\t!.…日ΣİΩ½\x1c\xa0\u2003"), max_size=30), max_size=6))
+def test_cut_equals_library(references, texts):
+    for encoder, want in references.values():
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [list(want(t)) for t in texts]
 
 
 def test_one_tree_equals_many(references):
