@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 WIDEST = 64
-#: Pieces that a worker remembers twice over (about 200 bytes each): the latest, and those before them.
+#: Pieces after which a worker's memory (about 200 bytes each) becomes the old one.
 PIECES = 200_000
 #: Characters of text that are cut up at a time.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 22
 NONE = (1 << 62) - 1
 #: No key, no rank, no id, and the leaf of no pair.
 EMPTY, UNRANKED, NOBODY = np.uint32(0xFFFFFFFF), np.int32((1 << 24) - 1), np.uint32(0xFFFF)
@@ -284,19 +284,21 @@ class Encoder:
         """Ids of different pieces. A full memory becomes the old one, whose pieces come back when they are met."""
         got = list(map(self.young.get, pieces))
         lost = [i for i, x in enumerate(got) if x is None]
-        for i in lost:
-            got[i] = self.old.get(pieces[i])
-        fresh = [i for i in lost if got[i] is None]
-        odd = [i for i in fresh if max(pieces[i]) >= BEYOND] if self.other else []
-        for i in odd:
-            got[i] = self.other(pieces[i].decode())
-        fresh = [i for i in fresh if got[i] is None]
-        for i, x in zip(fresh, self.merges.encode([pieces[i] for i in fresh]), strict=True):
+        names = [pieces[i] for i in lost]
+        back = list(map(self.old.get, names))
+        if self.other:
+            for i, x in enumerate(names):
+                if back[i] is None and max(x) >= BEYOND:
+                    back[i] = self.other(x.decode())
+        fresh = [i for i, x in enumerate(back) if x is None]
+        for i, x in zip(fresh, self.merges.encode([names[i] for i in fresh]), strict=True):
+            back[i] = x
+        for i, x in zip(lost, back, strict=True):
             got[i] = x
-        for i in lost:
-            if len(self.young) >= PIECES:
-                self.young, self.old = {}, self.young
-            self.young[pieces[i]] = got[i]
+        if len(names) <= PIECES:  # so that neither memory holds more than twice as many
+            self.young.update(zip(names, back, strict=True))
+        if len(self.young) > PIECES:
+            self.young, self.old = {}, self.young
         return got
 
     def _cut(self, chars: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,15 +364,17 @@ class Encoder:
             chars = np.frombuffer(whole.encode("utf-32-le"), "<u4")
         begins = np.cumsum([0, *map(len, texts)])
         chars, at, counts = self._cut(chars, begins[:-1])
-        if whole.isascii():
-            raw, places = chars.tobytes(), at
-        else:
-            raw = chars.tobytes().decode("latin-1" if chars.dtype == np.uint8 else "utf-32-le").encode()
-            width = 1 + (chars >= 0x80).astype(np.int32) + (chars >= 0x800) + (chars >= 0x10000)
-            places = np.concatenate([[0], np.cumsum(width)])[at]
+        if self.words:  # folded
+            whole = chars.tobytes().decode("latin-1" if chars.dtype == np.uint8 else "utf-32-le")
+        raw, places = whole.encode(), at
+        if len(raw) > len(chars):
+            more = (chars >= 0x80).view(np.int8)
+            if chars.dtype != np.uint8:
+                more = more + (chars >= 0x800) + (chars >= 0x10000)
+            places = at + np.concatenate([[0], np.cumsum(more, dtype=np.int64)])[at]
         cut = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(raw)])
         coded = cut.dictionary_encode()
-        which, known = coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist())
+        which, known = coded.indices.to_numpy(), self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(known), "<u2")
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
         starts = np.cumsum(sizes) - sizes
