@@ -98,11 +98,12 @@ class Model:
         return {"x": x, "h": h, "t": t, "g": g, "w": w, "z": z, "s": 1 / (1 + np.exp(-(z @ p["c"] + p["c0"]))), "starts": starts}
 
     def scores(self, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The score of each text, and the weight of each passage."""
+        """The score of each text, and the weight of each passage. In double precision and rounded, as single
+        precision rounds a text's products by what else is in its batch."""
         if not self.fitted:
             return np.full(len(counts), 0.5), np.repeat(1 / counts, counts)
-        f = self._forward(x, counts)
-        return f["s"].astype(float), f["w"]
+        f = self._forward(x.astype(np.float64), counts)
+        return np.round(f["s"], 9), f["w"]
 
     def fit(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 11) -> Model:
         if not len(counts):
