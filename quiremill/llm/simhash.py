@@ -144,12 +144,14 @@ def first_common(differ: Column, segments: Sequence[tuple[int, int, int]] = SEGM
 
 
 def links(nodes: DataFrame, node: str = "rep", fp: str = "fp", distance: int = DISTANCE, segments: Sequence[tuple[int, int, int]] = SEGMENTS) -> DataFrame:
-    """(a, b) of nodes whose fingerprints differ in at most distance bits, each pair once."""
+    """(a, b) of nodes whose fingerprints differ in at most distance bits, each pair once.
+
+    Spark takes the keyed rows for as few as the nodes, and would send what fits its limit then, 45 times that, through the driver: hence the hint."""
     found = sum(1 + wild for _, _, wild in segments) - 1
     if distance > found:
         raise ValueError(f"these segments find links of up to {found} bits")
     keyed = nodes.select(F.col(node).alias("n"), F.col(fp).alias("f"), F.explode(variants(F.col(fp), segments)).alias("v"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    a, b = keyed.alias("a"), keyed.hint("merge").alias("b")
     differ = F.col("a.f").bitwiseXOR(F.col("b.f"))
     order = (F.col("a.f") < F.col("b.f")) | (F.col("a.f") == F.col("b.f")) & (F.col("a.n") < F.col("b.n"))
     hit = (F.col("a.v") == F.col("b.v")) & order & (F.bit_count(differ) <= distance)

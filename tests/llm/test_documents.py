@@ -666,3 +666,12 @@ def test_pipeline_edges(spark, labelled, tmp_path):
         known.write.parquet(str(tmp_path / folder / "labels.parquet"))
         got = pipeline.run(spark, str(tmp_path / folder))
         assert got.columns[0] == "doc_id" and len({r["doc_id"] for r in got.collect()}) == (0 if folder == "none" else 30)
+
+
+# --- what passes through the driver
+
+
+def test_links_send_no_keys_to_the_driver(spark):
+    nodes = spark.range(100).select(F.col("id").alias("rep"), F.xxhash64("id").alias("fp"))
+    plan = simhash.links(common.materialise(nodes, "nodes"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
