@@ -274,18 +274,19 @@ def _linked(docs: DataFrame, key: str, text: str, least: float, size: int) -> tu
     keyed = prints.select("rep", F.posexplode("keys").alias("at", "v"))
     # of each key the text in which it comes first, in a group the one with the least of its own
     least_of = keyed.groupBy("v").agg(F.min(F.struct("at", "rep")).alias("x"), F.count("*").alias("k")).where("k > 1").select("v", F.col("x.rep").alias("star"))
-    shared = materialise(keyed.join(least_of, "v").select("v", "rep", "star"), "shared")
+    # the size of a compressed or unfolded table is far more than what Spark takes it for: where all texts' keys meet, none is sent to the driver
+    shared = materialise(keyed.join(least_of.hint("merge"), "v").select("v", "rep", "star"), "shared")
     sets = prints.select("rep", "n", "s", (F.col("n") - F.size("keys")).alias("room"), F.struct("late", F.element_at("keys", -1).alias("v")).alias("end"))
     pairs = shared.where("rep <> star").select(F.least("rep", "star").alias("a"), F.greatest("rep", "star").alias("b")).distinct()
-    pairs = pairs.join(signed, ["a", "b"], "left_anti")
+    pairs = pairs.join(signed.hint("merge"), ["a", "b"], "left_anti")
     x, y = sets.alias("x"), sets.alias("y")
-    first = materialise(pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_can("x", "y", least)).select("a", "b"), "pairs")
+    first = materialise(pairs.join(x.hint("merge"), F.col("a") == F.col("x.rep")).join(y.hint("merge"), F.col("b") == F.col("y.rep")).where(_can("x", "y", least)).select("a", "b"), "pairs")
     edges = materialise(verified(first, texts, least, size), "links")
     roots = components(edges.unionByName(signed))
     # what is in one component needs no other link
     named = sets.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "s", "room", "end", F.coalesce("root", "rep").alias("c"))
-    rows = materialise(shared.select("v", "rep").join(named, "rep"), "keyed")
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = materialise(shared.select("v", "rep").join(named.hint("merge"), "rep"), "keyed")
+    x, y = rows.alias("x"), rows.hint("merge").alias("y")
     hit = (F.col("x.v") == F.col("y.v")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _can("x", "y", least)
     # of the two prefixes one ends first; what is common up to there is common to both prefixes, what is beyond is in its room
     room = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.room")).otherwise(F.col("y.room"))

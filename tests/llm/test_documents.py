@@ -675,3 +675,17 @@ def test_links_send_no_keys_to_the_driver(spark):
     nodes = spark.range(100).select(F.col("id").alias("rep"), F.xxhash64("id").alias("fp"))
     plan = simhash.links(common.materialise(nodes, "nodes"))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_dedupe_sends_no_unfolded_keys_to_the_driver(spark, monkeypatch):
+    r, plans = random.Random(8), {}
+
+    def seen(df, label, codec="zstd"):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return common.materialise(df, label, codec)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    one = prose(r, 40)
+    got = simhash.dedupe(table(spark, [(1, one), (2, one + " end"), (3, prose(r, 40))])).collect()
+    assert sorted(x["doc_id"] for x in got) == [1, 3]
+    assert not any("BroadcastHashJoin" in p for p in plans["shared"])
