@@ -75,32 +75,36 @@ def normal(text):
     return F.lower(text)
 
 
-def paragraph_sentences(paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:
+def paragraph_sentences(paragraphs: DataFrame, sentences: DataFrame, of_paragraph: Sequence[str] = (), of_sentence: Sequence[str] = ()) -> DataFrame:
     """(paper_id, paragraph_id, sentence_id, rule): which sentences a paragraph holds. 1: the sentence is
     part of it. Else, by the length of the sentence, 2 (over 100): it holds the middle half of a
     paragraph of over 10 words; 3 (31 to 100): it has over 5 different words, and the paragraph over
     0.7 of them. Else 4: a citation of the sentence is part of the paragraph; 5 (over 50): five of its
-    words in a row are. Joined within a paper only; null texts count as empty."""
+    words in a row are. Joined within a paper only; null texts count as empty. What a side alone decides is made before the join.
+    of_paragraph, of_sentence: further columns to bring along."""
     text = F.coalesce("text", F.lit(""))
-    p = paragraphs.select("paper_id", "paragraph_id", normal(text).alias("p"))
-    s = sentences.select("paper_id", "sentence_id", F.coalesce("intexts", F.array().cast("array<string>")).alias("intexts"), normal(text).alias("s"))
+    p = paragraphs.select("paper_id", "paragraph_id", *of_paragraph, normal(text).alias("p"))
+    s = sentences.select("paper_id", "sentence_id", *of_sentence, F.coalesce("intexts", F.array().cast("array<string>")).alias("intexts"), normal(text).alias("s"))
     p = p.withColumn("pw", X.words(F.col("p")))
-    s = s.withColumn("sw", X.words(F.col("s"))).withColumn("sd", F.array_distinct("sw"))
-    both = p.join(s, "paper_id")
     n, size = F.size("pw"), F.length("s")
     first = F.floor(n / 4).cast("int")
     middle = F.array_join(F.slice("pw", first + 1, F.greatest(F.floor(n * 3 / 4).cast("int") - first, F.lit(0))), " ")
-    grams = F.when(F.size("sw") >= 5, F.transform(F.sequence(F.lit(1), F.size("sw") - 4), lambda i: F.array_join(F.slice("sw", i, 5), " "))).otherwise(F.array().cast("array<string>"))
+    p = p.withColumn("middle", F.when(n > 10, middle)).withColumn("middle", F.when(F.length("middle") > 30, F.col("middle")))
+    s = s.withColumn("sw", F.when(size > 30, X.words(F.col("s"))))
+    grams = F.transform(F.sequence(F.lit(1), F.size("sw") - 4), lambda i: F.array_join(F.slice("sw", i, 5), " "))
+    trimmed = F.filter(F.transform("intexts", lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), lambda c: F.length(c) > 3)
+    s = s.withColumn("sd", F.when((size > 30) & (size <= 100), F.array_distinct("sw"))).withColumn("said", F.transform(trimmed, normal))
+    s = s.withColumn("grams", F.when((size > 50) & (F.size("sw") >= 5), F.filter(grams, lambda g: F.length(g) > 20))).drop("sw", "intexts")
     shared = F.size(F.array_intersect("sd", "pw"))
-    trimmed = F.transform("intexts", lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     rule = (
         F.when(F.col("p").contains(F.col("s")), 1)
-        .when((size > 100) & (n > 10) & (F.length(middle) > 30) & F.col("s").contains(middle), 2)
+        .when((size > 100) & F.col("s").contains(F.col("middle")), 2)
         .when((size > 30) & (size <= 100) & (F.size("sd") > 5) & (shared / F.size("sd") > 0.7), 3)
-        .when(F.exists(trimmed, lambda c: (F.length(c) > 3) & F.col("p").contains(normal(c))), 4)
-        .when((size > 50) & F.exists(grams, lambda g: (F.length(g) > 20) & F.col("p").contains(g)), 5)
+        .when(F.exists("said", lambda c: F.col("p").contains(c)), 4)
+        .when((size > 50) & F.exists("grams", lambda g: F.col("p").contains(g)), 5)
     )
-    return both.withColumn("rule", rule).where("rule is not null").select("paper_id", "paragraph_id", "sentence_id", "rule")
+    both = p.join(s, "paper_id").withColumn("rule", rule)
+    return both.where("rule is not null").select("paper_id", "paragraph_id", "sentence_id", "rule", *of_paragraph, *of_sentence)
 
 
 def paragraph_citation_counts(paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:

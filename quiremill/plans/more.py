@@ -176,7 +176,7 @@ def filed(spark, d):
     who = F.col("l_suppkey").cast("string")
     typed = F.struct((F.col("l_returnflag") == "R").alias("has_argument_relations"), F.array(F.struct(F.lit("SUPPORTS").alias("relation_type"), F.col("l_discount").alias("confidence"))).alias("entities"))
     cite = F.struct(F.concat(F.lit("("), who, F.lit(")")).alias("intext"), F.struct(F.concat(F.lit("T"), who).alias("title"), F.lit("1990").alias("year")).alias("reference"), F.concat(F.lit("S"), who).alias("paper_id"), typed.alias("argument_analysis"))
-    rows = line.select(F.col("l_orderkey").alias("k"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("int").alias("sentence_index"), says.alias("sentence_text"), F.array(cite).alias("citations"), F.struct((F.col("l_returnflag") == "R").alias("has_argument_relations")).alias("argument_analysis")).join(order, "k")
+    rows = line.select(F.col("l_orderkey").alias("k"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("sentence_index"), says.alias("sentence_text"), F.array(cite).alias("citations"), F.struct((F.col("l_returnflag") == "R").alias("has_argument_relations")).alias("argument_analysis")).join(order, "k")
     lines = rows.drop("k", "o_orderpriority")
     texts = rows.groupBy("paper_id", "k", "o_orderpriority").agg(F.array_join(F.sort_array(F.collect_list(F.struct("sentence_index", "sentence_text")))["sentence_text"], " ").alias("paragraph_text"), F.count("*").cast("int").alias("sentence_count"))
     paragraphs = texts.select("paper_id", F.col("k").cast("int").alias("paragraph_index"), "paragraph_text", F.col("o_orderpriority").alias("section"), "sentence_count")
@@ -188,7 +188,7 @@ _FILED = "SELECT 'C'||o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTIT
 
 
 def filed_graph(spark, d):
-    return I.import_documents(I.assemble(*filed(spark, d)))
+    return I.import_lines(*filed(spark, d))
 
 
 @query(f"WITH e AS ({_FILED}) SELECT c AS paper_id, c_name AS title, count(DISTINCT (k,n)) AS sentence_citations, count(DISTINCT k) AS paragraph_citations, count(DISTINCT (k,n))+count(DISTINCT k) AS total_citations FROM e JOIN customer ON c='C'||c_custkey WHERE s='S5' GROUP BY 1,2")

@@ -8,8 +8,11 @@ are scoped by the paper.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import ids
@@ -19,12 +22,22 @@ from ..operators.vectors import index
 
 #: What a row of each kind may hold; a kind leaves the rest null.
 TAGGED = (
-    "kind string, id string, paper_id string, ref_id string, idx int, text string, section string, title string, authors array<string>, year int, doi string, journal string, "
+    "kind string, id string, paper_id string, ref_id string, idx bigint, text string, section string, title string, authors array<string>, year int, doi string, journal string, "
     "publisher string, abstract string, volume string, issue string, pages string, issn string, url string, type string, stub boolean, n int, m int, intext string, context string, "
     "confidence double, relation_type string, claim_type string"
 )
+KINDS = dict(f.strip().split(" ", 1) for f in TAGGED.split(", "))
 #: Fields of a paper's metadata that its node carries beside title, authors and year.
 DETAILS = ("doi", "journal", "publisher", "abstract", "volume", "issue", "pages", "issn", "url", "type")
+#: What the tables read of the rows of each kind.
+FIELDS = {
+    "papers": ("id", "title", "year", "authors", "stub", *DETAILS),
+    "paragraphs": ("id", "paper_id", "idx", "text", "section", "n", "year"),
+    "sentences": ("id", "paper_id", "ref_id", "idx", "year", "text", "stub", "n", "m"),
+    "sentence_cites": ("id", "paper_id", "ref_id", "intext", "context", "confidence"),
+    "arguments": ("id", "paper_id", "idx", "text", "claim_type"),
+    "relations": ("id", "ref_id", "idx", "relation_type", "confidence"),
+}
 #: Sentences of a paragraph that is made from sentence lines.
 PER_PARAGRAPH = 5
 
@@ -68,7 +81,7 @@ def assemble(lines: DataFrame, metadata: DataFrame, paragraphs: DataFrame | None
     A paper's own sentences bound the row."""
     paragraphs = structure(lines)[0] if paragraphs is None else paragraphs
     s = lines.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("sentence_index", F.struct(*(c for c in lines.columns if c != "paper_id")).alias("s")))).alias("a"))
-    p = paragraphs.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("paragraph_index", "paragraph_text", "section", "sentence_count"))).alias("paragraphs"))
+    p = _paragraph_arrays(paragraphs)
     m = metadata.select("paper_id", F.struct(*(c for c in metadata.columns if c != "paper_id")).alias("metadata"))
     got = m.join(s.select("paper_id", F.transform("a", lambda x: x["s"]).alias("sentences")), "paper_id", "full").join(p, "paper_id", "left")
     return got.where("paper_id is not null")
@@ -81,70 +94,125 @@ def cited_id(citation: Column) -> Column:
     return F.coalesce(given, F.when(F.length(F.trim(title)) > 0, ids.paper_id(title, citation["reference"]["year"])))
 
 
-def exploded(docs: DataFrame) -> DataFrame:
-    """Rows TAGGED of documents as assemble() gives them: papers (a stub for each citation), paragraphs, sentences,
-    sentence_cites, arguments (sentences that cite) and relations (one for each entity of a citation's analysis, CITES without one)."""
-    line = docs.schema["sentences"].dataType.elementType
-    cite = line["citations"].dataType.elementType
-    about = docs.schema["metadata"].dataType
-    kinds = dict(f.strip().split(" ", 1) for f in TAGGED.split(", "))
-    m, paper = F.col("metadata"), F.col("paper_id")
-    year = schemas.year(_part(m, about, "year", "string"))
-
-    def row(kind: str, **values: Column) -> Column:
+class _Rows:
+    """What becomes of the parts of a document: one row TAGGED for each. A sentence is anything that gives its fields by name.
+    fields: those of TAGGED that rows have, all by default."""
+
+    def __init__(self, lines: T.StructType, about: T.StructType, paragraphs: T.DataType, fields: Sequence[str] | None = None):
+        self.line, self.about, self.paragraphs = lines, about, paragraphs
+        self.cite = lines["citations"].dataType.elementType
+        self.fields = {k: v for k, v in KINDS.items() if fields is None or k in fields}
+        self.none = F.array().cast("array<struct<" + ",".join(f"{k}:{v}" for k, v in self.fields.items()) + ">>")
+        self.paper = F.col("paper_id")
+
+    def row(self, kind: str, **values: Column) -> Column:
         values["kind"] = F.lit(kind)
-        return F.struct(*((values[c] if c in values else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+        return F.struct(*((values[c] if c in values else F.lit(None)).cast(t).alias(c) for c, t in self.fields.items()))
+
+    @staticmethod
+    def analysed(x, of) -> Column:
+        return F.coalesce(x["argument_analysis"]["has_argument_relations"], F.lit(False)) if _has(of, "argument_analysis") else F.lit(False)
 
-    none = F.array().cast(f"array<struct<{TAGGED.replace(' ', ':').replace(',:', ',')}>>")
-    analysed = lambda x, of: F.coalesce(x["argument_analysis"]["has_argument_relations"], F.lit(False)) if _has(of, "argument_analysis") else F.lit(False)
+    def year(self, m) -> Column:
+        return schemas.year(_part(m, self.about, "year", "string"))
 
-    def cites(s: Column) -> Column:
+    def cites(self, s) -> Column:
         """Citations of a sentence that name a paper, with it."""
-        named = F.transform(F.coalesce(s["citations"], F.array().cast(line["citations"].dataType)), lambda c: F.struct(cited_id(c).alias("cited"), c.alias("c")))
+        named = F.transform(F.coalesce(s["citations"], F.array().cast(self.line["citations"].dataType)), lambda c: F.struct(cited_id(c).alias("cited"), c.alias("c")))
         return F.filter(named, lambda x: x["cited"].isNotNull())
 
-    def stub(x: Column) -> Column:
-        ref, of = x["c"]["reference"], cite["reference"].dataType
-        return row("papers", id=x["cited"], title=F.coalesce(ref["title"], F.lit("Unknown Title")), authors=_part(ref, of, "authors", "array<string>"), year=schemas.year(ref["year"]), journal=_part(ref, of, "journal", "string"), publisher=_part(ref, of, "publisher", "string"), stub=F.lit(True))
+    def own(self, m) -> Column:
+        details = {c: _part(m, self.about, c, "string") for c in DETAILS}
+        return self.row("papers", id=self.paper, title=F.coalesce(_part(m, self.about, "title", "string"), F.lit("")), authors=_part(m, self.about, "authors", "array<string>"), year=self.year(m), stub=F.lit(False), **details)
 
-    def sentence(s: Column) -> Column:
-        holds = F.filter(F.coalesce("paragraphs", F.array().cast(docs.schema["paragraphs"].dataType)), lambda p: p["paragraph_text"].contains(s["sentence_text"]))
+    def stub(self, x: Column) -> Column:
+        ref, of = x["c"]["reference"], self.cite["reference"].dataType
+        return self.row("papers", id=x["cited"], title=F.coalesce(ref["title"], F.lit("Unknown Title")), authors=_part(ref, of, "authors", "array<string>"), year=schemas.year(ref["year"]), journal=_part(ref, of, "journal", "string"), publisher=_part(ref, of, "publisher", "string"), stub=F.lit(True))
+
+    def paragraph_id(self, p) -> Column:
+        return F.concat(self.paper, F.lit("_para_"), p["paragraph_index"].cast("string"))
+
+    def paragraph(self, p, year: Column) -> Column:
+        return self.row("paragraphs", id=self.paragraph_id(p), paper_id=self.paper, idx=p["paragraph_index"], text=p["paragraph_text"], section=F.coalesce(p["section"], F.lit("Unknown")), n=p["sentence_count"], year=year)
+
+    def sentence_id(self, s) -> Column:
+        return F.concat(self.paper, F.lit("_sent_"), s["sentence_index"].cast("string"))
+
+    def sentence(self, s, paragraphs: Column, year: Column) -> Column:
+        holds = F.filter(F.coalesce(paragraphs, F.array().cast(self.paragraphs)), lambda p: p["paragraph_text"].contains(s["sentence_text"]))
         place = F.coalesce(F.get(holds, F.lit(0))["paragraph_index"].cast("string"), F.lit("unknown"))
         cited = F.coalesce(F.size(s["citations"]), F.lit(0)) > 0
-        words, chars = _part(s, line, "word_count", "int"), _part(s, line, "char_count", "int")
-        return row("sentences", id=sentence_id(s), paper_id=paper, ref_id=F.concat(paper, F.lit("_para_"), place), idx=s["sentence_index"], text=s["sentence_text"], stub=cited, n=F.coalesce(words, X.word_count(s["sentence_text"])), m=F.coalesce(chars, X.char_count(s["sentence_text"])), year=year)
-
-    def sentence_id(s: Column) -> Column:
-        return F.concat(paper, F.lit("_sent_"), s["sentence_index"].cast("string"))
+        words, chars = _part(s, self.line, "word_count", "int"), _part(s, self.line, "char_count", "int")
+        return self.row("sentences", id=self.sentence_id(s), paper_id=self.paper, ref_id=F.concat(self.paper, F.lit("_para_"), place), idx=s["sentence_index"], text=s["sentence_text"], stub=cited, n=F.coalesce(words, X.word_count(s["sentence_text"])), m=F.coalesce(chars, X.char_count(s["sentence_text"])), year=year)
 
-    def edge(s: Column, x: Column) -> Column:
-        sure = F.coalesce(_part(x["c"], cite, "confidence", "double"), F.lit(1.0))
-        return row("sentence_cites", id=sentence_id(s), paper_id=paper, ref_id=x["cited"], idx=s["sentence_index"], intext=x["c"]["intext"], context=X.context(s["sentence_text"], x["c"]["intext"]), confidence=sure)
+    def edge(self, s, x: Column) -> Column:
+        sure = F.coalesce(_part(x["c"], self.cite, "confidence", "double"), F.lit(1.0))
+        return self.row("sentence_cites", id=self.sentence_id(s), paper_id=self.paper, ref_id=x["cited"], idx=s["sentence_index"], intext=x["c"]["intext"], context=X.context(s["sentence_text"], x["c"]["intext"]), confidence=sure)
 
-    def argument(s: Column) -> Column:
-        claim = F.when(analysed(s, line), "CLAIM_MAIN").otherwise("NEUTRAL")
-        return F.when(F.size(s["citations"]) > 0, F.array(row("arguments", id=sentence_id(s), paper_id=paper, idx=s["sentence_index"], text=s["sentence_text"], claim_type=claim))).otherwise(none)
+    def argument(self, s) -> Column:
+        """Of a sentence that cites."""
+        claim = F.when(self.analysed(s, self.line), "CLAIM_MAIN").otherwise("NEUTRAL")
+        return self.row("arguments", id=self.sentence_id(s), paper_id=self.paper, idx=s["sentence_index"], text=s["sentence_text"], claim_type=claim)
 
-    def relations(s: Column, x: Column) -> Column:
-        plain = row("relations", id=sentence_id(s), paper_id=paper, ref_id=x["cited"], relation_type=F.lit("CITES"))
-        if not _has(cite, "argument_analysis"):
+    def relations(self, s, x: Column) -> Column:
+        plain = self.row("relations", id=self.sentence_id(s), paper_id=self.paper, ref_id=x["cited"], relation_type=F.lit("CITES"))
+        if not _has(self.cite, "argument_analysis"):
             return F.array(plain)
         found = x["c"]["argument_analysis"]["entities"]
-        entities = F.coalesce(found, F.array().cast(cite["argument_analysis"].dataType["entities"].dataType))
-        typed = F.transform(entities, lambda e, i: row("relations", id=sentence_id(s), paper_id=paper, ref_id=x["cited"], idx=i, relation_type=F.coalesce(e["relation_type"], F.lit("CITES")), confidence=e["confidence"]))
-        return F.when(analysed(x["c"], cite), typed).otherwise(F.array(plain))
+        entities = F.coalesce(found, F.array().cast(self.cite["argument_analysis"].dataType["entities"].dataType))
+        typed = F.transform(entities, lambda e, i: self.row("relations", id=self.sentence_id(s), paper_id=self.paper, ref_id=x["cited"], idx=i, relation_type=F.coalesce(e["relation_type"], F.lit("CITES")), confidence=e["confidence"]))
+        return F.when(self.analysed(x["c"], self.cite), typed).otherwise(F.array(plain))
+
 
+def exploded(docs: DataFrame) -> DataFrame:
+    """Rows TAGGED of documents as assemble() gives them: papers (a stub for each citation), paragraphs, sentences,
+    sentence_cites, arguments (sentences that cite) and relations (one for each entity of a citation's analysis, CITES without one)."""
+    rows = _Rows(docs.schema["sentences"].dataType.elementType, docs.schema["metadata"].dataType, docs.schema["paragraphs"].dataType)
+    m = F.col("metadata")
+    year, held = rows.year(m), F.coalesce("paragraphs", F.array().cast(docs.schema["paragraphs"].dataType))
     sentences = F.coalesce("sentences", F.array().cast(docs.schema["sentences"].dataType))
-    each = lambda s: F.concat(F.array(sentence(s)), argument(s), F.flatten(F.transform(cites(s), lambda x: F.concat(F.array(stub(x), edge(s, x)), relations(s, x)))))
-    details = {c: _part(m, about, c, "string") for c in DETAILS}
-    own = F.when(m.isNotNull(), F.array(row("papers", id=paper, title=F.coalesce(_part(m, about, "title", "string"), F.lit("")), authors=_part(m, about, "authors", "array<string>"), year=year, stub=F.lit(False), **details))).otherwise(none)
-    paragraphs = F.transform(F.coalesce("paragraphs", F.array().cast(docs.schema["paragraphs"].dataType)), lambda p: row("paragraphs", id=F.concat(paper, F.lit("_para_"), p["paragraph_index"].cast("string")), paper_id=paper, idx=p["paragraph_index"], text=p["paragraph_text"], section=F.coalesce(p["section"], F.lit("Unknown")), n=p["sentence_count"], year=year))
+    argument = lambda s: F.when(F.size(s["citations"]) > 0, F.array(rows.argument(s))).otherwise(rows.none)
+    cites = lambda s: F.transform(rows.cites(s), lambda x: F.concat(F.array(rows.stub(x), rows.edge(s, x)), rows.relations(s, x)))
+    each = lambda s: F.concat(F.array(rows.sentence(s, held, year)), argument(s), F.flatten(cites(s)))
+    own = F.when(m.isNotNull(), F.array(rows.own(m))).otherwise(rows.none)
+    paragraphs = F.transform(held, lambda p: rows.paragraph(p, year))
     return docs.select(F.explode(F.concat(own, paragraphs, F.flatten(F.transform(sentences, each)))).alias("r")).select("r.*")
 
 
+def _paragraph_arrays(paragraphs: DataFrame) -> DataFrame:
+    return paragraphs.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("paragraph_index", "paragraph_text", "section", "sentence_count"))).alias("paragraphs"))
+
+
+def rows_of(kind: str, lines: DataFrame, metadata: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """The rows of one kind, as exploded() gives them, from what this kind needs: nothing is assembled, only sentences meet the paragraphs of their paper.
+    Metadata has one row a paper."""
+    fields = lambda df: {c: F.col(c) for c in df.columns if c != "paper_id"}
+    lines, metadata, paragraphs = (df.where("paper_id is not null") for df in (lines, metadata, paragraphs))
+    arrays = _paragraph_arrays(paragraphs)
+    rows = _Rows(lines.schema, metadata.schema, arrays.schema["paragraphs"].dataType, FIELDS[kind])
+    s, flat = fields(lines), lambda df, row: df.select(row.alias("r")).select("r.*")
+    cited = lambda: lines.withColumn("__x", F.explode(rows.cites(s)))
+    years = metadata.select("paper_id", rows.year(fields(metadata)).alias("__year"))
+    if kind == "papers":
+        return flat(metadata, rows.own(fields(metadata))).unionByName(flat(cited(), rows.stub(F.col("__x"))))
+    if kind == "paragraphs":
+        known = metadata.select("paper_id").unionByName(lines.select("paper_id"))
+        return flat(paragraphs.join(known, "paper_id", "left_semi").join(years, "paper_id", "left"), rows.paragraph(fields(paragraphs), F.col("__year")))
+    if kind == "sentences":
+        return flat(lines.join(arrays.withColumnRenamed("paragraphs", "__p"), "paper_id", "left").join(years, "paper_id", "left"), rows.sentence(s, F.col("__p"), F.col("__year")))
+    if kind == "sentence_cites":
+        return flat(cited(), rows.edge(s, F.col("__x")))
+    if kind == "arguments":
+        return flat(lines.where(F.size("citations") > 0), rows.argument(s))
+    return cited().select(F.explode(rows.relations(s, F.col("__x"))).alias("r")).select("r.*")
+
+
 def graph_tables(tagged: DataFrame) -> dict[str, DataFrame]:
     """The tables by kind, with the names that operators.graph uses, and paper_cites."""
-    of = lambda kind: tagged.where(F.col("kind") == kind)
+    return _tables(lambda kind: tagged.where(F.col("kind") == kind))
+
+
+def _tables(of: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
     # a real record before stubs, then the least; one aggregate with a map side
     rest = ["title", "year", "authors", *DETAILS]
     papers = of("papers").groupBy(F.col("id").alias("paper_id")).agg(F.min(F.struct("stub", *rest)).alias("r")).select("paper_id", *(F.col("r")[c].alias(c) for c in ("title", "year", "journal", "stub", "authors", *(x for x in DETAILS if x != "journal"))))
@@ -156,6 +224,8 @@ def graph_tables(tagged: DataFrame) -> dict[str, DataFrame]:
         "paragraphs": of("paragraphs").select(F.col("id").alias("paragraph_id"), "paper_id", F.col("idx").alias("paragraph_index"), "section", "year", "text", F.col("n").alias("sentence_count")),
         "sentences": of("sentences").select(F.col("id").alias("sentence_id"), "paper_id", F.col("ref_id").alias("paragraph_id"), F.col("idx").alias("sentence_index"), "year", "text", F.col("stub").alias("has_citations"), F.col("n").alias("word_count"), F.col("m").alias("char_count")),
         "sentence_cites": edges.select(F.col("id").alias("sentence_id"), F.col("ref_id").alias("cited_id"), F.col("intext").alias("citation_text"), F.col("context").alias("citation_context"), "confidence"),
+        # the edges of sentence_cites with their paper
+        "citing": edges.select(F.col("id").alias("sentence_id"), F.col("ref_id").alias("cited_id"), "paper_id"),
         "arguments": of("arguments").select(F.col("id").alias("argument_id"), "paper_id", F.col("idx").alias("sentence_index"), "text", "claim_type"),
         "relations": relations,
         "paper_cites": edges.groupBy(F.col("paper_id").alias("citing_id"), F.col("ref_id").alias("cited_id")).agg(F.count("*").alias("citation_count")),
@@ -174,6 +244,27 @@ def paragraph_cites(tables: dict[str, DataFrame]) -> DataFrame:
     return n.join(tables["paragraphs"].select("paragraph_id", size.alias("size")), "paragraph_id").select("paragraph_id", "cited_id", "citation_count", (F.col("citation_count") / F.col("size")).alias("citation_density"))
 
 
+def paragraph_cites_of(lines: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """As paragraph_cites(), from lines and paragraphs. A line is its own sentence and brings its citations along, so a filter by the cited paper
+    goes before the sentences meet the paragraphs of their paper."""
+    lines, paragraphs = lines.where("paper_id is not null"), paragraphs.where("paper_id is not null")
+    rows = _Rows(lines.schema, T.StructType(), T.ArrayType(T.StringType()))
+    each = lines.select("paper_id", F.col("sentence_text").alias("text"), "citations", F.explode(rows.cites({"citations": F.col("citations")})).alias("x"))
+    intexts = F.transform(rows.cites({"citations": F.col("citations")}), lambda x: x["c"]["intext"])
+    each = each.select("paper_id", "text", intexts.alias("intexts"), F.col("x.cited").alias("cited_id"), F.lit(None).cast("string").alias("sentence_id"))
+    size = F.greatest(F.coalesce("sentence_count", F.lit(1)), F.lit(1))
+    named = paragraphs.select("paper_id", rows.paragraph_id({"paragraph_index": F.col("paragraph_index")}).alias("paragraph_id"), F.col("paragraph_text").alias("text"), size.alias("size"))
+    held = paragraph_sentences(named, each, ["size"], ["cited_id"])
+    n = held.groupBy("paragraph_id", "cited_id", "size").agg(F.count("*").alias("citation_count"))
+    return n.select("paragraph_id", "cited_id", "citation_count", (F.col("citation_count") / F.col("size")).alias("citation_density"))
+
+
+def import_lines(lines: DataFrame, metadata: DataFrame, paragraphs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of import_documents() without a path, each from what it needs of lines, metadata and paragraphs: no document is assembled."""
+    paragraphs = structure(lines)[0] if paragraphs is None else paragraphs
+    return _tables(lambda kind: rows_of(kind, lines, metadata, paragraphs)) | {"paragraph_cites": paragraph_cites_of(lines, paragraphs)}
+
+
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TAGGED).parquet(f"{path}/nodes")
 
@@ -196,13 +287,13 @@ def import_documents(docs: DataFrame, path: str | None = None) -> dict[str, Data
 def graph_of(tables: dict[str, DataFrame]):
     from ..operators.graph import Graph
 
-    return Graph(**{k: tables[k] for k in ("papers", "paragraphs", "sentences", "sentence_cites", "paragraph_cites")})
+    return Graph(**{k: tables[k] for k in ("papers", "paragraphs", "sentences", "sentence_cites", "paragraph_cites", "citing")})
 
 
 def to_graph(lines: DataFrame, metadata: DataFrame) -> dict[str, DataFrame]:
     """papers, arguments, relations and paper_cites of sentence lines alone."""
     no_paragraphs = lines.sparkSession.createDataFrame([], f"paper_id string, {schemas.PARAGRAPH_LINE}")
-    tables = graph_tables(exploded(assemble(lines, metadata, no_paragraphs)))
+    tables = _tables(lambda kind: rows_of(kind, lines, metadata, no_paragraphs))
     return {k: tables[k] for k in ("papers", "arguments", "relations", "paper_cites")}
 
 

@@ -121,3 +121,17 @@ def test_store_and_folders(spark, given, tmp_path):
     assert sorted((r["paper_id"], r["sentence_index"]) for r in back.collect()) == [("P1", 0), ("P1", 1), ("P1", 2), ("P2", 0), ("P2", 1)]
     g = I.to_graph(back, meta2)
     assert {r["claim_type"] for r in g["arguments"].collect()} == {"CLAIM_MAIN", "NEUTRAL"} and g["papers"].count() == 5
+
+
+def test_lines_fill_the_same_graph_unassembled(spark, given):
+    """From each table what it needs: no document is assembled, a filter by the cited paper comes before paragraphs and sentences meet."""
+    lines, meta, paragraphs = given
+    more = paragraphs.unionByName(spark.createDataFrame([("P9", 0, "Of no paper.", "Intro", 1)], paragraphs.schema))
+    whole, parts = I.import_documents(I.assemble(lines, meta, more)), I.import_lines(lines, meta, more)
+    assert whole.keys() == parts.keys()
+    for k, df in whole.items():
+        assert sorted(map(str, parts[k].select(*df.columns).collect())) == sorted(map(str, df.collect())), k
+    plan = parts["paragraph_cites"].where("cited_id = 'A'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.index("Join") < plan.index("= A")
+    far = lines.withColumn("sentence_index", F.col("sentence_index") + F.lit(1 << 40))
+    assert I.import_lines(far, meta, more)["sentences"].agg(F.min("sentence_index")).first()[0] == 1 << 40
