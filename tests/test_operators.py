@@ -304,3 +304,20 @@ def test_occurrences_are_linear(spark):
     assert tuple(a) == (120_000, 359_997, 12)
     assert df.select(F.size(X.occurrences(F.col("text"), "ab")).alias("n")).where("n > 0").first()["n"] == 120_000
     assert time.perf_counter() - began < 30
+
+
+def test_pair_counts_deal_pairs_over_as_many_tasks_as_they_need(spark, monkeypatch):
+    links = spark.createDataFrame([(g, i) for g in range(40) for i in range(12) if (g + i) % 3], "g long, i long")
+    want = {}
+    for g in range(40):
+        own = [i for i in range(12) if (g + i) % 3]
+        for a in own:
+            for b in own:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    monkeypatch.setattr(G, "PAIRS_A_TASK", 50)
+    got = G.pair_counts(links, "g", "i")
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {-(-sum(want.values()) // 50)}" in plan and G.pair_counts(links.limit(0), "g", "i").count() == 0
+    assert A.collaboration(links.select(F.col("g").alias("paper_id"), F.col("i").alias("author_id"))).count() == len(want)
