@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -147,12 +147,11 @@ def context(text: Column, wanted: Column, around: int = 50) -> Column:
     return F.when(at > 0, F.trim(F.substring(text, start, at + F.length(wanted) + around - start))).otherwise(text)
 
 
-def _places(low: str, query: str) -> list[int]:
-    out, at = [], low.find(query)
+def places(low: str, query: str) -> Iterator[int]:
+    at = low.find(query)
     while at >= 0:
-        out.append(at)
+        yield at
         at = low.find(query, at + 1)
-    return out
 
 
 def occurrences(text: Column, query: str) -> Column:
@@ -163,7 +162,7 @@ def occurrences(text: Column, query: str) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def find(low: pd.Series) -> pd.Series:
-        return low.map(lambda t: None if t is None else _places(t, q))
+        return low.map(lambda t: None if t is None else list(places(t, q)))
 
     return find(F.lower(text))
 
@@ -180,7 +179,7 @@ def contexts(text: Column, query: str, half: int) -> Column:
     def cut(whole: pd.Series, low: pd.Series) -> pd.Series:
         rows = []
         for t, x in zip(whole, low, strict=True):
-            places = _places(x, q) if t is not None else []
+            places = places(x, q) if t is not None else []
             rows.append([{"position": at, "context": t[max(0, at - half) : at + len(q) + half].strip(" "), "highlight_start": at - max(0, at - half)} for at in places])
         return pd.Series(rows)
 

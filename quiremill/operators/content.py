@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +12,42 @@ from ..functions import text as X
 from .vectors import dot, embed, embed_text, literal
 
 
+#: Hits that kwic() holds at a time.
+HITS_AT_ONCE = 1024
+
+
 def kwic(sections: DataFrame, query: str, window: int = 500, text: str = "text") -> DataFrame:
     """One row an occurrence: place, the stripped context, and where the query lies in the context
-    before stripping. The text itself stays behind, as each of its hits would carry it."""
-    hits = sections.withColumn("__hits", X.contexts(F.col(text), query, window // 2)).drop(text)
-    got = hits.withColumn("__h", F.explode("__hits")).drop("__hits")
-    start = F.col("__h.highlight_start")
-    return got.select(*(c for c in got.columns if c != "__h"), F.col("__h.position").alias("position"), start.alias("highlight_start"), (start + len(query)).alias("highlight_end"), F.col("__h.context").alias("context"))
+    before stripping. The text itself stays behind, as each of its hits would carry it. Python holds few contexts at a time."""
+    rest = [c for c in sections.columns if c != text]
+    kinds = [f"`{c}` {sections.schema[c].dataType.simpleString()}" for c in rest]
+    q, half = query.lower(), window // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, low = b.column(len(rest)), b.column(len(rest) + 1)
+            at, found = [], []
+
+            def made() -> pa.RecordBatch:
+                kept = [b.column(i).take(pa.array(at, pa.int64())) for i in range(len(rest))]
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+                return pa.RecordBatch.from_arrays([*kept, *columns], [*rest, "position", "highlight_start", "highlight_end", "context"])
+
+            for i in range(len(b)):
+                t, x = whole[i].as_py(), low[i].as_py()
+                for place in X.places(x, q) if t is not None else ():
+                    start = max(0, place - half)
+                    at.append(i)
+                    found.append((place, place - start, place - start + len(query), t[start : place + len(q) + half].strip(" ")))
+                    if len(at) >= HITS_AT_ONCE:
+                        yield made()
+                        at, found = [], []
+            if at:
+                yield made()
+
+    # without a query no text has a hit
+    rows = sections.select(*rest, F.col(text), F.lower(text).alias("__low")) if q else sections.select(*rest, F.col(text), F.lower(text).alias("__low")).limit(0)
+    return rows.mapInArrow(run, ", ".join([*kinds, "position int, highlight_start int, highlight_end int, context string"]))
 
 
 def full_text(sections: DataFrame, key: str = "paper_id", order: str = "section_index") -> DataFrame:

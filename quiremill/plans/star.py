@@ -49,7 +49,8 @@ def graph(spark: SparkSession, d: str) -> G.Graph:
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("paragraph_id"), F.col("o_custkey").alias("paper_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("section"))
     papers = t(spark, d, "customer").select(F.col("c_custkey").alias("paper_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("journal"), F.lit(False).alias("stub"))
     stubs = t(spark, d, "supplier").select((-1 - F.col("s_suppkey")).alias("paper_id"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("journal"), F.lit(True).alias("stub"))
-    line = line.distinct()  # line numbers repeat within some orders
+    # line numbers repeat within some orders; dealt first, as a task would hold nearly all rows of its piece of the file
+    line = line.repartition("paragraph_id").distinct()
     return G.Graph(
         papers=papers.unionByName(stubs),
         paragraphs=orders.withColumn("paragraph_index", F.col("paragraph_id")),

@@ -321,3 +321,13 @@ def test_pair_counts_deal_pairs_over_as_many_tasks_as_they_need(spark, monkeypat
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert f", {-(-sum(want.values()) // 50)}" in plan and G.pair_counts(links.limit(0), "g", "i").count() == 0
     assert A.collaboration(links.select(F.col("g").alias("paper_id"), F.col("i").alias("author_id"))).count() == len(want)
+
+
+def test_kwic_gives_its_hits_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "ab " * 50, [1]), (2, None, None), (3, "no", [3]), (4, "xAB", [])], "id int, text string, tags array<int>")
+    monkeypatch.setattr(C, "HITS_AT_ONCE", 7)
+    got = C.kwic(df, "ab", 4)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["position"], r["tags"]) for r in got.collect()) == [*((1, 3 * i, [1]) for i in range(50)), (4, 1, [])]
+    assert got.where("id = 4").select("context", "highlight_start", "highlight_end").first() == ("xAB", 1, 3)
+    assert C.kwic(df, "").count() == 0
