@@ -9,17 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from .rollup import belongs, reference_start_by_density
 
-SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("raw", T.StringType()).add("joined", T.StringType()))
-
-
 def spans(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, joined) of each sentence: text[start:end] with white space between joined pieces as one space."""
     abbreviation = re.compile(r"\b(?:" + "|".join(re.escape(a) for a in X.ABBREVIATIONS) + r")\Z", re.IGNORECASE)
@@ -46,9 +42,36 @@ def spans(text: str) -> Iterator[tuple[int, int, str]]:
         yield tuple(held)
 
 
-@F.pandas_udf(SPANS)
-def sentence_spans(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"start": a, "end": z, "raw": t[a:z], "joined": s} for a, z, s in spans(t)] if t else [])
+#: Sentences that a task's Python holds at a time.
+AT_ONCE = 1024
+
+
+def exploded_spans(rows: DataFrame, text: str) -> DataFrame:
+    """rows without text, one for each sentence of it, with start, end, raw and joined."""
+    rest = [c for c in rows.columns if c != text]
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found = [], []
+
+            def made() -> pa.RecordBatch:
+                kept = [b.column(i).take(pa.array(at, pa.int64())) for i in range(len(rest))]
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)]
+                return pa.RecordBatch.from_arrays([*kept, *columns], [*rest, "start", "end", "raw", "joined"])
+
+            for i, t in enumerate(b.column(len(rest))):
+                t = t.as_py()
+                for start, end, joined in spans(t) if t else ():
+                    at.append(i)
+                    found.append((start, end, t[start:end], joined))
+                    if len(at) >= AT_ONCE:
+                        yield made()
+                        at, found = [], []
+            if at:
+                yield made()
+
+    return rows.select(*rest, text).mapInArrow(run, ", ".join([*kinds, "start int, end int, raw string, joined string"]))
 
 
 def parse_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", markdown: bool = False) -> DataFrame:
@@ -58,7 +81,7 @@ def parse_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     whole = F.coalesce(X.strip_markdown(F.col(text)) if markdown else F.col(text), F.lit(""))
     rows = docs.select(key, whole.alias("w")).withColumn("part", F.monotonically_increasing_id())
     at = F.coalesce(X.reference_start(F.col("w")), reference_start_by_density("w"))
-    each = rows.select(key, "part", F.explode(sentence_spans(F.substring("w", F.lit(1), at))).alias("s")).select(key, "part", "s.*")
+    each = exploded_spans(rows.select(key, "part", F.substring("w", F.lit(1), at).alias("w")), "w")
     good = each.where(X.is_valid_sentence(F.col("joined"))).withColumn("sentence", X.clean_sentence(F.col("joined"))).where("sentence <> ''")
     number = F.row_number().over(Window.partitionBy(key).orderBy("part", "start")) - 1
     return good.select(key, number.alias("sentence_index"), "sentence", "start", "end", "raw")

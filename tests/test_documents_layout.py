@@ -128,3 +128,13 @@ def test_bundle(spark):
 def test_routes(asked, target, want):
     assert [(s.method, s.params, s.result, s.required) for s in route.plan(*asked, target, "why so")] == want
     assert route.last_resort("why so").params == {"query": "why so", "limit_per_collection": 5}
+
+
+def test_sentences_leave_python_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(Z, "AT_ONCE", 3)
+    text = " ".join(f"Sentence number {i} goes on here." for i in range(10))
+    df = spark.createDataFrame([(1, text), (2, None), (3, text[:31])], "doc_id int, text string")
+    got = Z.exploded_spans(df, "text")
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert [r["raw"] for r in got.where("doc_id = 1").orderBy("start").collect()] == [f"Sentence number {i} goes on here." for i in range(10)]
+    assert Z.parse_sentences(df).groupBy("doc_id").count().orderBy("doc_id").collect()[0]["count"] == 10
