@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -80,6 +80,11 @@ def matches_any(text: Column, patterns: Sequence[str], flags: str = "") -> Colum
     return text.rlike(f"{flags}(?:{'|'.join(f'(?:{p})' for p in patterns)})")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
@@ -199,8 +204,8 @@ def is_furniture(sentence: Column) -> Column:
 
 
 def special_ratio(text: Column) -> Column:
-    """Share of characters that are no letters, digits, spaces or common punctuation."""
-    return F.length(F.regexp_replace(text, r"(?U)[\w\s.,;:!?()-]+", "")) / F.length(text)
+    """Share of characters that are no letters, digits, spaces or common punctuation. The commonest are named first, as they are tried in this order."""
+    return F.length(F.regexp_replace(text, r"(?U)[a-zA-Z0-9\w\s.,;:!?()-]+", "")) / F.length(text)
 
 
 def is_noise(sentence: Column) -> Column:
@@ -280,14 +285,20 @@ def quality_score(text: Column, bonus: Column | float = 0.0, pages_read: Column
     """Up to 5 for length, 3 for plausible word density, 3 for the share of pages that gave text,
     bonus of the engine, less 2 for each sign of corruption; 0 at least, 0 for no text."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    n, w = F.length(text), word_count(text)
-    density = w / n * 100
-    dense = F.when(density.between(10, 25), 3.0).otherwise(F.greatest(F.lit(0.0), F.lit(3.0) - F.abs(density - 17.5) / 5))
-    short = F.regexp_count(text, F.lit(r"(?U)\b\w{1,2}\b")) / F.when(w > 0, w)
-    odd = special_ratio(text)
-    signs = sum(F.when(F.coalesce(x, F.lit(0.0)) > 0.3, 2.0).otherwise(0.0) for x in (odd, short))
-    score = F.least(n / 10000, F.lit(5.0)) + dense + F.least(as_col(pages_read), F.lit(1.0)) * 3 + as_col(bonus) - signs
-    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(F.greatest(score, F.lit(0.0)))
+    length = F.length(text)
+    short = F.regexp_count(text, F.lit(r"(?U)\b\w{1,2}\b"))
+
+    def of(m: Column) -> Column:
+        n, w = m["n"], m["w"]
+        density = w / n * 100
+        dense = F.when(density.between(10, 25), 3.0).otherwise(F.greatest(F.lit(0.0), F.lit(3.0) - F.abs(density - 17.5) / 5))
+        signs = sum(F.when(F.coalesce(x, F.lit(0.0)) > 0.3, 2.0).otherwise(0.0) for x in (m["odd"], m["short"] / F.when(w > 0, w)))
+        score = F.least(n / 10000, F.lit(5.0)) + dense + F.least(as_col(pages_read), F.lit(1.0)) * 3 + as_col(bonus) - signs
+        return F.greatest(score, F.lit(0.0))
+
+    # each pass over the text is made once
+    measured = F.struct(length.alias("n"), word_count(text).alias("w"), special_ratio(text).alias("odd"), short.alias("short"))
+    return F.when(F.coalesce(length, F.lit(0)) == 0, 0.0).otherwise(once(measured, of))
 
 
 def language_votes(text: Column) -> dict[str, Column]:

@@ -401,10 +401,12 @@ _Q = f"(least(n/10000,5.0) + CASE WHEN w/n*100 BETWEEN 10 AND 25 THEN 3.0 ELSE g
 
 @query(f"SELECT doc_id, CASE WHEN q>=7 AND doc_id%3>0 THEN 'excellent' WHEN q>=5 AND doc_id%3>0 THEN 'good' WHEN q>=3 THEN 'fair' ELSE 'poor' END AS level, (q<3)::INT+(doc_id%3=0)::INT+(doc_id%3*3<5)::INT+(doc_id%2=0)::INT AS advice FROM (SELECT doc_id, {_Q})")
 def quality_levels(spark, d):
-    score, n = X.quality_score(F.col("text")), F.col("doc_id") % 3 * 3
+    score, n = F.col("score"), F.col("doc_id") % 3 * 3
     found = P.recommendations(score, n > 0, n, F.col("doc_id") % 2 == 1)
     advice = F.when(F.element_at(found, 1) == P.NO_ADVICE, 0).otherwise(F.size(found))
-    return documents(spark, d).where(F.length("text") > 0).select("doc_id", P.quality_level(score, n > 0).alias("level"), advice.alias("advice"))
+    # scores first: both columns use them more than once
+    scored = documents(spark, d).where(F.length("text") > 0).select("doc_id", X.quality_score(F.col("text")).alias("score"))
+    return scored.select("doc_id", P.quality_level(score, n > 0).alias("level"), advice.alias("advice"))
 
 
 @query("SELECT path, (avg((len(trim(text,' '))<100)::INT)>0.6 AND avg((doc_id%3=0)::INT)>0.3) AS is_scanned FROM (SELECT doc_id, doc_id//8 AS path, doc_id%8 AS page_no, coalesce(text,'') AS text FROM documents) WHERE page_no<5 GROUP BY path")

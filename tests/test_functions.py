@@ -174,3 +174,14 @@ def test_citation_extraction_over_whole_texts(spark):
     data = "/root/testdata/sf0.001"
     want = {r["doc_id"]: "|".join(citations(r["text"])) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     assert {r["doc_id"]: r["cites"] for r in star.QUERIES["citation_extraction"](spark, data).collect()} == want
+
+
+def test_quality_reads_a_text_once(spark):
+    """Each pass over the text stands once in the plan, however often its figure is used; plain words score by hand."""
+    from quiremill.plans import more
+
+    plan = more.quality_levels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f) for f in ("regexp_replace(", "regexp_extract_all(", "split(")] == [1, 1, 1]
+    got = spark.createDataFrame([("alpha beta gamma delta",), ("§§§§§ abc",), ("a b c é",), ("",), (None,)], "t string").select(X.quality_score(F.col("t")).alias("q")).collect()
+    # length, density of words, pages, less two for odd characters and for short words
+    assert [round(r["q"], 6) for r in got] == [6.0022, 4.0009, 1.0007, 0.0, 0.0]
