@@ -243,8 +243,9 @@ def is_heading(text: Column, font_size: Column | float = 12.0) -> Column:
     t = F.trim(text)
     size = font_size if isinstance(font_size, Column) else F.lit(font_size)
     lines = F.split(t, "\n")
-    short = (F.size(lines) <= 2) & F.forall(lines, lambda x: F.length(F.trim(x)) < 100) & contains_any(F.lower(t), HEADING_WORDS)
-    return (t != "") & ~is_block_furniture(t) & (F.length(t) <= 200) & ((size > 13) | matches_any(t, HEADING_FORMS) | short)
+    short = contains_any(F.lower(t), HEADING_WORDS) & (F.size(lines) <= 2) & F.forall(lines, lambda x: F.length(F.trim(x)) < 100)
+    # cheap tests first: most texts have no form of a heading
+    return (t != "") & (F.length(t) <= 200) & ((size > 13) | matches_any(t, HEADING_FORMS) | short) & ~is_block_furniture(t)
 
 
 def reference_start(text: Column) -> Column:

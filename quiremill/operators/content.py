@@ -97,12 +97,15 @@ def word_overlap(docs: DataFrame, items: DataFrame, doc: str, item: str, share:
     return got.where((F.col("shared") > over) & (F.col("shared") / F.col("m") > share)).drop("m")
 
 
-def normal(text):
-    """Lower case, white space as one space, anything but words and common punctuation as a space."""
-    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    for pattern in (r"(?U)\s+", r"(?U)[^\w\s()\[\],.]", r"(?U)\s+"):
-        text = F.regexp_replace(text, pattern, " ")
-    return F.lower(text)
+def stripped(text):
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def normal(text, strip: bool = True):
+    """Lower case, white space as one space, anything but words and common punctuation as a space. strip: False for what is stripped already."""
+    text = stripped(text) if strip else text
+    # a run of space and other characters becomes one space at once; the commonest of what stays is named first
+    return F.lower(F.regexp_replace(text, r"(?U)[^a-zA-Z0-9\w()\[\],.]+", " "))
 
 
 def paragraph_sentences(paragraphs: DataFrame, sentences: DataFrame, of_paragraph: Sequence[str] = (), of_sentence: Sequence[str] = ()) -> DataFrame:
@@ -115,15 +118,17 @@ def paragraph_sentences(paragraphs: DataFrame, sentences: DataFrame, of_paragrap
     text = F.coalesce("text", F.lit(""))
     p = paragraphs.select("paper_id", "paragraph_id", *of_paragraph, normal(text).alias("p"))
     s = sentences.select("paper_id", "sentence_id", *of_sentence, F.coalesce("intexts", F.array().cast("array<string>")).alias("intexts"), normal(text).alias("s"))
-    p = p.withColumn("pw", X.words(F.col("p")))
+    # normal() leaves single spaces only
+    spaced = lambda c: F.array_remove(F.split(c, " "), "")
+    p = p.withColumn("pw", spaced("p"))
     n, size = F.size("pw"), F.length("s")
     first = F.floor(n / 4).cast("int")
     middle = F.array_join(F.slice("pw", first + 1, F.greatest(F.floor(n * 3 / 4).cast("int") - first, F.lit(0))), " ")
     p = p.withColumn("middle", F.when(n > 10, middle)).withColumn("middle", F.when(F.length("middle") > 30, F.col("middle")))
-    s = s.withColumn("sw", F.when(size > 30, X.words(F.col("s"))))
+    s = s.withColumn("sw", F.when(size > 30, spaced("s")))
     grams = F.transform(F.sequence(F.lit(1), F.size("sw") - 4), lambda i: F.array_join(F.slice("sw", i, 5), " "))
-    trimmed = F.filter(F.transform("intexts", lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), lambda c: F.length(c) > 3)
-    s = s.withColumn("sd", F.when((size > 30) & (size <= 100), F.array_distinct("sw"))).withColumn("said", F.transform(trimmed, normal))
+    trimmed = F.filter(F.transform("intexts", stripped), lambda c: F.length(c) > 3)
+    s = s.withColumn("sd", F.when((size > 30) & (size <= 100), F.array_distinct("sw"))).withColumn("said", F.transform(trimmed, lambda c: normal(c, strip=False)))
     s = s.withColumn("grams", F.when((size > 50) & (F.size("sw") >= 5), F.filter(grams, lambda g: F.length(g) > 20))).drop("sw", "intexts")
     shared = F.size(F.array_intersect("sd", "pw"))
     rule = (

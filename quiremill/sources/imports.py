@@ -316,30 +316,49 @@ def collections(lines: DataFrame, metadata: DataFrame, paragraphs: DataFrame | N
     if paragraphs is None or sections is None:
         made = structure(lines)
         paragraphs, sections = paragraphs if paragraphs is not None else made[0], sections if sections is not None else made[1]
-    line, lines = lines.schema, lines.where("paper_id is not null")
+    lines = lines.where("paper_id is not null")
     cited = F.coalesce(F.size("citations"), F.lit(0)) > 0
-    analysed = F.coalesce(F.col("argument_analysis")["has_argument_relations"], F.lit(False)) if "argument_analysis" in line.names else F.lit(False)
-    claim = F.when(analysed, "CLAIM_MAIN")
-    s = lines.select("paper_id", F.lit("sentences").alias("collection"), F.col("sentence_index").alias("at"), F.col("sentence_text").alias("text"), F.col("sentence_index").cast("int").alias("sentence_index"), point_filter(cited, claim).alias("sentence_type"), cited.alias("has_citations"))
-    each = lines.select("paper_id", "sentence_index", "sentence_text", F.posexplode("citations").alias("k", "c"))
-    kind = line["citations"].dataType.elementType
-    number = F.row_number().over(Window.partitionBy("paper_id").orderBy("sentence_index", "k")) - 1
-    c = each.select("paper_id", F.lit("citations").alias("collection"), number.alias("at"), F.col("c.intext").alias("text"), number.alias("citation_index"), cited_id(F.col("c")).alias("cited_paper_id"), X.context(F.col("sentence_text"), F.col("c.intext")).alias("citation_context"), F.coalesce(_part(F.col("c"), kind, "confidence", "double"), F.lit(1.0)).alias("confidence"))
-    in_sentences = lines.where(cited).select("paper_id", F.col("sentence_index").cast("string").alias("sentence_id"), F.col("sentence_text").alias("text"), F.transform("citations", lambda x: x["intext"]).alias("intexts"))
+    # one pass in the order of each paper's lines: a line, then its citations, numbered by those of the lines before
+    of_sentence, kind = _sentence_point(lines), lines.schema["citations"].dataType
+    earlier = Window.partitionBy("paper_id").orderBy("sentence_index").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.greatest(F.size("citations"), F.lit(0))).over(earlier), F.lit(0))
+    each = lines.withColumn("__before", before).select("*", F.posexplode(F.concat(F.array(F.lit(None).cast(kind.elementType)), F.coalesce("citations", F.array().cast(kind)))).alias("__k", "__c"))
+    x, number = F.col("__c"), (F.col("__before") + F.col("__k") - 1).cast("int")
+    of_citation = {
+        "collection": F.lit("citations"), "at": number.cast("long"), "text": x["intext"], "citation_index": number, "cited_paper_id": cited_id(x),
+        "citation_context": X.context(F.col("sentence_text"), x["intext"]), "confidence": F.coalesce(_part(x, kind.elementType, "confidence", "double"), F.lit(1.0)),
+    }
+    names = list(dict.fromkeys([*of_sentence, *of_citation]))
+    sc = each.select("paper_id", *(F.when(F.col("__k") == 0, of_sentence.get(c, F.lit(None))).otherwise(of_citation.get(c, F.lit(None))).alias(c) for c in names))
+    in_sentences = lines.where(cited).select("paper_id", F.col("sentence_index").cast("string").alias("sentence_id"), F.col("sentence_text").alias("text"), F.col("citations")["intext"].alias("intexts"), F.size("citations").alias("n"))
     named = paragraphs.select("paper_id", F.col("paragraph_index").cast("string").alias("paragraph_id"), F.col("paragraph_text").alias("text"))
-    counts = paragraph_sentences(named, in_sentences).join(in_sentences.select("paper_id", "sentence_id", F.size("intexts").alias("n")), ["paper_id", "sentence_id"]).groupBy("paper_id", F.col("paragraph_id").cast("int").alias("paragraph_index")).agg(F.sum("n").cast("int").alias("citation_count"))
+    counts = paragraph_sentences(named, in_sentences, of_sentence=["n"]).groupBy("paper_id", F.col("paragraph_id").cast("int").alias("paragraph_index")).agg(F.sum("n").cast("int").alias("citation_count"))
     zero = F.coalesce("citation_count", F.lit(0))
     p = paragraphs.join(counts, ["paper_id", "paragraph_index"], "left").select("paper_id", F.lit("paragraphs").alias("collection"), F.col("paragraph_index").alias("at"), F.col("paragraph_text").alias("text"), "paragraph_index", F.coalesce("section", F.lit("")).alias("section"), zero.alias("citation_count"), "sentence_count", (zero > 0).alias("has_citations"))
     t = sections.select("paper_id", F.lit("sections").alias("collection"), F.col("section_index").alias("at"), F.col("section_text").alias("text"), "section_index", "section_title", "section_type", "paragraph_count")
-    rows = s.unionByName(p, allowMissingColumns=True).unionByName(t, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
-    got = index(_described(rows, metadata), F.col("collection"), keys=("paper_id", "at"))
-    return got.select(*(F.col(f.strip().split(" ")[0]).cast(f.strip().split(" ", 1)[1]) for f in schemas.POINT.split(", ")))
+    # each meets the papers before the union, as the lines are dealt by paper already
+    described = [_described(rows, metadata) for rows in (sc, p, t)]
+    return _points(described[0].unionByName(described[1], allowMissingColumns=True).unionByName(described[2], allowMissingColumns=True))
+
+
+def _sentence_point(lines: DataFrame) -> dict[str, Column]:
+    """The columns of a line's own point."""
+    cited = F.coalesce(F.size("citations"), F.lit(0)) > 0
+    analysed = F.coalesce(F.col("argument_analysis")["has_argument_relations"], F.lit(False)) if "argument_analysis" in lines.columns else F.lit(False)
+    kind = point_filter(cited, F.when(analysed, "CLAIM_MAIN"))
+    return {"collection": F.lit("sentences"), "at": F.col("sentence_index").cast("long"), "text": F.col("sentence_text"), "sentence_index": F.col("sentence_index").cast("int"), "sentence_type": kind, "has_citations": cited}
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """rows as points with all columns of schemas.POINT, null where a collection has none."""
+    got = index(rows, F.col("collection"), keys=("paper_id", "at"))
+    fields = [f.strip().split(" ", 1) for f in schemas.POINT.split(", ")]
+    return got.select(*((F.col(c) if c in got.columns else F.lit(None)).cast(t).alias(c) for c, t in fields))
 
 
 def to_points(lines: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Points of the collection of sentences alone."""
     if metadata is None:
         metadata = lines.select("paper_id").distinct()
-    empty = lambda schema: lines.sparkSession.createDataFrame([], f"paper_id string, {schema}")
-    got = collections(lines, metadata, empty(schemas.PARAGRAPH_LINE), empty(schemas.SECTION_LINE))
-    return got.where("collection = 'sentences'")
+    lines = lines.where("paper_id is not null")
+    return _points(_described(lines.select("paper_id", *(c.alias(n) for n, c in _sentence_point(lines).items())), metadata))

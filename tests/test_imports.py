@@ -135,3 +135,14 @@ def test_lines_fill_the_same_graph_unassembled(spark, given):
     assert "collect_list" not in plan and plan.index("Join") < plan.index("= A")
     far = lines.withColumn("sentence_index", F.col("sentence_index") + F.lit(1 << 40))
     assert I.import_lines(far, meta, more)["sentences"].agg(F.min("sentence_index")).first()[0] == 1 << 40
+
+
+def test_lines_that_share_a_number_count_once_each(spark):
+    """Two lines of one number: each adds its own citation to the paragraph, and citations are numbered through."""
+    rows = [(0, "One thing (A, 2001).", [cite("A"), cite("B")], None, None, None, None, "P"), (0, "Other thing (A, 2001).", [cite("A")], None, None, None, None, "P")]
+    lines = spark.createDataFrame(rows, schemas.SENTENCE_LINE + ", paper_id string")
+    paragraphs = spark.createDataFrame([("P", 0, "One thing (A, 2001). Other thing (A, 2001).", "", 2)], f"paper_id string, {schemas.PARAGRAPH_LINE}")
+    got = I.collections(lines, lines.select("paper_id").distinct(), paragraphs).collect()
+    assert [r["citation_count"] for r in got if r["collection"] == "paragraphs"] == [3]
+    assert sorted((r["citation_index"], r["sentence_index"], r["sentence_type"]) for r in got if r["collection"] == "citations") == [(i, None, None) for i in range(3)]
+    assert [(r["sentence_index"], r["sentence_type"], r["citation_index"], r["confidence"]) for r in got if r["collection"] == "sentences"] == [(0, "citation", None, None)] * 2
