@@ -38,6 +38,8 @@ FIELDS = {
     "arguments": ("id", "paper_id", "idx", "text", "claim_type"),
     "relations": ("id", "ref_id", "idx", "relation_type", "confidence"),
 }
+#: What a stub takes from a reference.
+STUB_FIELDS = ("title", "year", "authors", "journal", "publisher")
 #: Sentences of a paragraph that is made from sentence lines.
 PER_PARAGRAPH = 5
 
@@ -94,12 +96,23 @@ def cited_id(citation: Column) -> Column:
     return F.coalesce(given, F.when(F.length(F.trim(title)) > 0, ids.paper_id(title, citation["reference"]["year"])))
 
 
+def names_paper(citation: Column) -> Column:
+    """Whether cited_id() is not null, without the hash."""
+    return (F.trim(citation["paper_id"]) != "") | (F.length(F.trim(citation["reference"]["title"])) > 0)
+
+
+def cited_lines(lines: DataFrame) -> DataFrame:
+    """A row for each citation of a line that names a paper, with it: __x, struct(cited, c)."""
+    c = F.col("__c")
+    return lines.withColumn("__c", F.explode("citations")).where(names_paper(c)).withColumn("__x", F.struct(cited_id(c).alias("cited"), c.alias("c"))).drop("__c")
+
+
 class _Rows:
     """What becomes of the parts of a document: one row TAGGED for each. A sentence is anything that gives its fields by name.
-    fields: those of TAGGED that rows have, all by default."""
+    fields: those of TAGGED that rows have, all by default. make: what a row is made of its columns, a struct by default."""
 
-    def __init__(self, lines: T.StructType, about: T.StructType, paragraphs: T.DataType, fields: Sequence[str] | None = None):
-        self.line, self.about, self.paragraphs = lines, about, paragraphs
+    def __init__(self, lines: T.StructType, about: T.StructType, paragraphs: T.DataType, fields: Sequence[str] | None = None, make: Callable = F.struct):
+        self.line, self.about, self.paragraphs, self.make = lines, about, paragraphs, make
         self.cite = lines["citations"].dataType.elementType
         self.fields = {k: v for k, v in KINDS.items() if fields is None or k in fields}
         self.none = F.array().cast("array<struct<" + ",".join(f"{k}:{v}" for k, v in self.fields.items()) + ">>")
@@ -107,7 +120,7 @@ class _Rows:
 
     def row(self, kind: str, **values: Column) -> Column:
         values["kind"] = F.lit(kind)
-        return F.struct(*((values[c] if c in values else F.lit(None)).cast(t).alias(c) for c, t in self.fields.items()))
+        return self.make(*((values[c] if c in values else F.lit(None)).cast(t).alias(c) for c, t in self.fields.items()))
 
     @staticmethod
     def analysed(x, of) -> Column:
@@ -164,6 +177,19 @@ class _Rows:
         return F.when(self.analysed(x["c"], self.cite), typed).otherwise(F.array(plain))
 
 
+    def typed(self, cited: DataFrame, s) -> tuple[DataFrame, Column]:
+        """As relations(), of rows that cited_lines() gives: a row for each relation, and what becomes of it."""
+        x = F.col("__x")
+        values = {"id": self.sentence_id(s), "paper_id": self.paper, "ref_id": x["cited"]}
+        if not _has(self.cite, "argument_analysis"):
+            return cited, self.row("relations", **values, relation_type=F.lit("CITES"))
+        found, said = x["c"]["argument_analysis"]["entities"], self.analysed(x["c"], self.cite)
+        none = F.array(F.lit(None).cast(self.cite["argument_analysis"].dataType["entities"].dataType.elementType))
+        each = cited.select("*", said.alias("__said"), F.posexplode(F.when(said, found).otherwise(none)).alias("__i", "__e"))
+        e = F.col("__e")
+        return each, self.row("relations", **values, idx=F.when(F.col("__said"), F.col("__i")), relation_type=F.coalesce(e["relation_type"], F.lit("CITES")), confidence=e["confidence"])
+
+
 def exploded(docs: DataFrame) -> DataFrame:
     """Rows TAGGED of documents as assemble() gives them: papers (a stub for each citation), paragraphs, sentences,
     sentence_cites, arguments (sentences that cite) and relations (one for each entity of a citation's analysis, CITES without one)."""
@@ -189,12 +215,16 @@ def rows_of(kind: str, lines: DataFrame, metadata: DataFrame, paragraphs: DataFr
     fields = lambda df: {c: F.col(c) for c in df.columns if c != "paper_id"}
     lines, metadata, paragraphs = (df.where("paper_id is not null") for df in (lines, metadata, paragraphs))
     arrays = _paragraph_arrays(paragraphs)
-    rows = _Rows(lines.schema, metadata.schema, arrays.schema["paragraphs"].dataType, FIELDS[kind])
-    s, flat = fields(lines), lambda df, row: df.select(row.alias("r")).select("r.*")
-    cited = lambda: lines.withColumn("__x", F.explode(rows.cites(s)))
+    # columns, not structs: what nothing reads is not made
+    rows = _Rows(lines.schema, metadata.schema, arrays.schema["paragraphs"].dataType, FIELDS[kind], lambda *columns: columns)
+    s, flat = fields(lines), lambda df, row: df.select(*row)
+    cited = lambda: cited_lines(lines)
     years = metadata.select("paper_id", rows.year(fields(metadata)).alias("__year"))
     if kind == "papers":
-        return flat(metadata, rows.own(fields(metadata))).unionByName(flat(cited(), rows.stub(F.col("__x"))))
+        # a paper is cited many times: equal references are one row before anything is made of them
+        c = F.col("__x")["c"]
+        ref = F.struct(*(c["reference"][f].alias(f) for f in rows.cite["reference"].dataType.names if f in STUB_FIELDS))
+        return flat(metadata, rows.own(fields(metadata))).unionByName(flat(cited().select(F.struct(F.col("__x")["cited"].alias("cited"), F.struct(ref.alias("reference")).alias("c")).alias("__x")).distinct(), rows.stub(F.col("__x"))))
     if kind == "paragraphs":
         known = metadata.select("paper_id").unionByName(lines.select("paper_id"))
         return flat(paragraphs.join(known, "paper_id", "left_semi").join(years, "paper_id", "left"), rows.paragraph(fields(paragraphs), F.col("__year")))
@@ -204,7 +234,7 @@ def rows_of(kind: str, lines: DataFrame, metadata: DataFrame, paragraphs: DataFr
         return flat(cited(), rows.edge(s, F.col("__x")))
     if kind == "arguments":
         return flat(lines.where(F.size("citations") > 0), rows.argument(s))
-    return cited().select(F.explode(rows.relations(s, F.col("__x"))).alias("r")).select("r.*")
+    return flat(*rows.typed(cited(), s))
 
 
 def graph_tables(tagged: DataFrame) -> dict[str, DataFrame]:
@@ -217,8 +247,8 @@ def _tables(of: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
     rest = ["title", "year", "authors", *DETAILS]
     papers = of("papers").groupBy(F.col("id").alias("paper_id")).agg(F.min(F.struct("stub", *rest)).alias("r")).select("paper_id", *(F.col("r")[c].alias(c) for c in ("title", "year", "journal", "stub", "authors", *(x for x in DETAILS if x != "journal"))))
     edges = of("sentence_cites")
-    # one relation for each pair and type; the confidence of the last entity
-    relations = of("relations").groupBy(F.col("id").alias("from_id"), F.col("ref_id").alias("to_id"), "relation_type").agg(F.count("*").alias("mentions"), F.max_by("confidence", F.struct("idx", "confidence")).alias("confidence"))
+    # one relation for each pair and type; the confidence of the last entity. Dealt by sentence alone, which what joins them needs too
+    relations = of("relations").repartition("id").groupBy(F.col("id").alias("from_id"), F.col("ref_id").alias("to_id"), "relation_type").agg(F.count("*").alias("mentions"), F.max_by("confidence", F.struct("idx", "confidence")).alias("confidence"))
     return {
         "papers": papers,
         "paragraphs": of("paragraphs").select(F.col("id").alias("paragraph_id"), "paper_id", F.col("idx").alias("paragraph_index"), "section", "year", "text", F.col("n").alias("sentence_count")),

@@ -146,3 +146,12 @@ def test_lines_that_share_a_number_count_once_each(spark):
     assert [r["citation_count"] for r in got if r["collection"] == "paragraphs"] == [3]
     assert sorted((r["citation_index"], r["sentence_index"], r["sentence_type"]) for r in got if r["collection"] == "citations") == [(i, None, None) for i in range(3)]
     assert [(r["sentence_index"], r["sentence_type"], r["citation_index"], r["confidence"]) for r in got if r["collection"] == "sentences"] == [(0, "citation", None, None)] * 2
+
+
+@pytest.mark.parametrize("name", ["filed_papers", "filed_relations", "filed_sentence_cites"])
+def test_citations_are_rows_before_they_are_read(spark, name):
+    """No function runs interpreted over the array of a line's citations."""
+    from quiremill.plans import more, star  # noqa: F401  (more adds its queries to star's)
+
+    plan = star.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Generate" in plan
