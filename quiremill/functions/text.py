@@ -203,13 +203,19 @@ def is_furniture(sentence: Column) -> Column:
     return matches_any(sentence, SENTENCE_FURNITURE)
 
 
+def share(part: Column, text: Column) -> Column:
+    """part over the length of text; NaN for an empty text, as in SQL, which is above any bound."""
+    return F.when(F.length(text) == 0, float("nan")).otherwise(part / F.length(text))
+
+
 def special_ratio(text: Column) -> Column:
     """Share of characters that are no letters, digits, spaces or common punctuation. The commonest are named first, as they are tried in this order."""
-    return F.length(F.regexp_replace(text, r"(?U)[a-zA-Z0-9\w\s.,;:!?()-]+", "")) / F.length(text)
+    return share(F.length(F.regexp_replace(text, r"(?U)[a-zA-Z0-9\w\s.,;:!?()-]+", "")), text)
 
 
 def is_noise(sentence: Column) -> Column:
-    gaps = F.regexp_count(sentence, F.lit(r"(?U)\s+")) / F.length(sentence)
+    """An empty sentence is noise."""
+    gaps = share(F.regexp_count(sentence, F.lit(r"(?U)\s+")), sentence)
     return (special_ratio(sentence) > 0.15) | sentence.rlike(r"H\d{6}") | (gaps > 0.5)
 
 

@@ -185,3 +185,15 @@ def test_quality_reads_a_text_once(spark):
     got = spark.createDataFrame([("alpha beta gamma delta",), ("§§§§§ abc",), ("a b c é",), ("",), (None,)], "t string").select(X.quality_score(F.col("t")).alias("q")).collect()
     # length, density of words, pages, less two for odd characters and for short words
     assert [round(r["q"], 6) for r in got] == [6.0022, 4.0009, 1.0007, 0.0, 0.0]
+
+
+def test_noise_of_empty_texts_is_that_of_sql(spark, tmp_path):
+    import duckdb
+
+    from quiremill.plans import star
+
+    spark.createDataFrame([(1, ""), (2, None), (3, " "), (4, "a b"), (5, "§§ a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = star.SQL["noise_filter"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    plain = lambda rows: sorted(str(tuple(r)) for r in rows)
+    got = star.noise_filter(spark, str(tmp_path)).collect()
+    assert plain(got) == plain(duckdb.sql(sql).fetchall()) and {r["doc_id"]: r["is_noise"] for r in got} == {1: True, 2: None, 3: True, 4: False, 5: True}
