@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,6 +324,31 @@ def test_pair_counts_deal_pairs_over_as_many_tasks_as_they_need(spark, monkeypat
     assert A.collaboration(links.select(F.col("g").alias("paper_id"), F.col("i").alias("author_id"))).count() == len(want)
 
 
+def test_equal_pairs_are_one_row_before_they_are_dealt(spark, monkeypatch):
+    """What is dealt follows the different pairs of a task, not all pairs: 200 groups of the same items, and one that is cut."""
+    names = [f"i{i:02d}" for i in range(30)]
+    links = spark.createDataFrame([(g, i) for g in range(200) for i in names] + [(None, "i00"), (7, None)], "g long, i string")
+    want = {(a, b): 200 for a in names for b in names if a < b}
+    assert {(r["a"], r["b"]): r["n"] for r in G.pair_counts(links, "g", "i").collect()} == want
+    monkeypatch.setattr(G, "PAIRS_A_TASK", 4000)
+    assert {(r["a"], r["b"]): r["n"] for r in G.pair_counts(links, "g", "i").collect()} == want
+    batch = pa.RecordBatch.from_pydict({"items": pa.array([names] * 100 + [["x", "y"]]), "firsts": pa.array([29] * 100 + [1])})
+    rows = [r for out in G._counted(iter([batch, batch])) for r in out.to_pylist()]
+    assert len(rows) == 436 and {(r["a"], r["b"]): r["n"] for r in rows} == want | {("x", "y"): 2}
+    monkeypatch.setattr(G, "PAIRS_AT_ONCE", 1000)
+    pieces = [r for out in G._counted(iter([batch, batch])) for r in out.to_pylist()]
+    assert 436 < len(pieces) < 87_002 and sum(r["n"] for r in pieces) == 87_002
+
+
+def test_pairs_of_the_star_schema_read_lines_once_a_pass(spark):
+    """Lines are dealt by order, then by citing paper; an author's links by paper: no other exchange of them."""
+    from quiremill.plans import star
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(star.collaboration(spark, "/root/testdata/sf0.001")).count("Exchange") == 3
+    assert "SortMergeJoin" not in plan(star.collaboration(spark, "/root/testdata/sf0.001"))
+
+
 def test_kwic_gives_its_hits_in_pieces(spark, monkeypatch):
     df = spark.createDataFrame([(1, "ab " * 50, [1]), (2, None, None), (3, "no", [3]), (4, "xAB", [])], "id int, text string, tags array<int>")
     monkeypatch.setattr(C, "HITS_AT_ONCE", 7)
