@@ -108,16 +108,20 @@ def normal(text, strip: bool = True):
     return F.lower(F.regexp_replace(text, r"(?U)[^a-zA-Z0-9\w()\[\],.]+", " "))
 
 
-def paragraph_sentences(paragraphs: DataFrame, sentences: DataFrame, of_paragraph: Sequence[str] = (), of_sentence: Sequence[str] = ()) -> DataFrame:
+def paragraph_sentences(paragraphs: DataFrame, sentences: DataFrame, of_paragraph: Sequence[str] = (), of_sentence: Sequence[str] = (), every: bool = False) -> DataFrame:
     """(paper_id, paragraph_id, sentence_id, rule): which sentences a paragraph holds. 1: the sentence is
     part of it. Else, by the length of the sentence, 2 (over 100): it holds the middle half of a
     paragraph of over 10 words; 3 (31 to 100): it has over 5 different words, and the paragraph over
     0.7 of them. Else 4: a citation of the sentence is part of the paragraph; 5 (over 50): five of its
     words in a row are. Joined within a paper only; null texts count as empty. What a side alone decides is made before the join.
-    of_paragraph, of_sentence: further columns to bring along."""
+    of_paragraph, of_sentence: further columns to bring along. every: paragraphs that hold no sentence stay, with a null rule; all are dealt by paper
+    as they are given, as what is made of them takes more room than they do."""
     text = F.coalesce("text", F.lit(""))
-    p = paragraphs.select("paper_id", "paragraph_id", *of_paragraph, normal(text).alias("p"))
-    s = sentences.select("paper_id", "sentence_id", *of_sentence, F.coalesce("intexts", F.array().cast("array<string>")).alias("intexts"), normal(text).alias("s"))
+    p, s = paragraphs.select("paper_id", "paragraph_id", *of_paragraph, "text"), sentences.select("paper_id", "sentence_id", *of_sentence, "intexts", "text")
+    if every:
+        p, s = p.repartition("paper_id"), s.repartition("paper_id")
+    p = p.withColumn("p", normal(text)) if every else p.select("paper_id", "paragraph_id", *of_paragraph, normal(text).alias("p"))
+    s = s.select("paper_id", "sentence_id", *of_sentence, F.coalesce("intexts", F.array().cast("array<string>")).alias("intexts"), normal(text).alias("s"))
     # normal() leaves single spaces only
     spaced = lambda c: F.array_remove(F.split(c, " "), "")
     p = p.withColumn("pw", spaced("p"))
@@ -138,6 +142,9 @@ def paragraph_sentences(paragraphs: DataFrame, sentences: DataFrame, of_paragrap
         .when(F.exists("said", lambda c: F.col("p").contains(c)), 4)
         .when((size > 50) & F.exists("grams", lambda g: F.col("p").contains(g)), 5)
     )
+    if every:
+        both = p.join(s.withColumnRenamed("paper_id", "__of"), (F.col("paper_id") == F.col("__of")) & rule.isNotNull(), "left")
+        return both.select("paper_id", "paragraph_id", "sentence_id", F.when(F.col("__of").isNotNull(), rule).alias("rule"), *of_paragraph, "text", *of_sentence)
     both = p.join(s, "paper_id").withColumn("rule", rule)
     return both.where("rule is not null").select("paper_id", "paragraph_id", "sentence_id", "rule", *of_paragraph, *of_sentence)
 

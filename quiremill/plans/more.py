@@ -169,8 +169,8 @@ def import_points(spark, d):
 def filed(spark, d):
     """Documents with paragraphs: papers are customers, paragraphs their orders, sentences these orders' lines, which cite suppliers
     and sometimes say how."""
-    # line numbers of an order repeat
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount"))
+    # line numbers of an order repeat; the flag comes last, so that all uses of the lines read, and deal, the same columns
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount", "l_returnflag"))
     line, order = t(spark, d, "lineitem").withColumn("l_linenumber", number), t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("paper_id"), "o_orderpriority")
     says = F.concat(F.lit("s"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("."))
     who = F.col("l_suppkey").cast("string")

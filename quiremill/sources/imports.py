@@ -348,23 +348,29 @@ def collections(lines: DataFrame, metadata: DataFrame, paragraphs: DataFrame | N
         paragraphs, sections = paragraphs if paragraphs is not None else made[0], sections if sections is not None else made[1]
     lines = lines.where("paper_id is not null")
     cited = F.coalesce(F.size("citations"), F.lit(0)) > 0
-    # one pass in the order of each paper's lines: a line, then its citations, numbered by those of the lines before
-    of_sentence, kind = _sentence_point(lines), lines.schema["citations"].dataType
-    earlier = Window.partitionBy("paper_id").orderBy("sentence_index").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.greatest(F.size("citations"), F.lit(0))).over(earlier), F.lit(0))
-    each = lines.withColumn("__before", before).select("*", F.posexplode(F.concat(F.array(F.lit(None).cast(kind.elementType)), F.coalesce("citations", F.array().cast(kind)))).alias("__k", "__c"))
-    x, number = F.col("__c"), (F.col("__before") + F.col("__k") - 1).cast("int")
+    # one pass in the order of each paper's lines: a line, then its citations, numbered by those of the lines before. What a point needs of a
+    # citation is taken out before lines are dealt
+    kind = lines.schema["citations"].dataType
+    of_each = lambda f: F.transform(F.coalesce("citations", F.array().cast(kind)), f)
+    sure = lambda c: F.coalesce(_part(c, kind.elementType, "confidence", "double"), F.lit(1.0))
+    taken = lines.select("paper_id", *(c.alias(n) for n, c in _sentence_point(lines).items()), of_each(cited_id).alias("__ids"), of_each(lambda c: c["intext"]).alias("__intexts"), of_each(sure).alias("__sure"))
+    earlier = Window.partitionBy("paper_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size("__ids")).over(earlier), F.lit(0))
+    each = taken.withColumn("__before", before).select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "__ids")).alias("__k", "__id"))
+    of = lambda c: F.get(c, F.col("__k") - 1)
+    number, intext = (F.col("__before") + F.col("__k") - 1).cast("int"), of(F.col("__intexts"))
     of_citation = {
-        "collection": F.lit("citations"), "at": number.cast("long"), "text": x["intext"], "citation_index": number, "cited_paper_id": cited_id(x),
-        "citation_context": X.context(F.col("sentence_text"), x["intext"]), "confidence": F.coalesce(_part(x, kind.elementType, "confidence", "double"), F.lit(1.0)),
+        "collection": F.lit("citations"), "at": number.cast("long"), "text": intext, "citation_index": number, "cited_paper_id": F.col("__id"),
+        "citation_context": X.context(F.col("text"), intext), "confidence": of(F.col("__sure")),
     }
-    names = list(dict.fromkeys([*of_sentence, *of_citation]))
-    sc = each.select("paper_id", *(F.when(F.col("__k") == 0, of_sentence.get(c, F.lit(None))).otherwise(of_citation.get(c, F.lit(None))).alias(c) for c in names))
+    own = list(_sentence_point(lines))
+    names = list(dict.fromkeys([*own, *of_citation]))
+    sc = each.select("paper_id", *(F.when(F.col("__k") == 0, F.col(c) if c in own else F.lit(None)).otherwise(of_citation.get(c, F.lit(None))).alias(c) for c in names))
+    # a paragraph and its sentences meet by paper, where it gets its count too; one that is given twice is one point
     in_sentences = lines.where(cited).select("paper_id", F.col("sentence_index").cast("string").alias("sentence_id"), F.col("sentence_text").alias("text"), F.col("citations")["intext"].alias("intexts"), F.size("citations").alias("n"))
-    named = paragraphs.select("paper_id", F.col("paragraph_index").cast("string").alias("paragraph_id"), F.col("paragraph_text").alias("text"))
-    counts = paragraph_sentences(named, in_sentences, of_sentence=["n"]).groupBy("paper_id", F.col("paragraph_id").cast("int").alias("paragraph_index")).agg(F.sum("n").cast("int").alias("citation_count"))
-    zero = F.coalesce("citation_count", F.lit(0))
-    p = paragraphs.join(counts, ["paper_id", "paragraph_index"], "left").select("paper_id", F.lit("paragraphs").alias("collection"), F.col("paragraph_index").alias("at"), F.col("paragraph_text").alias("text"), "paragraph_index", F.coalesce("section", F.lit("")).alias("section"), zero.alias("citation_count"), "sentence_count", (zero > 0).alias("has_citations"))
+    held = paragraph_sentences(paragraphs.withColumnsRenamed({"paragraph_index": "paragraph_id", "paragraph_text": "text"}), in_sentences, ["section", "sentence_count"], ["n"], every=True)
+    counts = held.groupBy("paper_id", "paragraph_id", "text", "section", "sentence_count").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("citation_count"))
+    p = counts.select("paper_id", F.lit("paragraphs").alias("collection"), F.col("paragraph_id").alias("at"), "text", F.col("paragraph_id").alias("paragraph_index"), F.coalesce("section", F.lit("")).alias("section"), "citation_count", "sentence_count", (F.col("citation_count") > 0).alias("has_citations"))
     t = sections.select("paper_id", F.lit("sections").alias("collection"), F.col("section_index").alias("at"), F.col("section_text").alias("text"), "section_index", "section_title", "section_type", "paragraph_count")
     # each meets the papers before the union, as the lines are dealt by paper already
     described = [_described(rows, metadata) for rows in (sc, p, t)]

@@ -155,3 +155,14 @@ def test_citations_are_rows_before_they_are_read(spark, name):
 
     plan = star.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "Generate" in plan
+
+
+def test_points_deal_lines_by_paper_without_whole_citations(spark, given):
+    """What a point needs of a citation is taken out first, and paragraphs get their counts where they meet their sentences."""
+    lines, meta, paragraphs = given
+    got = I.collections(lines, meta, paragraphs.unionByName(spark.createDataFrame([("P1", 2, None, None, 0)], paragraphs.schema)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert dealt and not any("paragraph_index#" in x for x in dealt)
+    kept = {(r["paper_id"], r["paragraph_index"]): (r["text"], r["citation_count"], r["has_citations"]) for r in got.where("collection = 'paragraphs'").collect()}
+    assert kept == {("P1", 0): (PARAGRAPHS[0][2], 2, True), ("P1", 1): (PARAGRAPHS[1][2], 2, True), ("P1", 2): (None, 0, False), ("P2", 0): (PARAGRAPHS[2][2], 1, True)}
